@@ -184,7 +184,7 @@ WITH d AS (
 ), n AS (
   SELECT block, (total + block - 1) // block AS slots, greatest(1, length(bin(greatest((total + block - 1) // block - 1, 0)))) AS bits FROM b
 ), p AS (
-  SELECT list_sum(list_transform(range(0, bits), k -> CAST((i >> k) & 1 AS DOUBLE) / CAST(1 << (k + 1) AS DOUBLE))) AS point
+  SELECT list_sum(list_transform(range(0, bits), lambda k: CAST((i >> k) & 1 AS DOUBLE) / CAST(1 << (k + 1) AS DOUBLE))) AS point
   FROM n, LATERAL (SELECT unnest(range(0, slots)) AS i)
 ), q AS (
   SELECT z.source, count(*) AS slots FROM p JOIN z ON p.point >= z.low AND p.point < z.high GROUP BY z.source
