@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, pieces, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op4_source_mix": mixing.op4_source_mix,
+    "op7_pieces": pieces.op7_pieces,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
