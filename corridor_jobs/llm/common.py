@@ -60,6 +60,14 @@ def semi(df: DataFrame, keys: DataFrame, on: list[str], rows: int = BROADCAST_RO
     return df.join(F.broadcast(keys) if small else keys, on, "left_semi")
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The documents whose id is not among gone (one column), as they are. A list of checked size is broadcast, so that
+    texts stay where they are; a longer one is joined by shuffle. Rows with a null id cannot be named and stay."""
+    gone = checkpointed(gone.toDF("_gone").filter("_gone IS NOT NULL").distinct())
+    small = gone.limit(5 * BROADCAST_ROWS + 1).count() <= 5 * BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], weight: str, out: str) -> DataFrame:
     """Adds the sum of weight over the earlier rows of the group, in the order (bucket, *order).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, checkpointed, semi, table, whole, written
+from .common import UPPER, ascii_lower, checkpointed, semi, table, whole, without, written
 
 PREFIX_CHARS = 64
 
@@ -70,8 +70,7 @@ def _groups(hashed: DataFrame) -> DataFrame:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns."""
-    gone = exact_groups(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, exact_groups(docs).filter("NOT kept").select("doc_id"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

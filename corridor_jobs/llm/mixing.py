@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_total, table, whole, written
+from .common import BROADCAST_ROWS, WORD, running_total, table, whole, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -139,6 +139,19 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
 
 
+def draw(docs: DataFrame) -> DataFrame:
+    """The documents as the mix takes them: each as many times as its words are taken, rounded to whole copies.
+
+    Documents without words take no part in the shares and stay once. Only doc_id and the number of copies are joined
+    to the documents; where doc_ids repeat, each row gets the number of copies of the largest of them.
+    """
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    told = written(mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_copies")))
+    small = told.limit(5 * BROADCAST_ROWS + 1).count() <= 5 * BROADCAST_ROWS
+    drawn = docs.join(F.broadcast(told) if small else told, docs["doc_id"].eqNullSafe(told["_id"]))
+    return drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

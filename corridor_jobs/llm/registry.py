@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, simhash
+from . import exact_dedup, mixing, pieces, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_source_mix": mixing.op4_source_mix,
     "op7_pieces": pieces.op7_pieces,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, semi, table, whole, written
+from .common import checkpointed, semi, table, whole, without, written
 from .components import components
 
 BITS = 3
@@ -192,8 +192,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each component the one with the least doc_id."""
-    gone = classes(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, classes(docs).filter("doc_id <> component_id").select("doc_id"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
