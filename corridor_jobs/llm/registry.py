@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, simhash, toxicity
+from . import exact_dedup, mixing, pieces, simhash, toxicity, url_filter, weighted_sampling
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_weighted_sampling": weighted_sampling.op3_weighted_sampling,
     "op4_source_mix": mixing.op4_source_mix,
     "op7_pieces": pieces.op7_pieces,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLES = {
