@@ -4,7 +4,7 @@ The normaliser takes, at each place, the longest prefix that the model's compile
 trie; none in an identity model) and records where in the source each normalised character came from. White space
 becomes U+2581. As no piece of a supported model has U+2581 after another character, no merge crosses the start of a
 run of them: the text is cut there, each distinct chunk is merged once and remembered, and piece spans are those of the
-chunk moved to its place.
+chunk moved to its place. Where no piece mixes letters with other characters, chunks end between these too.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .common import table, whole
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
-#: Chunks remembered by each Python worker; the memory is emptied when full, which changes no result.
-REMEMBERED = 250_000
+#: Chunks remembered by each Python worker, in two generations of which the older is dropped when the newer is full.
+REMEMBERED = 300_000
 
 
 def _one_by_one(e: UnicodeError) -> tuple[str, int]:
@@ -87,8 +87,16 @@ class Model:
         self.raw = [p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else unknown if p.type == UNKNOWN else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" for p in m.pieces]
         self.spaced = {i for p, i in self.ids.items() if p[0] == SPACE}
         self.text_of_id = [str(i) for i in range(len(m.pieces))]
-        self.cut = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
+        bare = [p.lstrip(SPACE) for p in self.ids]
+        letter = re.compile(r"[^\W\d_]")
+        odd = sorted({c for p in bare if 0 < len(kinds := letter.findall(p)) < len(p) for c in kinds})
+        out = re.escape("".join(odd))  # characters in pieces that mix letters with others count as others
+        letters = re.compile(rf"[^\W\d_{out}]+")
+        apart = all(letters.fullmatch(p) or not letters.search(p) for p in bare)
+        run = rf"(?:{letters.pattern}|(?:[^\w {SPACE}]|[\d_{out}])+)" if apart else f"[^ {SPACE}]+"
+        self.cut = re.compile(f"[ {SPACE}]*{run}|[ {SPACE}]+")
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def normalise(self, text: str, prefix: bool) -> tuple[str, list[int], list[int]]:
         """The normalised text, and for each of its characters the source bytes [start, end)."""
@@ -173,14 +181,16 @@ class Model:
         parts = self.parts(text)
         if not parts:
             return []
-        seen, get = self.seen, self.seen.get
-        if len(seen) > REMEMBERED:
-            seen.clear()
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.older = {}, self.seen
+        seen, get, older = self.seen, self.seen.get, self.older
         out = list(self.chunk(parts[0], self.dummy))
         for p in parts[1:]:
             e = get(p)
             if e is None:
-                e = self.chunk(p, False)
+                e = older.get(p)
+                if e is None:
+                    e = self.chunk(p, False)
                 if len(p) <= 64:
                     seen[p] = e
             out += e
