@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, simhash, toxicity, url_filter, weighted_sampling
+from . import exact_dedup, mixing, pieces, simhash, suffix_levels, toxicity, url_filter, weighted_sampling
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_source_mix": mixing.op4_source_mix,
     "op7_pieces": pieces.op7_pieces,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_suffix_levels": suffix_levels.op9_suffix_levels,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
