@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, pieces, simhash, suffix_levels, toxicity, url_filter, weighted_sampling
+from . import exact_dedup, line_dedup, mixing, pieces, simhash, suffix_levels, token_counts, toxicity, url_filter, weighted_sampling
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_weighted_sampling": weighted_sampling.op3_weighted_sampling,
     "op4_source_mix": mixing.op4_source_mix,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_pieces": pieces.op7_pieces,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_suffix_levels": suffix_levels.op9_suffix_levels,
@@ -17,5 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_source_mix": mixing.SQL,
+    "op5_token_counts": token_counts.SQL,
+    "op6_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
