@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -19,8 +19,8 @@ ORACLES: dict[str, str] = {}
 _ON = "(" + ", ".join(f"DATE '{d}'" for d in DATES) + ")"
 
 
-def _r(column: str, digits: int) -> Column:
-    return F.round(F.col(column), digits).alias(column)
+def _r(column: str, digits: int) -> str:
+    return f"round({column}, {digits}) AS {column}"
 
 
 def _albers(lon: str, lat: str) -> tuple[str, str]:
@@ -144,10 +144,10 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
-def _step(cls: type, attribute: str, sql: str, key: str, *columns: str | Column) -> None:
+def _step(cls: type, attribute: str, sql: str | None, key: str, *columns: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = getattr(cls(spark, sf_dir), attribute)
-        return df.select(*columns) if columns else df
+        return df.selectExpr(*columns) if columns else df
 
     query(sql, key)(run)
 
@@ -250,7 +250,7 @@ query(
     "histogram_by_trip",
 )(lambda s, d: avl.histogram(avl.within_gap(Pings(s, d).gaps, 40_000), "gap_seconds", 30, by="TRIP_KEY"))
 query("SELECT event_id, round(gap_seconds, 6) AS gap_seconds FROM gaps WHERE gap_seconds < 40000", "within_gap")(
-    lambda s, d: avl.within_gap(Pings(s, d).gaps, 40_000).select("event_id", _r("gap_seconds", 6))
+    lambda s, d: avl.within_gap(Pings(s, d).gaps, 40_000).selectExpr("event_id", _r("gap_seconds", 6))
 )
 _step(Pings, "placed", "SELECT event_id, round(x, 3) AS x, round(y, 3) AS y FROM placed", "project_points", "event_id", _r("x", 3), _r("y", 3))
 _step(Pings, "placed", "SELECT event_id, round(distance, 3) AS distance FROM placed", "distance_to_point", "event_id", _r("distance", 3))
