@@ -26,7 +26,7 @@ from .common import table, whole
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Chunks remembered by each Python worker, in two generations of which the older is dropped when the newer is full.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def _one_by_one(e: UnicodeError) -> tuple[str, int]:
@@ -238,7 +238,7 @@ KINDS = {
     "decoded_sha256": T.StringType(),
 }
 #: Rows that a worker turns into one output batch.
-ROWS = 256
+ROWS = 64
 
 
 def encode(docs: DataFrame, outputs: list[str], path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

@@ -5,8 +5,8 @@ learns from such windows of tokens what the forms look like (the form itself, it
 tokens follow one another. Forward-backward marginals over whole texts give the expected number of toxic tokens and the
 largest marginal of each document; a logistic fit on training documents turns these into a score.
 
-The fit uses at most TRAIN_DOCS labelled documents, WINDOWS windows of WINDOW tokens and FORMS forms (parameters), so
-what the driver gathers is bounded. Scoring covers every document and the whole of its text.
+The fit uses at most TRAIN_DOCS labelled documents for the forms, WINDOWS windows of WINDOW tokens and FORMS forms for
+the field, and SCORED_DOCS documents for the logistic (parameters), so what the driver gathers is bounded. Scoring covers every document and the whole of its text.
 """
 
 from __future__ import annotations
@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import table, whole, without, written
 
-TRAIN_DOCS = 30_000
-WINDOWS, WINDOW = 4_000, 64
-FORMS = 20_000
+TRAIN_DOCS = 20_000
+SCORED_DOCS = 5_000
+WINDOWS, WINDOW = 2_000, 64
+FORMS = 5_000
+#: Documents tagged at a time, and forms whose emissions a worker remembers.
+ROWS, REMEMBERED = 256, 200_000
 MIN_DOCS = 3
 FOLDS, HELD_OUT = 5, 0
 SPACE_BITS = 16
@@ -102,7 +105,7 @@ def fit_field(forms: dict[str, int], sample: list[tuple[list[str], list[int]]],
     n, known = len(sample), {}
     if not n:
         return crf
-    x = np.full((n, WINDOW, 9), -1, dtype=np.int64)
+    x = np.full((n, WINDOW, 9), -1, dtype=np.int32)
     y = np.zeros((n, WINDOW))
     mask = np.zeros((n, WINDOW))
     for i, (tokens, marks) in enumerate(sample):
@@ -111,14 +114,15 @@ def fit_field(forms: dict[str, int], sample: list[tuple[list[str], list[int]]],
                 known[t] = crf.features(t)
             x[i, j], y[i, j], mask[i, j] = known[t], marks[j], 1
     size = (1 << SPACE_BITS) + 1
-    flat = x.reshape(-1)  # -1 reads the last weight, which stays 0
+    x %= size  # no feature reads the last weight, which stays 0
+    flat = x.reshape(-1)
     theta = np.zeros(size + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for r in range(1, rounds + 1):
         e = theta[:size][x].sum(axis=2)
         p, pairs = _marginals(e, mask, theta[size], theta[size + 1 :].reshape(2, 2))
         g = np.zeros_like(theta)
-        g[:size] = np.bincount(flat % size, weights=np.repeat(((y - p) * mask).ravel(), 9), minlength=size)
+        g[:size] = np.bincount(flat, weights=np.repeat(((y - p) * mask).ravel(), 9), minlength=size)
         g[size - 1] = 0
         g[size] = (y[:, 0] - p[:, 0]).sum()
         both = mask[:, 1:] * mask[:, :-1]
@@ -244,9 +248,9 @@ def tag(docs: DataFrame, crf: Field, threshold: float = 0.5, id_col: str = "doc_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         crf, known = shared.value, {}
         for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
-                if len(known) > 500_000:
+            for lo in range(0, len(pdf), ROWS):
+                part = pdf.iloc[lo : lo + ROWS]
+                if len(known) > REMEMBERED:
                     known.clear()
                 texts, values, lengths = part["_text"].tolist(), [], []
                 for text in texts:
@@ -317,7 +321,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     tagged = written(tag(docs, crf))
     a, b, c = F.log1p("expected"), F.col("largest"), F.col("expected") / F.greatest("n_tokens", F.lit(1))
     told = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
-    told = told.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)
+    told = told.orderBy(F.xxhash64("_id"), "_id").limit(SCORED_DOCS)
     rows = tagged.join(F.broadcast(told), tagged["doc_id"] == told["_id"]).select("doc_id", a.alias("a"), b.alias("b"), c.alias("c"), "y").collect()
     rows.sort()
     if rows:

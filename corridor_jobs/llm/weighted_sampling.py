@@ -204,8 +204,7 @@ def compared(docs: DataFrame) -> DataFrame:
                 if size > BYTES_AT_ONCE and len(held) > 1:
                     yield from _compare(held)
                     held, size = held[-1:], len(row[3])
-        if len(held) > 1:
-            yield from _compare(held)
+        yield from _compare(held)
 
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return rows.mapInPandas(run, schema)
@@ -213,6 +212,8 @@ def compared(docs: DataFrame) -> DataFrame:
 
 def _compare(held: list[tuple]) -> Iterator[pd.DataFrame]:
     """Rows for all but the last, which is only a follower."""
+    if len(held) < 2:
+        return
     texts = [x[3] for x in held]
     changed = [edited(a, b) for a, b in zip(texts, texts[1:])]  # noqa: B905
     sig, new = signatures(texts), signatures(changed)
