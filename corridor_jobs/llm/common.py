@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,7 +30,23 @@ def written(df: DataFrame) -> DataFrame:
     """The frame written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files behind frames made by written() that nothing will read again."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer used; else they stay until the driver happens to
+    collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, running_total, table, whole, written
+from .common import BROADCAST_ROWS, discard, released, running_total, table, whole, written
 
 MIN_LINES = 2
 MOST_ROUNDS = 64
@@ -44,7 +44,10 @@ def doubled(ranks: DataFrame, h: int, width: int) -> DataFrame:
     sizes = pairs.groupBy("rank", "_next").agg(F.count(F.lit(1)).alias("n")).withColumn("_bucket", F.floor(F.col("_next") / width))
     moved = running_total(sizes, ["rank"], "_bucket", ["_next"], "n", "_less").filter("_less > 0").select("rank", "_next", "_less")
     changes = pairs.join(moved, ["rank", "_next"]).select("row", "i", "_less")
-    return ranks.join(changes, ["row", "i"], "left").select("row", "i", (F.col("rank") + F.coalesce("_less", F.lit(0))).alias("rank"))
+    new = ranks.join(changes, ["row", "i"], "left").select("row", "i", (F.col("rank") + F.coalesce("_less", F.lit(0))).alias("rank"))
+    new = written(new)
+    discard(pairs)
+    return new
 
 
 def suffix_array(lines: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, list[DataFrame]]:
@@ -53,10 +56,13 @@ def suffix_array(lines: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFram
     width, classes = _width(max(1, ranks.count())), ranks.select("rank").distinct().count()
     by_length, h = [ranks], 1
     for _ in range(MOST_ROUNDS):
-        ranks = written(doubled(ranks, h, width))
+        before, ranks = ranks, doubled(ranks, h, width)
         h *= 2
+        if before is not by_length[-1]:
+            discard(before)
         if h <= min_lines:
             by_length.append(ranks)
+        released(lines.sparkSession)
         now = ranks.select("rank").distinct().count()
         if now == classes and h >= min_lines:
             return ranks, by_length
@@ -95,14 +101,16 @@ def intervals(ranks: DataFrame, by_length: list[DataFrame], min_lines: int = MIN
     return ranks.join(placed.join(many, "interval", "left_semi").select("rank", "interval"), "rank").select("row", "i", "interval")
 
 
-def deleted_lines(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """row, i of every line covered by a run of min_lines lines that also starts earlier (lesser row, or further up)."""
+def deleted_lines(lines: DataFrame, order: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """row, i of every line covered by a run of min_lines lines that also starts earlier: in a row with a lesser place
+    (order: row, place), or further up."""
     ranks, by_length = suffix_array(lines, min_lines)
     runs = written(intervals(ranks, by_length, min_lines))
     last = lines.groupBy("row").agg(F.max("i").alias("_last"))
     runs = runs.join(last, "row").filter(F.col("i") + min_lines - 1 <= F.col("_last")).drop("_last")  # a whole short suffix is no run
-    first = runs.groupBy("interval").agg(F.min(F.struct("row", "i")).alias("_first"))
-    later = runs.join(first, "interval").filter(F.struct("row", "i") != F.col("_first"))
+    runs = written(runs.join(order, "row"))
+    first = runs.groupBy("interval").agg(F.min(F.struct("place", "row", "i")).alias("_first"))
+    later = runs.join(first, "interval").filter(F.struct("place", "row", "i") != F.col("_first"))
     covered = later.select("row", F.explode(F.sequence(F.col("i"), F.col("i") + min_lines - 1)).alias("i"))
     return covered.distinct()
 
@@ -111,21 +119,22 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_lines, n_removed, n_runs, kept (the text without the deleted lines).
 
     Lines are what line feeds divide. Of equal runs the one in the least doc_id stays (null ids first), within a
-    document the upper one; rows that share an id are taken in order of their text. Empty or null text has no lines.
+    document the upper one; rows that share an id are taken in order of a hash of their text. Empty or null text has no lines.
     Overlapping copies are judged on the input. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text"))
-    rows = written(rows.select(F.struct("doc_id", F.md5(F.col("_text").cast("binary")).alias("h"), F.monotonically_increasing_id().alias("m")).alias("row"), "_text"))
+    place = F.struct("doc_id", F.xxhash64("_text").alias("h"))
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), place.alias("place"), "_text"))
     cut = F.split("_text", "\n")
     lines = rows.filter("_text <> ''").select("row", F.posexplode(cut).alias("i", "_line"))
     lines = written(lines.select("row", "i", F.md5(F.col("_line").cast("binary")).alias("id")))
-    gone = written(deleted_lines(lines, min_lines).groupBy("row").agg(F.array_sort(F.collect_set("i")).alias("gone")))
+    gone = written(deleted_lines(lines, rows.select("row", "place"), min_lines).groupBy("row").agg(F.array_sort(F.collect_set("i")).alias("gone")))
     small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     cut_rows = rows.join(F.broadcast(gone) if small else gone, "row").withColumn("_cut", cut)
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_cut") - 1), "gone"))
     runs = F.size(F.filter(F.col("gone"), lambda x, k: (k == 0) | (F.element_at("gone", k) != x - 1)))
     cut_rows = cut_rows.select(
-        F.col("row.doc_id").alias("doc_id"),
+        F.col("place.doc_id").alias("doc_id"),
         F.size("_cut").cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
         runs.cast("long").alias("n_runs"),
@@ -133,7 +142,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     ids = gone.select("row")
     rest = rows.join(F.broadcast(ids) if small else ids, "row", "left_anti").select(
-        F.col("row.doc_id").alias("doc_id"),
+        F.col("place.doc_id").alias("doc_id"),
         F.when(F.col("_text") == "", 0).otherwise(F.size(cut)).cast("long").alias("n_lines"),
         F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_runs"),

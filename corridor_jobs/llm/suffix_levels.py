@@ -13,7 +13,6 @@ removed whole. Segments that share only their gram are compared string by string
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -24,11 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, shared_dir, table, whole, written
+from .common import BROADCAST_ROWS, checkpointed, discard, released, shared_dir, table, whole, written
 from .rolling import Rolling
 
-LENGTH, K = 100, 20
+LENGTH, K = 100, 36
 BATCHES = 4
+#: Segments that share a gram are compared in one place up to so many; those of more common grams string by string.
+CROWD = 2_000
 GROUP_BYTES, PIECE_BYTES = 1 << 20, 4 << 20
 _POS = np.uint64((1 << 24) - 1)
 NULL_ID = -(1 << 63)  # a null doc_id counts as the least
@@ -147,12 +148,6 @@ class Levels:
         self.tables = []
 
 
-def _released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer used."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def repeated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc, start, end: stretches of bytes of _id, _text that hold a string of LENGTH bytes which also starts earlier."""
     spark = docs.sparkSession
@@ -167,7 +162,7 @@ def repeated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             part = part.filter(F.col("_id") < hi)
         parts.append(written(entries(part)))
         found.append(checkpointed(index.add(parts[-1].select("gram")).distinct()))
-        _released(spark)
+        released(spark)
     index.close()
     every, shared = parts[0], found[0]
     for p, s in zip(parts[1:], found[1:], strict=True):
@@ -175,19 +170,25 @@ def repeated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     shared = written(shared.distinct())
     small = shared.limit(5 * BROADCAST_ROWS + 1).count() <= 5 * BROADCAST_ROWS
     matched = written(every.join(F.broadcast(shared) if small else shared, "gram", "left_semi"))
+    discard(shared, *parts)
     place = F.struct("doc", "at")
     firsts = written(matched.groupBy("segment").agg(F.min(place).alias("f"), F.min("n").alias("n"), F.min("gram").alias("gram")))
     later = matched.join(firsts.select("segment", "f"), "segment").filter(place != F.col("f"))
     later = later.select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n") + LENGTH - 1).alias("end"))
-    several = firsts.groupBy("gram").count().filter("count > 1").select("gram")
-    apart = firsts.join(several, "gram", "left_semi").select(F.col("f.doc").alias("doc"), F.col("f.at").alias("at"), "n")
-    asked = written(apart.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
-    strings = written(_strings(_with_text(docs, asked)))
-    _released(spark)
+    several = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram", (F.col("c") > CROWD).alias("crowded"))
+    apart = firsts.join(several, "gram").select(F.col("f.doc").alias("doc"), F.col("f.at").alias("at"), "n", "gram", "crowded")
+    asked = written(apart.groupBy("doc").agg(F.collect_list(F.struct("at", "n", "gram", "crowded")).alias("runs")))
+    released(spark)
+    with_text = written(_contexts(_with_text(docs, asked)))
+    released(spark)
+    spread = with_text.filter("NOT crowded").select("gram", "doc", "at", "n", "bytes")
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = spread.repartition(parallel, "gram").sortWithinPartitions("gram").mapInPandas(_compared, "doc long, start long, end long")
+    strings = with_text.filter("crowded").mapInPandas(_strings, "hash long, doc long, at long")
     once = strings.groupBy("hash").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash", "f")
     again = strings.join(once, "hash").filter(place != F.col("f"))
     again = again.select("doc", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("end"))
-    return later.unionByName(again)
+    return later.unionByName(again).unionByName(near)
 
 
 def _with_text(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
@@ -199,21 +200,70 @@ def _with_text(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
     return docs.select("_id", "_text").join(per_doc.withColumnRenamed("doc", "_id"), "_id")
 
 
-def _strings(rows: DataFrame) -> DataFrame:
-    """hash, doc, at: the strings of each document that its runs (at, n) name."""
+def _contexts(rows: DataFrame) -> DataFrame:
+    """gram, crowded, doc, at, n, bytes: the bytes of every segment that the runs of a document name, a few hundred each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, text, runs in zip(pdf["_id"], pdf["_text"], pdf["runs"], strict=True):
-                at = np.unique(np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in runs]))
-                data = np.frombuffer(text.encode(), dtype=np.uint8)
-                for lo in range(0, len(data), PIECE_BYTES):
-                    own = at[(at >= lo) & (at < lo + PIECE_BYTES)]
-                    if len(own):
-                        h = Rolling(data[lo : lo + PIECE_BYTES + LENGTH - 1]).hashes(own - lo, own - lo + LENGTH)
-                        yield pd.DataFrame({"hash": h.view(np.int64), "doc": i, "at": own})
-
-    return rows.select("_id", "_text", "runs").mapInPandas(run, "hash long, doc long, at long")
+                data = text.encode()
+                made = [(r["gram"], r["crowded"], i, r["at"], r["n"], data[r["at"] : r["at"] + r["n"] + LENGTH - 1]) for r in runs]
+                yield pd.DataFrame(made, columns=["gram", "crowded", "doc", "at", "n", "bytes"])
+
+    return rows.select("_id", "_text", "runs").mapInPandas(run, "gram long, crowded boolean, doc long, at long, n int, bytes binary")
+
+
+def _hashed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of every string of some segments, with its document and offset."""
+    n = pdf["n"].to_numpy(np.int64)
+    size = pdf["bytes"].map(len).to_numpy(np.int64)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(np.cumsum(size) - size, n) + inner
+    h = Rolling(np.frombuffer(b"".join(pdf["bytes"]), dtype=np.uint8)).hashes(start, start + LENGTH)
+    return h, np.repeat(pdf["doc"].to_numpy(np.int64), n), np.repeat(pdf["at"].to_numpy(np.int64), n) + inner
+
+
+def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for lo in range(0, len(pdf), 2000):
+            h, doc, at = _hashed(pdf.iloc[lo : lo + 2000])
+            yield pd.DataFrame({"hash": h.view(np.int64), "doc": doc, "at": at})
+
+
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of gram -> stretches of later strings. A gram's segments may run on into the next batch."""
+    held: pd.DataFrame | None = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        gram = pdf["gram"].to_numpy()
+        cut = int(np.searchsorted(gram, gram[-1], side="left")) if len(gram) else 0
+        held = pdf.iloc[cut:]
+        yield from _later(pdf.iloc[:cut])
+    if held is not None:
+        yield from _later(held)
+
+
+def _later(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    gram = pdf["gram"].to_numpy()
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1, [len(gram)]]) if len(gram) else np.zeros(1, dtype=int)
+    lo = 0
+    while lo < len(gram):  # whole grams, some thousands of segments at a time
+        hi = int(edges[min(np.searchsorted(edges, lo + 4000, side="left"), len(edges) - 1)])
+        part = pdf.iloc[lo:hi]
+        h, doc, at = _hashed(part)
+        order = np.lexsort((at, doc, h))
+        h, doc, at = h[order], doc[order], at[order]
+        first = np.concatenate([[True], h[1:] != h[:-1]])
+        owner = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+        again = (doc != doc[owner]) | (at != at[owner])
+        doc, at = doc[again], at[again]
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        if len(doc):
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)]))
+            last = np.append(new[1:], len(doc)) - 1
+            yield pd.DataFrame({"doc": doc[new], "start": at[new], "end": at[last] + LENGTH})
+        lo = hi
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, kept_text: bool = False) -> DataFrame:
