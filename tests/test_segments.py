@@ -62,7 +62,7 @@ def test_audits(spark):
 
 
 def test_segment_lines_run_back_and_one_sequence_is_left_out(spark):
-    lines = spark.createDataFrame([("a", "f0")], "shape_id string, feed_key string").withColumn("line", F.expr("array(struct(0D x, 0D y), struct(10D, 0D), struct(10D, 10D))"))
+    lines = spark.createDataFrame([("a", "f0")], "shape_id string, feed_key string").withColumn("line", F.expr("array(struct(0D AS x, 0D AS y), struct(10D AS x, 0D AS y), struct(10D AS x, 10D AS y))"))
     rows = [("a", "f0", 1, "p1", "POINT(2 1)"), ("a", "f0", 2, "p2", "POINT(9 0)"), ("a", "f0", 3, "p3", "POINT(11 5)")]
     points = spark.createDataFrame(rows, "shape_id string, feed_key string, stop_sequence int, stop_id string, pt_geom string")
     done = segments.segment_lines(segments.prior_distance(segments.projected_timepoints(segments.timepoint_list(points), lines)))

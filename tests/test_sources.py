@@ -60,7 +60,7 @@ def test_street_network_and_geometry_round_trip(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0, "a")], "u long, v long, key int, name string").write.parquet(f"{tmp_path}/e")
     nodes, edges = readers.read_street_network(spark, f"{tmp_path}/n", f"{tmp_path}/e")
     assert nodes.columns == ["osmid", "lon", "lat", "x", "y"] and edges.count() == 1
-    df = spark.createDataFrame([("s", "f")], "shape_id string, feed_key string").withColumn("line", F.expr("array(struct(0D x, 1D y), struct(2D, 3.5D))"))
+    df = spark.createDataFrame([("s", "f")], "shape_id string, feed_key string").withColumn("line", F.expr("array(struct(0D AS x, 1D AS y), struct(2D AS x, 3.5D AS y))"))
     writers.write_geometry_table(df, f"{tmp_path}/g", ["line"])
     assert spark.read.parquet(f"{tmp_path}/g").first().line == "LINESTRING (0.0 1.0, 2.0 3.5)"
 
