@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, released
 
 MAX_ROUNDS = 60
 
@@ -34,4 +34,6 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
         labels = step.select("node", "label")
         if not changed:
             return labels
+        del told, near, root, step
+        released(edges.sparkSession)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

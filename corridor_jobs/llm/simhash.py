@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, semi, table, whole, without, written
+from .common import checkpointed, released, semi, table, whole, without, written
 from .components import components
 
 BITS = 3
@@ -182,6 +182,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     columns are ignored, an empty table gives no rows.
     """
     rows = written(fingerprints(docs, id_col, text_col, words))
+    released(docs.sparkSession)
     fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     label = components(links(fps.select("fp")))
     tagged = fps.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
