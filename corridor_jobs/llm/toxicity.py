@@ -29,7 +29,7 @@ SCORED_DOCS = 5_000
 WINDOWS, WINDOW = 2_000, 64
 FORMS = 5_000
 #: Documents tagged at a time, and forms whose emissions a worker remembers.
-ROWS, REMEMBERED = 256, 200_000
+ROWS, REMEMBERED = 512, 400_000
 MIN_DOCS = 3
 FOLDS, HELD_OUT = 5, 0
 SPACE_BITS = 16
