@@ -24,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, released, semi, table, whole, without, written
+from . import near_copies
+from .common import checkpointed, released, semi, table, whole, written
 from .components import components
 
 BITS = 3
@@ -192,8 +193,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the one with the least doc_id."""
-    return without(docs, classes(docs).filter("doc_id <> component_id").select("doc_id"))
+    """The documents that stay: of each component of near copies (see near_copies) the one with the least doc_id."""
+    return near_copies.drop_near(docs)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
