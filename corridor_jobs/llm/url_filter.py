@@ -64,7 +64,8 @@ def unigrams(pages: DataFrame) -> DataFrame:
     """word, n: letters-only words of all pages' visible text and paths, up to LONGEST_WORD letters (longer ones cannot
     be part of a split)."""
     shown = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&\w+;", " ")
-    each = pages.select(F.explode(F.concat(words_of(shown), words_of(F.coalesce("url", F.lit(""))))).alias("word"))
+    _, path = url_parts(F.col("_url"))
+    each = pages.select(shown.alias("_shown"), F.col("url").alias("_url")).select(F.explode(F.concat(words_of(F.col("_shown")), words_of(F.coalesce(path, F.lit(""))))).alias("word"))
     return each.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -115,3 +115,19 @@ def test_bayes_equals_counts_by_hand(spark):
     got = {r.page_id: (r.verdict, r.score) for r in url_filter.verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[0][1] is None and got[10][1] > got[11][1]
     assert url_filter.verdicts(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
+
+
+def test_hosts_do_not_vouch_for_their_own_labels(spark):
+    """A concatenated label with many pages is split into the words that texts and paths show."""
+    text = "<p>green garden green house garden house</p>"
+    rows = [(i, f"https://greengarden.net/house/{i}", text) for i in range(40)] + [(99, "HTTPS://greenhouse.net?x=1", text)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counts = {r.word: r.n for r in url_filter.unigrams(pages).collect()}
+    assert counts == {"green": 82, "garden": 82, "house": 122}
+    labels = spark.createDataFrame([("greengarden",), ("greenhouse",)], "label string")
+    got = {r.label: r.words for r in url_filter.segmented(labels, url_filter.unigrams(pages)).collect()}
+    assert got == {"greengarden": ["green", "garden"], "greenhouse": ["green", "house"]}
+    judged = url_filter.judged(pages)
+    listed = {t for r in url_filter.tokens(judged, url_filter.segmented(labels, url_filter.unigrams(pages))).collect() for t in r.tokens}
+    assert {"h:green", "h:garden", "h:house"} <= listed and "h:greengarden" not in listed
+    assert url_filter.verdicts(pages).count() == len(rows)
