@@ -153,6 +153,14 @@ def test_line_runs_of_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 2), (1, 3)]
 
 
+def test_runs_of_one_line_take_lines_whose_neighbours_differ(spark):
+    rows = [(0, "a\nb\nc"), (1, "x\nb\ny"), (2, "one line"), (3, "one line"), (4, "c\n\nb\n"), (5, ""), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.deduplicated(docs, min_lines=1).collect()}
+    assert got == slow_lines([(i, t or "") for i, t in rows], 1)
+    assert got[1] == (3, 1, "x\ny") and got[3] == (1, 1, "")
+
+
 def test_suffix_ranks_equal_sorted_suffixes(spark):
     rows = [(0, "a\nb\na\nb\na"), (1, "b\na\nb"), (2, "c")]
     lines = [(r, i, hashlib.md5(x.encode()).hexdigest()) for r, t in rows for i, x in enumerate(t.split("\n"))]
