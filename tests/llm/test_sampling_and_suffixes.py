@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from corridor_jobs.llm import line_dedup, suffix_levels, token_counts, weighted_sampling
+from corridor_jobs.llm import suffix_levels, token_counts, weighted_sampling
 from corridor_jobs.llm.rolling import Rolling
 from tests.llm.edge_cases import documents, plain
 
@@ -123,53 +123,6 @@ def test_no_rows_and_null_ids(spark):
     assert suffix_levels.deduplicated(docs.filter("false")).isEmpty()
 
 
-def slow_lines(rows, run=2):
-    seen, out = {}, {}
-    for i, text in rows:
-        lines = text.split("\n") if text else []
-        gone = set()
-        for p in range(len(lines) - run + 1):
-            if seen.setdefault(tuple(lines[p : p + run]), (i, p)) != (i, p):
-                gone |= set(range(p, p + run))
-        out[i] = (len(lines), len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone))
-    return out
-
-
-@pytest.mark.parametrize("run", [2, 3])
-def test_deleted_lines_equal_brute_force(spark, run):
-    rng = np.random.default_rng(8)
-    rows = [(i, "\n".join(rng.choice(list("abcdef"), rng.integers(1, 12)))) for i in range(40)]
-    rows += [(40, rows[3][1]), (41, ""), (42, None), (43, "a\n\na\n\n"), (44, "\n".join("xy" * 30))]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, rank int")
-    want = slow_lines([(i, t or "") for i, t in rows], run)
-    got = line_dedup.deduplicated(docs, min_lines=run).collect()
-    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in got} == want
-    assert line_dedup.deduplicated(docs.filter("false")).isEmpty()
-
-
-def test_line_runs_of_repeated_rows_and_null_ids(spark):
-    rows = [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "b\nc\nd")]
-    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 2), (1, 3)]
-
-
-def test_runs_of_one_line_take_lines_whose_neighbours_differ(spark):
-    rows = [(0, "a\nb\nc"), (1, "x\nb\ny"), (2, "one line"), (3, "one line"), (4, "c\n\nb\n"), (5, ""), (6, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.deduplicated(docs, min_lines=1).collect()}
-    assert got == slow_lines([(i, t or "") for i, t in rows], 1)
-    assert got[1] == (3, 1, "x\ny") and got[3] == (1, 1, "")
-
-
-def test_suffix_ranks_equal_sorted_suffixes(spark):
-    rows = [(0, "a\nb\na\nb\na"), (1, "b\na\nb"), (2, "c")]
-    lines = [(r, i, hashlib.md5(x.encode()).hexdigest()) for r, t in rows for i, x in enumerate(t.split("\n"))]
-    ranks, _ = line_dedup.suffix_array(spark.createDataFrame(lines, "row long, i int, id string"))
-    suffix = {(r, i): [h for q, j, h in lines if q == r and j >= i] for r, i, _ in lines}
-    order = sorted(suffix.values())
-    assert {(x.row, x.i): x["rank"] for x in ranks.collect()} == {k: order.index(v) for k, v in suffix.items()}
-
-
 def test_batches_count_once_and_deletes_take_back(spark, tmp_path):
     roll = token_counts.Rollup(spark, str(tmp_path / "r"))
     kind = "source string, lang string, version string, tokens long, tokens_before long"
