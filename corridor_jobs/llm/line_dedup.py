@@ -22,6 +22,8 @@ from .common import discard, released, running_total, table, whole, written
 
 MIN_LINES = 1
 MOST_ROUNDS = 64
+#: Levels joined in one job of the descent.
+LEVELS_AT_ONCE = 3
 #: What makes a line more than blank.
 VISIBLE = r"[^\x20\x09-\x0D]"
 
@@ -71,8 +73,8 @@ def suffixes(lines: DataFrame) -> DataFrame:
     return out
 
 
-def doubled(open_: DataFrame, ranks: DataFrame, h: int, width: int) -> DataFrame:
-    """The suffixes of open_ (d, i, line, reach, rank) with their rank by 2h lines and the size of its class (n).
+def doubled(open_: DataFrame, ranks: DataFrame, h: int, width: int, round_: int) -> DataFrame:
+    """The suffixes of open_ (d, i, line, reach, rank) with their rank by 2h lines, the round, and if they stay open.
 
     ranks (d, i, rank) has all suffixes. One that ends before comes first.
     """
@@ -81,7 +83,9 @@ def doubled(open_: DataFrame, ranks: DataFrame, h: int, width: int) -> DataFrame
     pairs = written(open_.join(further, ["d", "i"], "left").select("d", "i", "line", "reach", "rank", next_rank.alias("_next")))
     sizes = pairs.groupBy("rank", "_next").agg(F.count(F.lit(1)).alias("n")).withColumn("_bucket", F.floor(F.col("_next") / width))
     placed = running_total(sizes, ["rank"], "_bucket", ["_next"], "n", "_less").select("rank", "_next", "_less", "n")
-    out = written(pairs.join(placed, ["rank", "_next"]).select("d", "i", "line", "reach", (F.col("rank") + F.col("_less")).alias("rank"), "n"))
+    open_still = (F.col("n") > 1) & (F.col("reach") >= 2 * h)
+    new = pairs.join(placed, ["rank", "_next"]).select("d", "i", "line", "reach", (F.col("rank") + F.col("_less")).alias("rank"), open_still.alias("open"), F.lit(round_).alias("round"))
+    out = written(new)
     discard(pairs)
     return out
 
@@ -89,30 +93,22 @@ def doubled(open_: DataFrame, ranks: DataFrame, h: int, width: int) -> DataFrame
 def suffix_array(found: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
     """Ranks (d, i, line, reach, rank) of all suffixes, equal ones sharing one; the levels, the k-th being the suffixes
     that have 2 ** k lines which also start elsewhere, with their ranks by so many; and the tables behind both."""
-    columns = ["d", "i", "line", "reach", "rank"]
+    spark, columns = found.sparkSession, ["d", "i", "line", "reach", "rank"]
     open_ = found.withColumn("rank", F.col("line")).select(columns)
     width = _width(max(1, found.count()))
-    levels, done, tables, h = [open_], [], [], 1
-    for _ in range(MOST_ROUNDS):
-        if open_.isEmpty():
-            return _union(done or [open_]), levels, tables
-        new = doubled(open_, _union([*done, open_]), h, width)
-        tables.append(new)
-        h *= 2
-        more = (F.col("n") > 1) & (F.col("reach") >= h)
-        done.append(new.filter(~more).select(columns))
-        open_ = new.filter(more).select(columns)
+    ranks, levels, tables = open_, [], []
+    for k in range(MOST_ROUNDS):
         levels.append(open_)
+        if open_.isEmpty():
+            return ranks, levels, tables
+        tables.append(doubled(open_, ranks, 1 << k, width, k))
+        every = spark.read.schema(tables[0].schema).parquet(*(t.written_path for t in tables))
+        ranks = every.filter((F.col("round") == k) | ~F.col("open")).select(columns)
+        open_ = tables[-1].filter("open").select(columns)
+        released(spark)
     raise RuntimeError(f"suffixes were not told apart in {MOST_ROUNDS} rounds")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def prefixes(ranks: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """rank, n, _bucket, lcp (lines shared with the class before), own (lines shared within the class, 0 if it is alone)."""
     width = _width(max(1, ranks.count()))
@@ -125,14 +121,20 @@ def prefixes(ranks: DataFrame, levels: list[DataFrame]) -> DataFrame:
     all_ = classes.withColumn("_near", near).join(ends, "_bucket").withColumn("_near", F.coalesce("_near", "_before"))
     all_ = written(all_.select("rank", "n", "own", "_bucket", "p.line", "p.d", "p.i", F.col("_near.p.line").alias("_line"), F.col("_near.p.d").alias("_d"), F.col("_near.p.i").alias("_i")))
     both = all_.filter("line = _line").select("rank", "d", "i", "_d", "_i", F.lit(0).alias("lcp"))
+    step = None
     for k in reversed(range(len(levels))):
         a = levels[k].select("d", F.col("i").alias("_p"), F.col("rank").alias("_ra"))
         b = levels[k].select(F.col("d").alias("_d"), F.col("i").alias("_q"), F.col("rank").alias("_rb"))
         both = both.withColumns({"_p": F.col("i") + F.col("lcp"), "_q": F.col("_i") + F.col("lcp")})
         both = both.join(a, ["d", "_p"], "left").join(b, ["_d", "_q"], "left")
         both = both.withColumn("lcp", F.col("lcp") + F.when(F.col("_ra") == F.col("_rb"), 1 << k).otherwise(0)).drop("_p", "_q", "_ra", "_rb")
+        if k % LEVELS_AT_ONCE == 0 and k:  # plans stay small
+            before, both = step, written(both)
+            step = both
+            discard(*([before] if before else []))
+            released(ranks.sparkSession)
     out = written(all_.select("rank", "n", "own", "_bucket").join(both.select("rank", "lcp"), "rank", "left").withColumn("lcp", F.coalesce("lcp", F.lit(0))))
-    discard(all_)
+    discard(all_, *([step] if step else []))
     return out
 
 
