@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corridor_jobs.llm import suffix_levels, token_counts, weighted_sampling
 from corridor_jobs.llm.rolling import Rolling
@@ -103,18 +104,72 @@ def test_removed_bytes_equal_brute_force(spark, batches):
 
 def test_long_texts_in_pieces_and_levels_that_merge(spark, monkeypatch):
     monkeypatch.setattr(suffix_levels, "PIECE_BYTES", 256)
-    ids, texts = [1, 2], ["".join(chr(97 + (i * i) % 23) for i in range(1500)), "q" * 40]
-    pieces = list(suffix_levels._grouped(ids, texts))
-    found = [(p[0][t], p[1][t] + a + k) for p in pieces for t, a, n, _, _ in zip(*suffix_levels.segments_of(p[2]), strict=True) for k in range(n)]
-    assert sorted(found) == [(1, i) for i in range(1401)]
-    index = suffix_levels.Levels(spark)
-    met = []
-    for k in range(5):
-        grams = spark.createDataFrame([(k * 10 + j,) for j in range(4)] + [(999,)], "gram long")
-        met.append(sorted(r.gram for r in index.add(grams).collect()))
-    assert met == [[], [999], [999], [999, 999], [999]] and [p for p, _ in index.tables] == [2, 0]
+    texts = [(1, bytes(97 + (i * i) % 23 for i in range(1500))), (2, b"q" * 40), (3, b"xy" * 600), (4, b"xy" * 90)]
+    found, again = [], {}
+    for made in suffix_levels.rows_of(iter(texts)):
+        for doc, at, n, segment, told in zip(*(made[k].tolist() for k in ("doc", "at", "n", "segment", "again")), strict=True):
+            found += [(doc, at + k) for k in range(n)]
+            again.setdefault((doc, segment), []).append((at, told))
+    assert sorted(found) == [(i, k) for i, t in texts for k in range(len(t) - 99)]
+    assert all([told for _, told in sorted(places)] == [k > 0 for k in range(len(places))] for places in again.values())
+
+
+def texts_of(spark, rows):
+    return spark.createDataFrame(rows, "_id long, _text string")
+
+
+def test_levels_merge_and_outlive_a_run(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(5000)]
+    rows = [(i, " ".join(rng.choice(words, 40))) for i in range(12)]
+    rows = [(i, t + " " + rows[i - 4][1][30:230] if i in (5, 8, 11) else t) for i, t in rows]
+    want = slow_removal(rows)
+    root, got, powers = f"{tmp_path}/index", {}, []
+    for lo in (0, 3, 6, 9):
+        index = suffix_levels.Levels(spark, root)  # opened anew, as by another job
+        found = suffix_levels.added(index, texts_of(spark, rows[lo : lo + 3]), texts_of(spark, rows[:lo]))
+        for r in found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("r")).collect():
+            got[r.doc] = sum(len(range(*x)) for x in merged(r.r))
+        powers.append([p for p, _ in index.tables])
+    assert powers == [[0], [0, 0], [1, 0], [1, 0, 0]]
+    assert got == {i: w[1] for i, w in want.items() if w[1]} and sorted(got) == [5, 8, 11]
+    index = suffix_levels.Levels(spark, root)
+    places = spark.table(index.tables[0][1])
+    assert places.columns[:4] == ["gram", "segment", "doc", "at"] and places.count() == places.select("gram", "segment").distinct().count()
     index.close()
-    assert index.tables == []
+    assert index.tables == [] and suffix_levels.Levels(spark, root).tables == []
+
+
+def merged(stretches):
+    out = []
+    for a, b in sorted(map(tuple, stretches)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [1, 2_000])
+def test_common_grams_are_compared_string_by_string(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_levels, "CROWD", crowd)
+    passage = "".join(chr(97 + (i * i * 7) % 26) for i in range(130))
+    docs = spark.createDataFrame([(i, f"{i} start {chr(65 + i) * 50}{passage}{chr(75 + i) * 60} end {i}") for i in range(10)], "doc_id long, text string")
+    want = slow_removal(plain(docs))
+    for r in suffix_levels.deduplicated(docs, batches=3).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+
+
+def test_ids_with_two_texts(spark):
+    long_a, long_b = "a quick fox jumps over it " * 3 + "x" * 90, "nothing in common with others at all, " * 2 + "y" * 100
+    rows = [(1, long_a), (1, long_b), (2, "tail " + long_b), (1, long_a), (None, "head " + long_a), (None, long_b), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_levels.deduplicated(docs, kept_text=True).collect()
+    assert len(got) == len(rows)
+    ordered = sorted({(i is not None, i or 0, t or "") for i, t in rows if i != 1})
+    assert {r.kept.decode() for r in got if r.doc_id is None} == {t for known, _, t in ordered if not known}
+    kept = {(r.doc_id, r.kept.decode()) for r in got if r.doc_id is not None}
+    assert kept == {(1, ""), (2, "tail "), (3, "")}  # both texts of 1 stand in the rows without an id
 
 
 def test_no_rows_and_null_ids(spark):
