@@ -3,8 +3,8 @@
 The normaliser takes, at each place, the longest prefix that the model's compiled character map knows (a double-array
 trie; none in an identity model) and records where in the source each normalised character came from. White space
 becomes U+2581. As no piece of a supported model has U+2581 after another character, no merge crosses the start of a
-run of them: the text is cut there, each distinct chunk is merged once and remembered, and piece spans are those of the
-chunk moved to its place. Where no piece mixes letters with other characters, chunks end between these too.
+run of them: the text is cut there, each distinct chunk is normalised and merged once and remembered, and piece spans are
+those of the chunk moved to its place. Where no piece mixes letters with other characters, chunks end between these too.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -26,7 +27,7 @@ from .common import table, whole
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Chunks remembered by each Python worker, in two generations of which the older is dropped when the newer is full.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 
 
 def _one_by_one(e: UnicodeError) -> tuple[str, int]:
@@ -62,13 +63,12 @@ class CharsMap:
 
 
 class Model:
-    """A BPE model file, as encoder and decoder."""
+    """A BPE model, as encoder and decoder. data: the content of its file."""
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
-        with open(path, "rb") as f:
-            m = proto.ModelProto.FromString(f.read())
+        m = proto.ModelProto.FromString(data)
         spec = m.normalizer_spec
         if m.trainer_spec.model_type != 2 or not m.trainer_spec.byte_fallback:
             raise ValueError("only BPE models with byte fallback are supported")
@@ -86,7 +86,6 @@ class Model:
         unknown = m.trainer_spec.unk_surface.encode()
         self.raw = [p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else unknown if p.type == UNKNOWN else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" for p in m.pieces]
         self.spaced = {i for p, i in self.ids.items() if p[0] == SPACE}
-        self.text_of_id = [str(i) for i in range(len(m.pieces))]
         bare = [p.lstrip(SPACE) for p in self.ids]
         letter = re.compile(r"[^\W\d_]")
         odd = sorted({c for p in bare if 0 < len(kinds := letter.findall(p)) < len(p) for c in kinds})
@@ -95,8 +94,8 @@ class Model:
         apart = all(letters.fullmatch(p) or not letters.search(p) for p in bare)
         run = rf"(?:{letters.pattern}|(?:[^\w {SPACE}]|[\d_{out}])+)" if apart else f"[^ {SPACE}]+"
         self.cut = re.compile(f"[ {SPACE}]*{run}|[ {SPACE}]+")
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.seen: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def normalise(self, text: str, prefix: bool) -> tuple[str, list[int], list[int]]:
         """The normalised text, and for each of its characters the source bytes [start, end)."""
@@ -150,41 +149,35 @@ class Model:
                     heapq.heappush(heap, (-x, a, parts[a] + parts[b]))
         return [p for p in parts if p]
 
-    def chunk(self, text: str, prefix: bool) -> tuple[int, ...]:
-        """The ids of a chunk."""
-        norm = self.normalise(text, prefix)[0] if self.map.units else SPACE * prefix + text.replace(" ", SPACE)
-        out, ids = [], self.ids
-        for piece in self.merge(norm):
-            i = ids.get(piece)
-            if i is not None:
-                out.append(i)
-            else:
-                out += [self.byte_ids[b] for b in piece.encode()]
-        return tuple(out)
-
-    def chunk_spans(self, text: str, prefix: bool) -> tuple[list[int], list[int]]:
-        """Source bytes of each id of a chunk. The bytes that a character falls back to share its span."""
+    def chunk(self, text: str, prefix: bool) -> tuple[bytes, str, bytes, bytes, bytes, int]:
+        """A chunk normalised and merged: its ids, these in decimals, the bytes that they decode to, the source bytes
+        [starts, ends) of each id, counted from the chunk's first, and the number of source bytes. ids, starts and ends
+        are packed as 32-bit integers. The bytes that a character falls back to share its span."""
         norm, starts, ends = self.normalise(text, prefix)
-        begin, end, at = [], [], 0
+        out, begin, end, at = [], [], [], 0
         for piece in self.merge(norm):
-            last, n = at + len(piece) - 1, 1 if piece in self.ids else len(piece.encode())
-            begin += [starts[at]] * n
-            end += [ends[last]] * n
+            last, i = at + len(piece) - 1, self.ids.get(piece)
+            found = [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
+            out += found
+            begin += [starts[at]] * len(found)
+            end += [ends[last]] * len(found)
             at = last + 1
-        return begin, end
+        packed = [np.array(x, dtype=np.int32).tobytes() for x in (out, begin, end)]
+        return packed[0], ",".join(map(str, out)), b"".join([self.raw[i] for i in out]), packed[1], packed[2], len(text.encode())
 
     def parts(self, text: str) -> list[str]:
         """The text in chunks that no merge crosses; whole where the map may look across them."""
         return self.cut.findall(text) if not self.map.units else [text] if text else []
 
-    def encode(self, text: str) -> list[int]:
+    def chunks(self, text: str) -> list[tuple]:
+        """What chunk() gives for each part of the text."""
         parts = self.parts(text)
         if not parts:
             return []
         if len(self.seen) > REMEMBERED:
             self.seen, self.older = {}, self.seen
         seen, get, older = self.seen, self.seen.get, self.older
-        out = list(self.chunk(parts[0], self.dummy))
+        out = [self.chunk(parts[0], self.dummy)]
         for p in parts[1:]:
             e = get(p)
             if e is None:
@@ -193,32 +186,42 @@ class Model:
                     e = self.chunk(p, False)
                 if len(p) <= 64:
                     seen[p] = e
-            out += e
+            out.append(e)
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return ids_of(self.chunks(text)).tolist()
+
     def spans(self, text: str) -> tuple[list[int], list[int]]:
         """Start and end, in bytes of the source, of every piece that encode() gives."""
-        starts: list[int] = []
-        ends: list[int] = []
-        at = 0
-        for i, p in enumerate(self.parts(text)):
-            b, e = self.chunk_spans(p, self.dummy and i == 0)
-            starts += [at + x for x in b]
-            ends += [at + x for x in e]
-            at += len(p.encode())
-        return starts, ends
+        starts, ends = spans_of(self.chunks(text))
+        return starts.tolist(), ends.tolist()
+
+    def text_of(self, raw: bytes, first: int | None) -> str:
+        """The text of the bytes that ids decode to; first is the first id."""
+        if self.dummy and first in self.spaced:
+            raw = raw[1:]
+        return raw.decode("utf-8", "piece_bytes")
 
     def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        data = b"".join([raw[i] for i in ids])
-        if self.dummy and ids and ids[0] in self.spaced:
-            data = data[1:]
-        return data.decode("utf-8", "piece_bytes")
+        return self.text_of(b"".join([self.raw[i] for i in ids]), ids[0] if len(ids) else None)
+
+
+def ids_of(chunks: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join([e[0] for e in chunks]), dtype=np.int32)
+
+
+def spans_of(chunks: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of all pieces: those of each chunk, moved to its place."""
+    size = np.array([e[5] for e in chunks], dtype=np.int64)
+    moved = np.repeat(np.cumsum(size) - size, [len(e[0]) // 4 for e in chunks])
+    return tuple((np.frombuffer(b"".join([e[k] for e in chunks]), dtype=np.int32) + moved).astype(np.int32) for k in (3, 4))
 
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Model:
-    return Model(path)
+    with open(path, "rb") as f:
+        return Model(f.read())
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -229,13 +232,14 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 #: What encode() can return, by column.
 KINDS = {
-    "pieces": T.ArrayType(T.IntegerType()),
-    "starts": T.ArrayType(T.IntegerType()),
-    "ends": T.ArrayType(T.IntegerType()),
-    "decoded": T.StringType(),
-    "n_tokens": T.LongType(),
-    "ids_sha256": T.StringType(),
-    "decoded_sha256": T.StringType(),
+    "pieces": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
+    "starts": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
+    "ends": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
+    "decoded": (T.StringType(), pa.string()),
+    "n_tokens": (T.LongType(), pa.int64()),
+    "ids_sha256": (T.StringType(), pa.string()),
+    "decoded_sha256": (T.StringType(), pa.string()),
+    "spans_sha256": (T.StringType(), pa.string()),
 }
 #: Rows that a worker turns into one output batch.
 ROWS = 64
@@ -243,54 +247,45 @@ ROWS = 64
 
 def encode(docs: DataFrame, outputs: list[str], path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The kept columns of every document, then the outputs asked for: pieces (ids), starts and ends (source bytes of
-    each), decoded (the text that the ids decode to), n_tokens, and digests of ids and decoded text.
+    each), decoded (the text that the ids decode to), n_tokens, and digests of ids (in decimals, with commas), decoded
+    text, and spans (starts, then ends, each in four bytes, the lowest first).
 
     Narrow: no shuffle, one pass over the text. Null or empty text has no pieces and decodes to the empty text. Very
     long texts are encoded whole. Columns not in keep are ignored. An output with the name of a kept column is an error.
+    Repeated rows are encoded each; an empty table gives no rows.
     """
     if clash := {*outputs} & {*keep}:
         raise ValueError(f"outputs and kept columns share names: {sorted(clash)}")
     path = path or model_path()
     src = docs.select(*keep, whole(text_col).alias("_text"))
-    schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(k, KINDS[k]) for k in outputs)])
+    schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(k, KINDS[k][0]) for k in outputs)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for pdf in batches:
-            for lo in range(0, len(pdf), ROWS):
-                part = pdf.iloc[lo : lo + ROWS]
-                made: dict[str, list] = {k: [] for k in outputs}
-                for text in part["_text"]:
-                    _document(model, text, made)
-                out = part.drop(columns="_text")
-                for k in outputs:
-                    out[k] = pd.Series(made[k], index=out.index, dtype=object if k not in ("n_tokens",) else "int64")
-                yield out
-
-    return src.mapInPandas(run, schema)
-
-
-def _document(model: Model, text: str, made: dict[str, list]) -> None:
-    ids = model.encode(text)
-    if "pieces" in made:
-        made["pieces"].append(ids)
-    if "starts" in made or "ends" in made:
-        starts, ends = model.spans(text)
-        for k, v in (("starts", starts), ("ends", ends)):
-            if k in made:
-                made[k].append(v)
-    if "n_tokens" in made:
-        made["n_tokens"].append(len(ids))
-    if "ids_sha256" in made:
-        name = model.text_of_id
-        made["ids_sha256"].append(hashlib.sha256(",".join([name[i] for i in ids]).encode()).hexdigest())
-    if "decoded" in made or "decoded_sha256" in made:
-        decoded = model.decode(ids)
-        if "decoded" in made:
-            made["decoded"].append(decoded)
-        if "decoded_sha256" in made:
-            made["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                made = [_document(model, text.as_py(), outputs) for text in part.column(len(keep))]
+                columns = [pa.array([m[k] for m in made], type=KINDS[k][1]) for k in outputs]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names=[*keep, *outputs])
+
+    return src.mapInArrow(run, schema)
+
+
+def _document(model: Model, text: str, outputs: list[str]) -> dict:
+    chunks = model.chunks(text)
+    ids = ids_of(chunks)
+    made: dict = {"pieces": ids, "n_tokens": len(ids)}
+    if {"starts", "ends", "spans_sha256"} & {*outputs}:
+        starts, ends = spans_of(chunks)
+        made |= {"starts": starts, "ends": ends, "spans_sha256": hashlib.sha256(starts.astype("<i4").tobytes() + ends.astype("<i4").tobytes()).hexdigest()}
+    if "ids_sha256" in outputs:
+        made["ids_sha256"] = hashlib.sha256(",".join([e[1] for e in chunks]).encode()).hexdigest()
+    if {"decoded", "decoded_sha256"} & {*outputs}:
+        decoded = model.text_of(b"".join([e[2] for e in chunks]), int(ids[0]) if len(ids) else None)
+        made |= {"decoded": decoded, "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
+    return made
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), ["n_tokens", "ids_sha256", "decoded_sha256"])
+    return encode(table(spark, sf_dir, "documents"), ["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +30,13 @@ SCORED_DOCS = 5_000
 WINDOWS, WINDOW = 2_000, 64
 FORMS = 5_000
 #: Documents tagged at a time, and forms whose emissions a worker remembers.
-ROWS, REMEMBERED = 512, 400_000
+ROWS, REMEMBERED = 512, 200_000
 MIN_DOCS = 3
 FOLDS, HELD_OUT = 5, 0
 SPACE_BITS = 16
 BLOCK = 64
 TOKEN = re.compile(r"[^\W_]+")
+ARROW = [pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 EMPTY_SCHEMA = "doc_id {id}, expected double, largest double, n_tokens long, starts array<int>, ends array<int>"
 
 
@@ -245,14 +247,14 @@ def tag(docs: DataFrame, crf: Field, threshold: float = 0.5, id_col: str = "doc_
     src = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf, known = shared.value, {}
-        for pdf in batches:
-            for lo in range(0, len(pdf), ROWS):
-                part = pdf.iloc[lo : lo + ROWS]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
                 if len(known) > REMEMBERED:
                     known.clear()
-                texts, values, lengths = part["_text"].tolist(), [], []
+                texts, values, lengths = part.column(1).to_pylist(), [], []
                 for text in texts:
                     words = TOKEN.findall(text)
                     lengths.append(len(words))
@@ -263,10 +265,8 @@ def tag(docs: DataFrame, crf: Field, threshold: float = 0.5, id_col: str = "doc_
                         values.append(x)
                 size = np.array(lengths, dtype=np.int64)
                 p = chain_marginals(np.array(values), size, crf.start, crf.step) if values else np.zeros(0)
-                end = np.cumsum(size)
-                out = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": size})
-                made: dict[str, list] = {"expected": [], "largest": [], "starts": [], "ends": []}
-                for text, n, stop in zip(texts, lengths, end, strict=True):
+                made: dict[str, list] = {"expected": [], "largest": [], "n_tokens": lengths, "starts": [], "ends": []}
+                for text, n, stop in zip(texts, lengths, np.cumsum(size), strict=True):
                     own = p[stop - n : stop]
                     hot = set(np.flatnonzero(own >= threshold).tolist())
                     spans = [m.span() for i, m in enumerate(TOKEN.finditer(text)) if i in hot] if hot else []
@@ -274,9 +274,10 @@ def tag(docs: DataFrame, crf: Field, threshold: float = 0.5, id_col: str = "doc_
                     made["largest"].append(float(own.max()) if n else 0.0)
                     made["starts"].append([s for s, _ in spans])
                     made["ends"].append([e for _, e in spans])
-                yield out.assign(**made)[["doc_id", "expected", "largest", "n_tokens", "starts", "ends"]]
+                columns = [pa.array(v, type=kind) for v, kind in zip(made.values(), ARROW, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *made])
 
-    return src.mapInPandas(run, EMPTY_SCHEMA.format(id=dict(src.dtypes)["doc_id"]))
+    return src.mapInArrow(run, EMPTY_SCHEMA.format(id=dict(src.dtypes)["doc_id"]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:

@@ -37,7 +37,7 @@ def test_spans_cover_the_source_in_order():
     assert [b"ab cd"[a:b] for a, b in zip(starts, ends, strict=True)][-1].strip() in (b"cd", b"d")
 
 
-def test_longest_prefix_of_a_compiled_map():
+def compiled_map():
     """A double array for the keys a -> X and ab -> YZ, laid out by hand."""
     size = 1024
     units = [0] * size
@@ -49,23 +49,57 @@ def test_longest_prefix_of_a_compiled_map():
     b = 512 ^ ord("b")
     units[b] = offset(b, 400) | 0x100 | ord("b")
     units[400] = 0x80000000 | 2
-    blob = struct.pack("<I", 4 * size) + struct.pack(f"<{size}I", *units) + b"X\0YZ\0"
-    m = pieces.CharsMap(blob)
+    return struct.pack("<I", 4 * size) + struct.pack(f"<{size}I", *units) + b"X\0YZ\0"
+
+
+def mapped_model() -> bytes:
+    """The model with that map in place of none."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    with open(pieces.model_path(), "rb") as f:
+        m = proto.ModelProto.FromString(f.read())
+    m.normalizer_spec.precompiled_charsmap = compiled_map()
+    return m.SerializeToString()
+
+
+def test_longest_prefix_of_a_compiled_map():
+    m = pieces.CharsMap(compiled_map())
     assert m.longest(b"abc", 0) == (2, b"YZ") and m.longest(b"acb", 0) == (1, b"X") and m.longest(b"ba", 0) is None
-    model = pieces.Model(pieces.model_path())
-    model.map = m
-    norm, starts, ends = model.normalise("c ab", prefix=True)
+    norm, starts, ends = pieces.Model(mapped_model()).normalise("c ab", prefix=True)
     assert (norm, starts, ends) == ("▁c▁YZ", [0, 0, 1, 2, 2], [0, 1, 2, 4, 4])
 
 
+def byte_spans(library, text):
+    """The library's spans in bytes, and where each piece is no byte that a character fell back to."""
+    found = library.encode(text, return_type="proto").pieces
+    return [(p.begin, p.end) for p in found], [not library.is_byte(p.id) for p in found]
+
+
+def test_ids_and_spans_with_a_map_and_without_equal_the_library(library):
+    import sentencepiece
+
+    mapped, rng = sentencepiece.SentencePieceProcessor(model_proto=mapped_model()), random.Random(6)
+    texts = ["ab cab aab", "banana cabs", "x ab", "the cat sat", "é ab né 12, 3"] + ["".join(rng.choice("abab cde thé,1 ") for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    for lib, model in ((library, pieces.load(pieces.model_path())), (mapped, pieces.Model(mapped_model()))):
+        for text in texts:
+            assert model.encode(text) == lib.encode(text)
+            want, whole = byte_spans(lib, text)
+            got = list(zip(*model.spans(text), strict=True))
+            for (start, end), (s, e), is_whole in zip(got, want, whole, strict=True):
+                # A piece that ends inside a replacement: the library stops before what was replaced, ours takes it in.
+                assert not is_whole or (start == s and (end == e or (lib is mapped and text.encode()[e:end] == b"ab")))
+
+
 def test_whole_table(spark, library):
     docs = documents(spark, 20)
-    got = pieces.encode(docs, ["pieces", "n_tokens", "ids_sha256", "decoded_sha256"]).collect()
+    got = pieces.encode(docs, ["pieces", "starts", "ends", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]).collect()
     text = dict(plain(docs))
     assert len(got) == docs.count()
     for r in got:
         ids = library.encode(text[r.doc_id])
         assert (r.pieces, r.n_tokens) == (ids, len(ids))
+        assert r.spans_sha256 == hashlib.sha256(struct.pack(f"<{2 * len(ids)}i", *r.starts, *r.ends)).hexdigest()
+        assert not ids or (r.starts[0], r.ends[-1]) == (0, len(text[r.doc_id].encode()))
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
     assert pieces.encode(docs.filter("false"), ["n_tokens"]).isEmpty()
