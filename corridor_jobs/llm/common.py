@@ -16,11 +16,16 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a fresh one where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where none is set, a fresh one on a single
+    machine, and an error elsewhere."""
     sc = spark.sparkContext
     path = sc.getCheckpointDir()
     if path is None:
-        path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            path = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir()
     return path
@@ -50,7 +55,8 @@ def released(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for small frames; Spark removes the files when the frame is collected as garbage."""
+    """Reliable checkpoint for small frames. Spark removes the files once the frame is collected as garbage, where
+    spark.cleaner.referenceTracking.cleanCheckpoints is true; else they stay in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -85,6 +91,15 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFra
     return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """The documents that are not among gone (id, key of the text), as they are: rows that share an id are told apart by
+    their texts, and rows with a null id are found too. A list of checked size is broadcast, a longer one shuffled."""
+    gone = checkpointed(gone.toDF("_gone_id", "_gone_key").distinct())
+    small = gone.limit(5 * BROADCAST_ROWS + 1).count() <= 5 * BROADCAST_ROWS
+    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"])
+    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
+
+
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[str], weight: str, out: str) -> DataFrame:
     """Adds the sum of weight over the earlier rows of the group, in the order (bucket, *order).
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, checkpointed, semi, table, whole, without, written
+from .common import BROADCAST_ROWS, UPPER, ascii_lower, checkpointed, semi, table, whole, without_rows, written
 
 PREFIX_CHARS = 64
 
@@ -19,9 +19,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     map-side combine, so a group holding a third of all rows reaches its reducer as one row per task.
 
     Null text counts as empty. Null ids rank below all others (keep_id is null if a group has no other). Rows that
-    repeat both id and text cannot be told apart and share one verdict. Extra columns are ignored; an empty table
+    repeat both id and text cannot be told apart and share one verdict. Very long texts are hashed in their row. Extra columns are ignored; an empty table
     gives no rows.
     """
+    return _verdicts(docs, id_col, text_col, digest_all).drop("_key")
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(ascii_lower(text))
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, digest_all: bool) -> DataFrame:
+    """exact_groups(), with _key of the text (null where its content was not read)."""
     text = whole(text_col)
     keyed = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -37,26 +46,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .filter("count > 1")
         .select("_len", "_prefix")
     )
-    digest = F.sha2(ascii_lower(F.col("_text")), 256)
-    final = keyed.select("doc_id", "_text", "_len", "_prefix")
+    digest = F.sha2(ascii_lower(F.col("_text")), 256).alias("text_sha256")
     if digest_all:
-        rows = written(final.select("doc_id", "_len", "_prefix", digest.alias("text_sha256")))
-        hashed = semi(rows, prefixes, ["_len", "_prefix"])
-        groups = _groups(hashed)
+        rows = written(keyed.select("doc_id", "_len", "_prefix", _key(F.col("_text")).alias("_key"), digest))
+        groups = _groups(semi(rows, prefixes, ["_len", "_prefix"]))
     else:
-        hashed = written(
-            semi(final, prefixes, ["_len", "_prefix"]).select("doc_id", "_len", "_prefix", digest.alias("text_sha256"))
-        )
+        small = prefixes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        marked = F.broadcast(prefixes) if small else prefixes
+        hashed = written(keyed.join(marked, ["_len", "_prefix"], "left_semi").select("doc_id", _key(F.col("_text")).alias("_key"), digest))
         groups = _groups(hashed)
-        rows = keyed.select("doc_id", "_len", "_prefix").join(
-            hashed.select("doc_id", "_len", "_prefix", "text_sha256").distinct(), ["doc_id", "_len", "_prefix"], "left"
-        )
+        rest = keyed.select("doc_id", "_len", "_prefix").join(marked, ["_len", "_prefix"], "left_anti")
+        rows = hashed.unionByName(rest.select("doc_id", F.lit(None).cast("long").alias("_key"), F.lit(None).cast("string").alias("text_sha256")))
     return rows.join(groups, "text_sha256", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
+        "_key",
     )
 
 
@@ -69,8 +76,10 @@ def _groups(hashed: DataFrame) -> DataFrame:
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns."""
-    return without(docs, exact_groups(docs).filter("NOT kept").select("doc_id"))
+    """The documents that stay, with their own columns. Rows that share an id are judged each by its own text; of equal
+    texts none of which has an id all stay, as do rows that repeat the id and text of the one that stays."""
+    gone = _verdicts(docs, "doc_id", "text", False).filter("NOT kept").select("doc_id", "_key")
+    return without_rows(docs, gone, _key(whole(docs["text"])))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,8 +148,9 @@ def draw(docs: DataFrame) -> DataFrame:
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     told = written(mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max(copies).alias("_copies")))
     small = told.limit(5 * BROADCAST_ROWS + 1).count() <= 5 * BROADCAST_ROWS
-    drawn = docs.join(F.broadcast(told) if small else told, docs["doc_id"].eqNullSafe(told["_id"]))
-    return drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    rows = docs.select(F.col("doc_id").alias("_of"), F.struct(*docs.columns).alias("_row"))  # its columns may have any names
+    drawn = rows.join(F.broadcast(told) if small else told, F.col("_of").eqNullSafe(F.col("_id")))
+    return drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +73,15 @@ class Rollup:
         return True
 
     def totals(self) -> DataFrame:
-        """source, lang, version, n_docs, n_tokens; keys whose documents are all taken back are left out."""
+        """source, lang, version, n_docs, n_tokens; keys whose documents are all taken back are left out. No rows before
+        the first batch."""
         schema = "source string, lang string, version string, docs long, tokens long, batch string"
-        every = self.spark.read.schema(schema).parquet(self.root)
+        try:
+            every = self.spark.read.schema(schema).parquet(self.root)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            every = self.spark.createDataFrame([], schema)
         sums = every.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 OR n_tokens <> 0")
 

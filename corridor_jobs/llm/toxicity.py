@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole, without, written
+from .common import table, whole, without_rows, written
 
 TRAIN_DOCS = 20_000
 SCORED_DOCS = 5_000
@@ -37,7 +37,7 @@ SPACE_BITS = 16
 BLOCK = 64
 TOKEN = re.compile(r"[^\W_]+")
 ARROW = [pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-EMPTY_SCHEMA = "doc_id {id}, expected double, largest double, n_tokens long, starts array<int>, ends array<int>"
+EMPTY_SCHEMA = "doc_id {id}, text_key long, expected double, largest double, n_tokens long, starts array<int>, ends array<int>"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -239,12 +239,17 @@ def chain_marginals(e: np.ndarray, lengths: np.ndarray, start: float, step: np.n
     return np.clip(out.ravel()[spot], 0, 1)
 
 
+def text_key(text: Column) -> Column:
+    """64 bits by which rows that share an id are told apart."""
+    return F.xxhash64(text)
+
+
 def tag(docs: DataFrame, crf: Field, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, expected (sum of marginals), largest, n_tokens, starts, ends (code points of tokens over threshold).
+    """doc_id, text_key, expected (sum of marginals), largest, n_tokens, starts, ends (code points of tokens over threshold).
 
     Null or empty text has no tokens: 0, 0, 0 and no spans.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), text_key(whole(text_col)).alias("text_key"), whole(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +259,7 @@ def tag(docs: DataFrame, crf: Field, threshold: float = 0.5, id_col: str = "doc_
                 part = batch.slice(lo, ROWS)
                 if len(known) > REMEMBERED:
                     known.clear()
-                texts, values, lengths = part.column(1).to_pylist(), [], []
+                texts, values, lengths = part.column(2).to_pylist(), [], []
                 for text in texts:
                     words = TOKEN.findall(text)
                     lengths.append(len(words))
@@ -275,7 +280,7 @@ def tag(docs: DataFrame, crf: Field, threshold: float = 0.5, id_col: str = "doc_
                     made["starts"].append([s for s, _ in spans])
                     made["ends"].append([e for _, e in spans])
                 columns = [pa.array(v, type=kind) for v, kind in zip(made.values(), ARROW, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *made])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "text_key", *made])
 
     return src.mapInArrow(run, EMPTY_SCHEMA.format(id=dict(src.dtypes)["doc_id"]))
 
@@ -312,18 +317,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, decay: float =
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_tokens, starts, ends for every document.
+    """doc_id, held_out, score, predicted, n_tokens, starts, ends, text_key for every document.
 
     Learns from labelled documents whose crc32(doc_id) mod 5 is not 0. Repeated labels of a document count as toxic if
-    one says so; null labels are left out; a null doc_id is scored but not learnt from. Equal texts score alike. Texts
-    without tokens get the score of no evidence. No labels: score 0.
+    one says so; null labels are left out; a null doc_id is scored but not learnt from. Equal texts score alike, whatever
+    their ids; of rows that share a labelled id the logistic learns from the strongest evidence. Texts without tokens get
+    the score of no evidence; very long ones are tagged whole, in blocks. No labels: score 0. One row per input row; an
+    empty table gives no rows. Extra columns are ignored.
     """
     crf = fit(docs, labels)
     tagged = written(tag(docs, crf))
     a, b, c = F.log1p("expected"), F.col("largest"), F.col("expected") / F.greatest("n_tokens", F.lit(1))
     told = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     told = told.orderBy(F.xxhash64("_id"), "_id").limit(SCORED_DOCS)
-    rows = tagged.join(F.broadcast(told), tagged["doc_id"] == told["_id"]).select("doc_id", a.alias("a"), b.alias("b"), c.alias("c"), "y").collect()
+    known = tagged.join(F.broadcast(told), tagged["doc_id"] == told["_id"]).groupBy("doc_id")
+    rows = known.agg(F.max(a).alias("a"), F.max(b).alias("b"), F.max(c).alias("c"), F.max("y").alias("y")).collect()
     rows.sort()
     if rows:
         w = fit_logistic(np.array([r[1:4] for r in rows], dtype=float), np.array([r.y for r in rows], dtype=float))
@@ -331,13 +339,14 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     else:
         score = F.lit(0.0)
     return tagged.withColumn("score", score).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", "starts", "ends"
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", "starts", "ends", "text_key"
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns."""
-    return without(docs, scores(docs, labels).filter("predicted = 1").select("doc_id"))
+    """The documents that are not predicted toxic, with their own columns; each row is judged by its own text."""
+    gone = scores(docs, labels).filter("predicted = 1").select("doc_id", "text_key")
+    return without_rows(docs, gone, text_key(whole(docs["text"])))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,23 @@ def test_no_documents_and_drawn_copies(spark):
 def test_van_der_corput_points_are_spread(spark):
     points = sorted(r.point for r in mixing.slot_points(spark, 100).collect())
     assert len(set(points)) == 100 and max(b - a for a, b in zip(points, points[1:], strict=False)) <= 1 / 64
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_ids_with_two_texts_and_null_ids_keep_a_row_each(spark, every):
+    start = "s" * exact_dedup.PREFIX_CHARS
+    rows = [(1, start + "a"), (1, start + "b"), (2, start + "A"), (None, start + "a"), (None, "z"), (None, "z"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_groups(docs, digest_all=every).collect()
+    want = [(1, 2, 3, False), (1, 1, 1, True), (2, 2, 3, True), (None, 2, 3, False), (None, None, 2, True), (None, None, 2, True), (4, 5, 2, False), (5, 5, 2, True)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=key) == sorted(want, key=key)
+    left = [tuple(r) for r in exact_dedup.drop_exact(docs).collect()]
+    assert sorted(left, key=key) == sorted([rows[k] for k in (1, 2, 4, 5, 7)], key=key)  # no text is lost
+
+
+def test_draw_with_columns_of_any_name(spark):
+    docs = documents(spark, 10)
+    named = docs.selectExpr("*", "1 AS _copies", "2 AS _id", "3 AS _copy", "4 AS _row")
+    got = mixing.draw(named)
+    assert got.columns == named.columns and got.count() == mixing.draw(docs).count()

@@ -180,6 +180,7 @@ def test_no_rows_and_null_ids(spark):
 
 def test_batches_count_once_and_deletes_take_back(spark, tmp_path):
     roll = token_counts.Rollup(spark, str(tmp_path / "r"))
+    assert roll.totals().isEmpty()
     kind = "source string, lang string, version string, tokens long, tokens_before long"
     first = spark.createDataFrame([("a", "en", "v", 5, 0), ("a", "en", "v", 7, 0), (None, None, "v", 2, 0)], kind)
     assert roll.commit("1", token_counts.inserted(first))
