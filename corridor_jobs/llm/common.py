@@ -13,6 +13,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to this many rows of two or three short columns are broadcast; larger key sets are joined by shuffle.
 BROADCAST_ROWS = 200_000
+ROWS_KEY, ROWS_SENT = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +62,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Has whole texts go to Python workers ROWS_SENT rows at a time, where the session keeps Spark's default of ten
+    times as many: a batch is held in memory on both sides."""
+    if spark.conf.get(ROWS_KEY) == "10000":
+        spark.conf.set(ROWS_KEY, str(ROWS_SENT))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,20 +14,22 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table, whole
+from .common import table, text_batches, whole
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Chunks remembered by each Python worker, in two generations of which the older is dropped when the newer is full.
-REMEMBERED = 60_000
+REMEMBERED = 80_000
 
 
 def _one_by_one(e: UnicodeError) -> tuple[str, int]:
@@ -37,6 +39,11 @@ def _one_by_one(e: UnicodeError) -> tuple[str, int]:
 codecs.register_error("piece_bytes", _one_by_one)
 
 
+def _width(c: str) -> int:
+    """Bytes of a character."""
+    return 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+
+
 class CharsMap:
     """A compiled character map: 4 bytes of trie size, a double array, then NUL-ended replacements."""
 
@@ -86,6 +93,7 @@ class Model:
         unknown = m.trainer_spec.unk_surface.encode()
         self.raw = [p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else unknown if p.type == UNKNOWN else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" for p in m.pieces]
         self.spaced = {i for p, i in self.ids.items() if p[0] == SPACE}
+        self.text_of_id = [str(i) for i in range(len(m.pieces))]
         bare = [p.lstrip(SPACE) for p in self.ids]
         letter = re.compile(r"[^\W\d_]")
         odd = sorted({c for p in bare if 0 < len(kinds := letter.findall(p)) < len(p) for c in kinds})
@@ -99,6 +107,13 @@ class Model:
 
     def normalise(self, text: str, prefix: bool) -> tuple[str, list[int], list[int]]:
         """The normalised text, and for each of its characters the source bytes [start, end)."""
+        if not self.map.units:
+            if text.isascii():
+                edge = range(len(text) + 1)
+            else:
+                edge = [0, *accumulate(map(_width, text))]
+            first = [0] if prefix and text else []
+            return SPACE * len(first) + text.replace(" ", SPACE), [*first, *edge[:-1]], [*first, *edge[1:]]
         out, starts, ends, data, at = [], [], [], text.encode(), 0
         if prefix and text:
             out, starts, ends = [SPACE], [0], [0]
@@ -149,21 +164,25 @@ class Model:
                     heapq.heappush(heap, (-x, a, parts[a] + parts[b]))
         return [p for p in parts if p]
 
-    def chunk(self, text: str, prefix: bool) -> tuple[bytes, str, bytes, bytes, bytes, int]:
-        """A chunk normalised and merged: its ids, these in decimals, the bytes that they decode to, the source bytes
-        [starts, ends) of each id, counted from the chunk's first, and the number of source bytes. ids, starts and ends
-        are packed as 32-bit integers. The bytes that a character falls back to share its span."""
+    def chunk(self, text: str, prefix: bool) -> tuple[bytes, bytes, bytes, int]:
+        """A chunk normalised and merged: its ids, the source bytes [starts, ends) of each id, counted from the chunk's
+        first, all packed as 32-bit integers, and the number of source bytes. The bytes that a character falls back to
+        share its span."""
         norm, starts, ends = self.normalise(text, prefix)
-        out, begin, end, at = [], [], [], 0
+        out, begin, end, at, get = [], [], [], 0, self.ids.get
         for piece in self.merge(norm):
-            last, i = at + len(piece) - 1, self.ids.get(piece)
-            found = [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
-            out += found
-            begin += [starts[at]] * len(found)
-            end += [ends[last]] * len(found)
+            last, i = at + len(piece) - 1, get(piece)
+            if i is not None:
+                out.append(i)
+                begin.append(starts[at])
+                end.append(ends[last])
+            else:
+                found = [self.byte_ids[b] for b in piece.encode()]
+                out += found
+                begin += [starts[at]] * len(found)
+                end += [ends[last]] * len(found)
             at = last + 1
-        packed = [np.array(x, dtype=np.int32).tobytes() for x in (out, begin, end)]
-        return packed[0], ",".join(map(str, out)), b"".join([self.raw[i] for i in out]), packed[1], packed[2], len(text.encode())
+        return array("i", out).tobytes(), array("i", begin).tobytes(), array("i", end).tobytes(), ends[-1]
 
     def parts(self, text: str) -> list[str]:
         """The text in chunks that no merge crosses; whole where the map may look across them."""
@@ -197,15 +216,12 @@ class Model:
         starts, ends = spans_of(self.chunks(text))
         return starts.tolist(), ends.tolist()
 
-    def text_of(self, raw: bytes, first: int | None) -> str:
-        """The text of the bytes that ids decode to; first is the first id."""
-        if self.dummy and first in self.spaced:
+    def decode(self, ids: list[int]) -> str:
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        if self.dummy and ids and ids[0] in self.spaced:
             raw = raw[1:]
         return raw.decode("utf-8", "piece_bytes")
 
-    def decode(self, ids: list[int]) -> str:
-        return self.text_of(b"".join([self.raw[i] for i in ids]), ids[0] if len(ids) else None)
-
 
 def ids_of(chunks: list[tuple]) -> np.ndarray:
     return np.frombuffer(b"".join([e[0] for e in chunks]), dtype=np.int32)
@@ -213,9 +229,9 @@ def ids_of(chunks: list[tuple]) -> np.ndarray:
 
 def spans_of(chunks: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Spans of all pieces: those of each chunk, moved to its place."""
-    size = np.array([e[5] for e in chunks], dtype=np.int64)
+    size = np.array([e[3] for e in chunks], dtype=np.int64)
     moved = np.repeat(np.cumsum(size) - size, [len(e[0]) // 4 for e in chunks])
-    return tuple((np.frombuffer(b"".join([e[k] for e in chunks]), dtype=np.int32) + moved).astype(np.int32) for k in (3, 4))
+    return tuple((np.frombuffer(b"".join([e[k] for e in chunks]), dtype=np.int32) + moved).astype(np.int32) for k in (1, 2))
 
 
 @lru_cache(maxsize=2)
@@ -257,6 +273,7 @@ def encode(docs: DataFrame, outputs: list[str], path: str | None = None, keep: t
     if clash := {*outputs} & {*keep}:
         raise ValueError(f"outputs and kept columns share names: {sorted(clash)}")
     path = path or model_path()
+    text_batches(docs.sparkSession)
     src = docs.select(*keep, whole(text_col).alias("_text"))
     schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(k, KINDS[k][0]) for k in outputs)])
 
@@ -280,9 +297,9 @@ def _document(model: Model, text: str, outputs: list[str]) -> dict:
         starts, ends = spans_of(chunks)
         made |= {"starts": starts, "ends": ends, "spans_sha256": hashlib.sha256(starts.astype("<i4").tobytes() + ends.astype("<i4").tobytes()).hexdigest()}
     if "ids_sha256" in outputs:
-        made["ids_sha256"] = hashlib.sha256(",".join([e[1] for e in chunks]).encode()).hexdigest()
+        made["ids_sha256"] = hashlib.sha256(",".join(map(model.text_of_id.__getitem__, ids.tolist())).encode()).hexdigest()
     if {"decoded", "decoded_sha256"} & {*outputs}:
-        decoded = model.text_of(b"".join([e[2] for e in chunks]), int(ids[0]) if len(ids) else None)
+        decoded = model.decode(ids.tolist())
         made |= {"decoded": decoded, "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
     return made
 

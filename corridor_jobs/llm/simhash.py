@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import checkpointed, released, semi, table, whole, written
+from .common import checkpointed, released, semi, table, text_batches, whole, written
 from .components import components
 
 BITS = 3
@@ -68,6 +68,7 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every whole text; null counts as empty."""
+    text_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

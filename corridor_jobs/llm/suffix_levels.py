@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, released, shared_dir, table, whole, without, written
+from .common import discard, released, shared_dir, table, text_batches, whole, without, written
 from .rolling import Rolling
 
 LENGTH, K = 100, 36
@@ -369,6 +369,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read in overlapping pieces. A text that equals an earlier one is removed whole, and indexed once. Extra columns are
     ignored. One row per input row; an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), whole(text_col).alias("_text"))
     src, copies, names = _named(src)
     runs = repeated(without(src, copies, "_id"), batches).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("runs"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole, without_rows, written
+from .common import table, text_batches, whole, without_rows, written
 
 TRAIN_DOCS = 20_000
 SCORED_DOCS = 5_000
@@ -325,6 +325,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the score of no evidence; very long ones are tagged whole, in blocks. No labels: score 0. One row per input row; an
     empty table gives no rows. Extra columns are ignored.
     """
+    text_batches(docs.sparkSession)
     crf = fit(docs, labels)
     tagged = written(tag(docs, crf))
     a, b, c = F.log1p("expected"), F.col("largest"), F.col("expected") / F.greatest("n_tokens", F.lit(1))

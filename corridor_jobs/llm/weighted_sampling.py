@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import table, text_batches, whole
 from .rolling import Rolling, mixed
 
 SAMPLES = 64
@@ -186,6 +186,7 @@ def compared(docs: DataFrame) -> DataFrame:
     empty; null ids come first; rows that share an id follow one another by hash of their text. An only document is its
     own next. An empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     rows = in_order(docs.select("doc_id", "text"))
     kind = dict(rows.dtypes)["doc_id"]
 

@@ -105,3 +105,11 @@ def test_whole_table(spark, library):
     assert pieces.encode(docs.filter("false"), ["n_tokens"]).isEmpty()
     with pytest.raises(ValueError, match="share names"):
         pieces.encode(docs, ["n_tokens"], keep=("n_tokens",))
+
+
+def test_normalising_without_a_map_equals_the_general_way():
+    plain_model, mapped = pieces.load(pieces.model_path()), pieces.Model(mapped_model())
+    rng = random.Random(9)
+    for text in ["", " ", "é", "x y", *("".join(rng.choice(" ▁xé漢\U0001f600\n") for _ in range(30)) for _ in range(50))]:  # no key of the map
+        for prefix in (True, False):
+            assert plain_model.normalise(text, prefix) == mapped.normalise(text, prefix)
