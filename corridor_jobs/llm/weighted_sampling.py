@@ -1,10 +1,12 @@
 """Document fingerprints by consistent weighted sampling.
 
-Terms are words and pairs of neighbouring words (A-Z lower-cased), hashed to 2 ** SLOT_BITS slots; their weights are
-counts. For each sample k and slot there are r and c, Gamma(2, 1), and b, uniform. A slot of weight w has
-t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r; the sample of a document is its slot of least a, with t. Two
+Terms are words and pairs of neighbouring words (A-Z lower-cased), known by TERM_BITS bits of a hash; their weights are
+counts. For each sample k and term there are r and c, Gamma(2, 1), and b, uniform: (r, b) and c are drawn from two seeded
+tables of 2 ** DRAW_BITS rows at places that different bits of the term's hash name, so that two terms have all three in
+common once in 2 ** (2 DRAW_BITS) pairs, however many terms a text has. A term of weight w has
+t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r; the sample of a document is its term of least a, with t. Two
 documents agree in a sample with a probability equal to their generalised Jaccard similarity, the sum of the smaller
-weights over the sum of the larger. As a depends on the slot and t alone, its least value stands for both.
+weights over the sum of the larger. As a depends on the term and t alone, its least value stands for both.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from .common import table, text_batches, whole
 from .rolling import Rolling, mixed
 
 SAMPLES = 64
-SLOT_BITS = 17
+TERM_BITS, DRAW_BITS = 54, 16
+#: Texts sampled together; their number and TERM_BITS fit a long.
+TEXTS_AT_ONCE = 500
 SEED = 11
 ROWS_AT_ONCE = 1 << 15
 BYTES_AT_ONCE = 1 << 20
@@ -35,14 +39,14 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 @lru_cache(maxsize=1)
 def _random() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c, b, and ln a at weight 1, each (slots, samples)."""
+    """r, b and r (b - 1) by one place, and ln c by another, each (places, samples)."""
     rng = np.random.Generator(np.random.PCG64(SEED))
-    shape = (1 << SLOT_BITS, SAMPLES)
+    shape = (1 << DRAW_BITS, SAMPLES)
     draw = lambda: rng.random(shape, dtype=np.float32)
     r = -np.log((1 - draw()) * (1 - draw()))
     c = np.log(-np.log((1 - draw()) * (1 - draw()) * np.float32(1 - 1e-7)))
     b = draw()
-    return r, c, b, c + r * b - r
+    return r, b, r * b - r, c
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
@@ -65,7 +69,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[str]) -> np.ndarray:
-    """(texts, SAMPLES) of 16 bits each; 0 only where a text has no words."""
+    """(texts, SAMPLES) of 16 bits each; 0 only where a text has no words. At most 2 ** (64 - TERM_BITS) texts."""
     whole_words: list[tuple[np.ndarray, np.ndarray]] = []
     group: list[bytes] = []
     owners: list[int] = []
@@ -97,20 +101,22 @@ def signatures(texts: list[str]) -> np.ndarray:
         return out
     same = doc[1:] == doc[:-1]
     pair = mixed(h[:-1] * np.uint64(3) + h[1:])[same]
-    top = np.uint64(64 - SLOT_BITS)
-    key = np.concatenate([doc, doc[1:][same]]).astype(np.int64) << SLOT_BITS | (np.concatenate([h, pair]) >> top).astype(np.int64)
+    term = np.concatenate([h, pair]) >> np.uint64(64 - TERM_BITS)
+    key = np.concatenate([doc, doc[1:][same]]).astype(np.uint64) << np.uint64(TERM_BITS) | term
     key, weight = np.unique(key, return_counts=True)
-    doc, slot = key >> SLOT_BITS, key & ((1 << SLOT_BITS) - 1)
-    r, c, b, one = _random()
+    doc = (key >> np.uint64(TERM_BITS)).astype(np.int64)
+    place = np.uint64((1 << DRAW_BITS) - 1)
+    first_place, second_place = (key & place).astype(np.int64), (key >> np.uint64(DRAW_BITS) & place).astype(np.int64)
+    r, b, one, c = _random()
     least = np.full((len(texts), SAMPLES), np.inf, dtype=np.float32)
     for lo in range(0, len(key), ROWS_AT_ONCE):
-        s, w, d = (x[lo : lo + ROWS_AT_ONCE] for x in (slot, weight, doc))
-        a = one[s]
+        s, z, w, d = (x[lo : lo + ROWS_AT_ONCE] for x in (first_place, second_place, weight, doc))
+        a = one[s] + c[z]
         more = np.flatnonzero(w > 1)
         if len(more):
             rm, bm = r[s[more]], b[s[more]]
             t = np.floor(np.log(w[more].astype(np.float64)).astype(np.float32)[:, None] / rm + bm)
-            a[more] = c[s[more]] - rm * (t - bm) - rm
+            a[more] = c[z[more]] - rm * (t - bm) - rm
         first = np.flatnonzero(np.diff(d, prepend=-1))
         own = d[first]
         least[own] = np.minimum(least[own], np.minimum.reduceat(a, first, axis=0))
@@ -131,8 +137,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
+            for lo in range(0, len(pdf), TEXTS_AT_ONCE):
+                part = pdf.iloc[lo : lo + TEXTS_AT_ONCE]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "fingerprint": _hex(signatures(part["_text"].tolist()))})
 
     return src.mapInPandas(run, f"doc_id {dict(src.dtypes)['doc_id']}, fingerprint string")
@@ -184,7 +190,8 @@ def compared(docs: DataFrame) -> DataFrame:
 
     Each text is compared with its edited form and with the next by doc_id (after the last: the first). Null text is
     empty; null ids come first; rows that share an id follow one another by hash of their text. An only document is its
-    own next. An empty table gives no rows.
+    own next. doc_id is a number. Very long texts are read in pieces and sampled whole. Extra columns are ignored. An empty
+    table gives no rows.
     """
     text_batches(docs.sparkSession)
     rows = in_order(docs.select("doc_id", "text"))
@@ -202,7 +209,7 @@ def compared(docs: DataFrame) -> DataFrame:
                     held, size = [], 0
                 held.append(row)
                 size += len(row[3])
-                if size > BYTES_AT_ONCE and len(held) > 1:
+                if (size > BYTES_AT_ONCE and len(held) > 1) or len(held) > TEXTS_AT_ONCE:
                     yield from _compare(held)
                     held, size = held[-1:], len(row[3])
         yield from _compare(held)

@@ -35,6 +35,28 @@ def test_collision_rate_is_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.09
 
 
+def test_long_texts_without_a_common_word_are_unlike():
+    a, b = (" ".join(f"{side}{i}" for i in range(100_000)) for side in "xy")
+    sig = weighted_sampling.signatures([a, b, a + " " + b])
+    assert (sig[0] == sig[1]).mean() < 0.02
+    assert abs((sig[0] == sig[2]).mean() - 0.5) < 0.2
+
+
+def test_rows_agree_with_generalised_jaccard(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(30)]
+    texts = [texts[i - 1][:-400] + " " + " ".join(rng.choice(words, 60)) if i % 2 else t for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near_next, near_edited = [], []
+    for r in weighted_sampling.compared(docs).collect():
+        text, after = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        near_next.append(r.near_next - jaccard(text, after))
+        near_edited.append(r.near_edited - jaccard(text, weighted_sampling.edited(text, after)))
+    for errors in (near_next, near_edited):
+        assert abs(np.mean(errors)) < 0.04 and max(map(abs, errors)) < 0.3
+
+
 def test_compared_with_edited_and_next(spark):
     docs = documents(spark, 25)
     order = sorted(plain(docs))
