@@ -71,16 +71,16 @@ STEPS = {
     "totals": "SELECT feed_key, service_date, shape_id, route_id, route_short_name, CAST(sum(ct) OVER (PARTITION BY shape_id) AS BIGINT) AS ct FROM served",
     "latest": "SELECT feed_key, service_date AS last_seen_date, shape_id, route_id, route_short_name, ct FROM (SELECT *, row_number() OVER (PARTITION BY shape_id, feed_key ORDER BY service_date DESC, route_id) AS n FROM totals) WHERE n = 1",
     "chosen": "SELECT * FROM latest WHERE ct >= 10",
-    "geometry": f"SELECT shape_id, feed_key, pt_array FROM (SELECT *, row_number() OVER (PARTITION BY shape_id, feed_key ORDER BY service_date DESC) AS n FROM shapes WHERE service_date IN {_ON} AND shape_id IN (SELECT shape_id FROM chosen) AND feed_key IN (SELECT feed_key FROM chosen)) WHERE n = 1",
+    "geometry": f"SELECT shape_id, feed_key, pt_array FROM (SELECT *, row_number() OVER (PARTITION BY shape_id, feed_key ORDER BY service_date DESC) AS n FROM shapes WHERE service_date IN (SELECT last_seen_date FROM chosen) AND shape_id IN (SELECT shape_id FROM chosen) AND feed_key IN (SELECT feed_key FROM fdates)) WHERE n = 1",
     "drawn": "SELECT c.shape_id, c.feed_key, last_seen_date, route_id, route_short_name, ct, pt_array FROM chosen c JOIN geometry g ON c.shape_id = g.shape_id AND c.feed_key = g.feed_key WHERE pt_array IS NOT NULL",
-    "entries": "SELECT key AS feed_key, base64_url, _valid_from FROM dim_feeds WHERE key IN (SELECT feed_key FROM chosen)",
+    "entries": "SELECT key AS feed_key, base64_url, _valid_from FROM dim_feeds WHERE key IN (SELECT feed_key FROM fdates)",
     "dated": "SELECT f.feed_key, service_date, base64_url, _valid_from FROM fdates f JOIN entries e ON f.feed_key = e.feed_key",
-    "vtrips": f"SELECT t.service_date, t.feed_key, trip_id, shape_id, direction_id FROM trips t JOIN fdates f ON t.service_date = f.service_date AND t.feed_key = f.feed_key WHERE t.service_date IN {_ON} AND shape_id IN (SELECT shape_id FROM chosen) AND t.feed_key IN (SELECT feed_key FROM chosen)",
-    "vstops": "SELECT feed_key, stop_id, trip_id, timepoint, stop_sequence FROM stop_times WHERE feed_key IN (SELECT feed_key FROM chosen) AND _feed_valid_from IN (SELECT _valid_from FROM entries)",
+    "vtrips": f"SELECT t.service_date, t.feed_key, trip_id, shape_id, direction_id FROM trips t JOIN fdates f ON t.service_date = f.service_date AND t.feed_key = f.feed_key WHERE t.service_date IN {_ON} AND shape_id IN (SELECT shape_id FROM chosen) AND t.feed_key IN (SELECT feed_key FROM fdates)",
+    "vstops": "SELECT feed_key, stop_id, trip_id, timepoint, stop_sequence FROM stop_times WHERE feed_key IN (SELECT feed_key FROM fdates) AND _feed_valid_from IN (SELECT _valid_from FROM entries)",
     "joined": "SELECT s.*, shape_id FROM vstops s JOIN vtrips t ON s.trip_id = t.trip_id AND s.feed_key = t.feed_key",
     "summary": "SELECT stop_id, shape_id, CAST(sum(timepoint) AS BIGINT) AS n_timepoint, count(*) AS n_stop_times FROM joined GROUP BY stop_id, shape_id",
     "sequences": "SELECT DISTINCT stop_id, stop_sequence FROM joined",
-    "timepoints": "SELECT m.stop_id, n_timepoint, n_stop_times, shape_id, stop_sequence, pt_geom FROM summary m JOIN (SELECT stop_id, min(pt_geom) AS pt_geom FROM stops GROUP BY stop_id) p ON m.stop_id = p.stop_id JOIN sequences q ON m.stop_id = q.stop_id WHERE n_timepoint = n_stop_times",
+    "timepoints": f"SELECT m.stop_id, n_timepoint, n_stop_times, shape_id, stop_sequence, pt_geom FROM summary m JOIN (SELECT stop_id, min(pt_geom) AS pt_geom FROM stops WHERE service_date IN {_ON} AND feed_key IN (SELECT feed_key FROM fdates) GROUP BY stop_id) p ON m.stop_id = p.stop_id JOIN sequences q ON m.stop_id = q.stop_id WHERE n_timepoint = n_stop_times",
     "rt": f"SELECT m.* FROM metrics m JOIN (SELECT DISTINCT service_date, base64_url FROM dated) d ON m.service_date = d.service_date AND m.schedule_base64_url = d.base64_url WHERE m.service_date IN {_ON}",
     "matched": "SELECT r.service_date, r.trip_id, trip_key, r.stop_id, t.feed_key, t.shape_id, r.stop_sequence, actual_arrival_pacific, actual_departure_pacific, n_predictions, pt_geom FROM rt r JOIN vtrips t ON r.service_date = t.service_date AND r.trip_id = t.trip_id JOIN timepoints p ON r.stop_sequence = p.stop_sequence AND t.shape_id = p.shape_id",
     "priors": "SELECT *, lag(actual_departure_pacific) OVER (PARTITION BY service_date, shape_id, feed_key, trip_id ORDER BY trip_key, stop_sequence, stop_id, pt_geom NULLS FIRST) AS prior_departure FROM matched",
@@ -257,6 +257,12 @@ _step(Pings, "placed", "SELECT event_id, round(distance, 3) AS distance FROM pla
 _step(Pings, "placed", "SELECT event_id, door_open FROM placed", "door_open", "event_id", "door_open")
 _step(Pings, "near", "SELECT event_id, ROUTE_ID, round(distance, 3) AS distance FROM nearby", "near_point", "event_id", "ROUTE_ID", _r("distance", 3))
 _step(Pings, "near", "SELECT event_id, round(azimuth_to_signal, 6) AS azimuth_to_signal FROM nearby", "azimuth_from_point", "event_id", _r("azimuth_to_signal", 6))
+_step(
+    Pings,
+    "near_signals",
+    f"SELECT event_id, TspAssetID, round(sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)), 3) AS distance, round({_pmod('degrees(atan2(p.x - s.x, p.y - s.y))')}, 4) AS azimuth_to_signal FROM (SELECT event_id, {_PX} AS x, {_PY} AS y FROM parsed WHERE LONGITUDE IS NOT NULL AND LATITUDE IS NOT NULL) p JOIN xysignals s ON abs(p.x - s.x) < 200 AND abs(p.y - s.y) < 200 WHERE sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) < 200",
+    "near_points", "event_id", "TspAssetID", _r("distance", 3), _r("azimuth_to_signal", 4),
+)
 _step(Pings, "ahead", "SELECT event_id, round(azimuth_to_signal, 6) AS azimuth_to_signal FROM nearby WHERE azimuth_to_signal < 120", "ahead_of_signal", "event_id", _r("azimuth_to_signal", 6))
 query("SELECT event_id, event_at, round(distance, 3) AS distance, door_open FROM placed WHERE TRIP_KEY = 7", "trip_pings")(
     lambda s, d: avl.trip_pings(Pings(s, d).placed, 7, ["event_id", "event_at", "distance", "door_open"]).withColumn("distance", F.round("distance", 3))
@@ -337,10 +343,11 @@ query("SELECT * FROM corrected", "corrected_long")(lambda s, d: validation.corre
 
 
 @query(
-    "SELECT TspAssetID, direction, round(x - 100 * sin(radians(bearing_lower_bound)), 6) AS x1, round(y - 100 * cos(radians(bearing_lower_bound)), 6) AS y1, round(x - 100 * sin(radians(bearing_upper_bound)), 6) AS x2, round(y - 100 * cos(radians(bearing_upper_bound)), 6) AS y2 FROM corrected"
+    "SELECT TspAssetID, direction, round(x - 100 * sin(radians(bearing_lower_bound)), 6) AS x1, round(y - 100 * cos(radians(bearing_lower_bound)), 6) AS y1, round(x - 100 * sin(radians(bearing_upper_bound)), 6) AS x2, round(y - 100 * cos(radians(bearing_upper_bound)), 6) AS y2 FROM (SELECT * EXCLUDE (x, y), {} AS x, {} AS y FROM corrected)".format(*_albers("x", "y"))
 )
 def validation_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = validation.validation_triangles(validation.corrected_long(adapted(spark, sf_dir, "ranges")))
+    x, y = C.albers(F.col("x"), F.col("y"))  # the ranges have degrees
+    t = validation.validation_triangles(validation.corrected_long(adapted(spark, sf_dir, "ranges").withColumns({"x": x, "y": y})))
     at = lambda i, k: F.round(F.col("triangle")[i][k], 6).alias(f"{k}{i}")
     return t.select("TspAssetID", "direction", at(1, "x"), at(1, "y"), at(2, "x"), at(2, "y"))
 

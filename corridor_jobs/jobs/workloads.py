@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import albers
 from ..operators import avl, network, segments, service, stop_times, validation
+from ..operators.shared import checkpointed
 from ..sources.adapters import adapted
 from ..sources.readers import with_heading_keys
 
@@ -60,13 +61,15 @@ class Service:
 
     @cached_property
     def keys(self) -> tuple[list[str], list[str]]:
-        """The chosen route's feeds and shapes: the few literals that later scans are pruned by."""
-        rows = self.chosen.select("feed_key", "shape_id").distinct().collect()
-        return sorted({r.feed_key for r in rows}), sorted({r.shape_id for r in rows})
+        """The feeds that serve the route on the dates, before shapes with few trips go, and the chosen shapes: the few
+        literals that later scans are pruned by."""
+        feeds, shapes = self.feed_dates.select("feed_key").distinct().collect(), self.chosen.select("shape_id").distinct().collect()
+        return sorted(r.feed_key for r in feeds), sorted(r.shape_id for r in shapes)
 
     @cached_property
     def geometry(self) -> DataFrame:
-        return service.shape_geometry(self._t("shapes"), DATES, *self.keys)
+        seen = [r[0] for r in self.chosen.select("last_seen_date").distinct().collect()]
+        return service.shape_geometry(self._t("shapes"), seen, *self.keys)
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -103,7 +106,10 @@ class Service:
 
     @cached_property
     def timepoints(self) -> DataFrame:
-        return stop_times.timepoints_on_route(self._t("stops"), self.summary, self.sequences)
+        """The join of stop times to trips is made once, for its few counts; both summaries follow from these."""
+        counts = checkpointed(stop_times.stop_counts(self.joined))
+        stops = stop_times.stops_in_feeds(self._t("stops"), DATES, self.keys[0])
+        return stop_times.timepoints_on_route(stops, stop_times.summary_of_counts(counts), stop_times.stop_sequences(counts))
 
     @cached_property
     def rt(self) -> DataFrame:
@@ -168,6 +174,12 @@ class Pings:
     def near(self) -> DataFrame:
         return avl.with_azimuth(avl.near_point(self.placed), *self.place)
 
+    @cached_property
+    def near_signals(self) -> DataFrame:
+        lon, lat = albers(F.col("Long"), F.col("Lat"))
+        signals = adapted(self.spark, self.sf_dir, "signals").select("TspAssetID", lon.alias("x"), lat.alias("y"))
+        return avl.near_points(avl.project_points(self.parsed), signals)
+
     @cached_property
     def ahead(self) -> DataFrame:
         return avl.ahead_of_signal(self.near)

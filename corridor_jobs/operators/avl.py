@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .network import grid_pairs
 
 DOORS = ("STOP_BACK_DOOR_ENTRY", "STOP_FRONT_DOOR_ENTRY", "STOP_FRONT_DOOR_EXIT", "STOP_BACK_DOOR_EXIT")
 
@@ -96,6 +97,14 @@ def near_point(df: DataFrame, max_m: float = 200, route: str | None = "104") ->
     return near if route is None else near.filter(F.trim("ROUTE_ID") == route)
 
 
+def near_points(df: DataFrame, places: DataFrame, max_m: float = 200) -> DataFrame:
+    """Pings (x, y) with every place (x, y, and columns of its own) less than max_m away, the distance, and the direction
+    from the place to the bus (azimuth_to_signal). Joined on the cells of a grid; without places or coordinates no rows."""
+    where = places.withColumns({"_px": F.col("x"), "_py": F.col("y")})
+    pairs = grid_pairs(df, where, max_m, strict=True)
+    return pairs.withColumn("azimuth_to_signal", C.azimuth_from_point(F.col("x"), F.col("y"), F.col("_px"), F.col("_py"))).drop("_px", "_py")
+
+
 def with_azimuth(df: DataFrame, x0: float, y0: float) -> DataFrame:
     """Adds azimuth_to_signal, which is the direction from the signal to the bus."""
     return df.withColumn("azimuth_to_signal", C.azimuth_from_point(F.col("x"), F.col("y"), x0, y0))

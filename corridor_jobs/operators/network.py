@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bearing, distance_to_bearing, distance_to_point, negative_distance_to_bearing, positive_distance_to_bearing
 from ..functions.rings import within_ring
+from .shared import checkpointed
 
 EAST_WEST, NORTH_SOUTH = 0, 1
 #: (direction, bearing, orientation); of two as near, the second of an orientation is taken.
@@ -48,17 +48,14 @@ def clip_to_study_area(nodes: DataFrame, edges: DataFrame, ring: Sequence[tuple[
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label: the least node reachable over undirected edges (u, v)."""
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    label = both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("label")).checkpoint()
+    both = checkpointed(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("label")))
     for _ in range(rounds):
         told = both.join(label.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "label")
         least = label.unionByName(told).groupBy("node").agg(F.min("label").alias("near"))
         jump = label.select(F.col("node").alias("near"), F.col("label").alias("root"))
         step = least.join(jump, "near", "left").join(label, "node")
-        step = step.select("node", F.least("near", F.coalesce("root", "near")).alias("new"), "label").checkpoint()
+        step = checkpointed(step.select("node", F.least("near", F.coalesce("root", "near")).alias("new"), "label"))
         if step.filter("new <> label").isEmpty():
             return step.select("node", "label")
         label = step.select("node", F.col("new").alias("label"))
@@ -69,7 +66,8 @@ def consolidate_intersections(nodes: DataFrame, edges: DataFrame, tolerance_m: f
     """Nodes (osmid, x, y, lon, lat) and edges with junctions whose tolerance buffers touch merged into one.
 
     Dead ends (nodes with one neighbour) go first, with their edges. A merged node has its least osmid and the mean
-    place of its members. Edges within it go.
+    place of its members. Edges within it go; the others are numbered anew (key, from 0) among those that now have the
+    same ends, in order of their old ends and keys.
     """
     flat = edges.select("u", "v").filter("u <> v")
     sides = flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
@@ -81,10 +79,12 @@ def consolidate_intersections(nodes: DataFrame, edges: DataFrame, tolerance_m: f
     label = components(pairs.filter("u < v"))
     placed = nodes.join(label.withColumnRenamed("node", "osmid"), "osmid", "left").withColumn("label", F.coalesce("label", "osmid"))
     merged = placed.groupBy(F.col("label").alias("osmid")).agg(*(F.avg(c).alias(c) for c in ("x", "y", "lon", "lat")))
+    edges = edges.withColumns({"_u": F.col("u"), "_v": F.col("v"), "_key": F.col("key")})
     for end in ("u", "v"):
         to = label.select(F.col("node").alias(end), F.col("label").alias("_to"))
         edges = edges.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-    return merged, edges.filter("u <> v")
+    place = F.row_number().over(Window.partitionBy("u", "v").orderBy("_u", "_v", "_key")) - 1
+    return merged, edges.filter("u <> v").withColumn("key", place).drop("_u", "_v", "_key")
 
 
 def edge_bearings(nodes: DataFrame, edges: DataFrame) -> DataFrame:

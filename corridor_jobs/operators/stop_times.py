@@ -41,6 +41,21 @@ def trip_stop_times(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
     return stop_times.join(trips.select("trip_id", "feed_key", "shape_id"), ["trip_id", "feed_key"])
 
 
+def stop_counts(joined: DataFrame) -> DataFrame:
+    """n_timepoint and n_stop_times by stop, shape and sequence: few rows, from which both summaries follow."""
+    return joined.groupBy("stop_id", "shape_id", "stop_sequence").agg(F.sum("timepoint").alias("n_timepoint"), F.count(F.lit(1)).alias("n_stop_times"))
+
+
+def summary_of_counts(counts: DataFrame) -> DataFrame:
+    """timepoint_summary() of the same stop times, from their stop_counts()."""
+    return counts.groupBy("stop_id", "shape_id").agg(F.sum("n_timepoint").alias("n_timepoint"), F.sum("n_stop_times").alias("n_stop_times"))
+
+
+def stops_in_feeds(stops: DataFrame, dates: Sequence[date], feed_keys: Sequence[str]) -> DataFrame:
+    """Stops of these dates and feeds."""
+    return stops.filter(F.col("service_date").isin(list(dates)) & F.col("feed_key").isin(list(feed_keys)))
+
+
 def timepoint_summary(joined: DataFrame) -> DataFrame:
     """n_timepoint and n_stop_times by stop and shape. A null timepoint adds nothing to the first."""
     return joined.groupBy("stop_id", "shape_id").agg(F.sum("timepoint").alias("n_timepoint"), F.count(F.lit(1)).alias("n_stop_times"))

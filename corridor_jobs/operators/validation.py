@@ -91,7 +91,7 @@ def _back(x: Column, y: Column, degrees: Column, metres: float) -> Column:
 
 
 def validation_triangles(df: DataFrame, draw_m: float = 100) -> DataFrame:
-    """Adds triangle: the origin (x, y), and the points draw_m back along the lower and the upper bound."""
+    """Adds triangle, in metres as x and y must be: the origin (x, y), and the points draw_m back along the lower and the upper bound."""
     x, y = F.col("x"), F.col("y")
     corners = [F.struct(x.alias("x"), y.alias("y")), _back(x, y, F.col("bearing_lower_bound"), draw_m), _back(x, y, F.col("bearing_upper_bound"), draw_m)]
     return df.withColumn("triangle", F.array(*corners))

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,13 @@ def test_doors_and_dwell(spark):
 def test_pings_per_route_trip_leaves_out_null_keys(spark):
     df = spark.createDataFrame([("104", 1), ("104", 1), (None, 1), ("104", None)], "ROUTE_ID string, TRIP_KEY int")
     assert [tuple(r) for r in avl.pings_per_route_trip(df).collect()] == [("104_1", 2)]
+
+
+def test_near_points_equals_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    pings = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 2000, (300, 2)))] + [(900, None, 1.0)]
+    signals = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 2000, (20, 2)))] + [(50, pings[0][1], pings[0][2] + 200.0), (51, None, None)]
+    got = avl.near_points(spark.createDataFrame(pings, "event_id long, x double, y double"), spark.createDataFrame(signals, "TspAssetID long, x double, y double"))
+    want = {(a, b): math.degrees(math.atan2(x - u, y - v)) % 360 for a, x, y in pings for b, u, v in signals if None not in (x, u) and math.hypot(x - u, y - v) < 200}
+    rows = {(r.event_id, r.TspAssetID): r.azimuth_to_signal for r in got.collect()}
+    assert rows == pytest.approx(want) and len(rows) > 50 and (0, 50) not in rows

@@ -108,6 +108,15 @@ def test_junctions_merge_and_dead_ends_go(spark):
     assert sorted((r.u, r.v) for r in left.collect()) == [(1, 4), (4, 1)]
 
 
+def test_edges_that_meet_after_a_merge_keep_keys_apart(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 15.0, 0.0), (4, 500.0, 0.0), (6, 500.0, 300.0)], "osmid long, x double, y double")
+    nodes = nodes.withColumns({"lon": F.col("x"), "lat": F.col("y")})
+    rows = [(1, 4, 0, "a"), (2, 4, 0, "b"), (2, 4, 1, "c"), (4, 6, 0, "d"), (6, 1, 0, "e"), (6, 4, 3, "f"), (2, 6, 5, "g")]
+    edges = spark.createDataFrame(rows, "u long, v long, key int, name string")
+    _, left = network.consolidate_intersections(nodes, edges)
+    assert sorted((r.u, r.v, r.key, r.name) for r in left.collect()) == [(1, 4, 0, "a"), (1, 4, 1, "b"), (1, 4, 2, "c"), (1, 6, 0, "g"), (4, 6, 0, "d"), (6, 1, 0, "e"), (6, 4, 0, "f")]
+
+
 def test_study_area(spark):
     ring = [(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)]
     x, y = np.array([50, 105, 120, -5, 50.0]), np.array([50, 50, 50, -5, 111.0])

@@ -62,6 +62,9 @@ def test_timepoints_on_every_trip_and_the_fan_out_by_stop(spark):
     summary = {(r.stop_id, r.shape_id): (r.n_timepoint, r.n_stop_times) for r in stop_times.timepoint_summary(joined).collect()}
     assert summary == {("p1", "a"): (3, 3), ("p2", "a"): (2, 3), ("p1", "b"): (1, 1)}  # t1 counts on both dates; null adds nothing
     stops = spark.createDataFrame([(D1, "p1", "POINT(2 2)"), (D2, "p1", "POINT(1 1)"), (D1, "p2", None)], "service_date date, stop_id string, pt_geom string")
+    counts = stop_times.stop_counts(joined)
+    assert sorted(map(tuple, stop_times.summary_of_counts(counts).collect())) == sorted(map(tuple, stop_times.timepoint_summary(joined).collect()))
+    assert stop_times.stop_sequences(counts).exceptAll(stop_times.stop_sequences(joined)).isEmpty()
     points = stop_times.timepoints_on_route(stops, stop_times.timepoint_summary(joined), stop_times.stop_sequences(joined))
     assert sorted((r.stop_id, r.shape_id, r.stop_sequence, r.pt_geom) for r in points.collect()) == [
         ("p1", "a", 1, "POINT(1 1)"),
