@@ -24,7 +24,8 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-LONGEST_WORD = 20
+#: No label of a host is longer (DNS), so no word of one is.
+LONGEST_WORD = 63
 SMOOTHING = 1.0
 UNKNOWN = 1e-3  # the count of a word that no page has, times 10 ** -(letters beyond the first)
 
@@ -62,7 +63,7 @@ def words_of(text: Column) -> Column:
 
 def unigrams(pages: DataFrame) -> DataFrame:
     """word, n: letters-only words of all pages' visible text and paths, up to LONGEST_WORD letters (longer ones cannot
-    be part of a split)."""
+    be part of a host's label)."""
     shown = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&\w+;", " ")
     _, path = url_parts(F.col("_url"))
     each = pages.select(shown.alias("_shown"), F.col("url").alias("_url")).select(F.explode(F.concat(words_of(F.col("_shown")), words_of(F.coalesce(path, F.lit(""))))).alias("word"))
@@ -94,7 +95,7 @@ def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
         "label", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.length("label"), F.col("start") + LONGEST_WORD))).alias("end")
     )
     spans = spans.select("label", "start", "end", F.expr("substring(label, start + 1, end - start)").alias("word"))
-    found = spans.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("start", "end", "n")).alias("known"))  # at most 20 x length
+    found = spans.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("start", "end", "n")).alias("known"))  # at most LONGEST_WORD x length
     rows = labels.join(found, "label", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +124,8 @@ def tokens(urls: DataFrame, split: DataFrame) -> DataFrame:
 def verdicts(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of block; null where a rule decides).
 
-    A url without tokens has the prior's verdict. Without urls that a rule decides, everything is allowed. Null page_ids
+    One row per page; an empty table gives no rows, other columns are ignored. Long urls are judged whole; labels beyond
+    what a host can have are split into words of LONGEST_WORD letters at most. A url without tokens has the prior's verdict. Without urls that a rule decides, everything is allowed. Null page_ids
     and repeated rows are judged like any other. Hot hosts and tokens cost little: urls are counted once each with the
     number of their pages, words of a host once per host.
     """

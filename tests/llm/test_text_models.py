@@ -131,3 +131,57 @@ def test_hosts_do_not_vouch_for_their_own_labels(spark):
     listed = {t for r in url_filter.tokens(judged, url_filter.segmented(labels, url_filter.unigrams(pages))).collect() for t in r.tokens}
     assert {"h:green", "h:garden", "h:house"} <= listed and "h:greengarden" not in listed
     assert url_filter.verdicts(pages).count() == len(rows)
+
+
+def test_verdicts_equal_slow_bayes(spark):
+    """Scores and verdicts against plain counts over the same pages, words split by trying all cuts."""
+    import math
+    import re
+    from collections import Counter
+
+    shown = "<p>red garden shop news daily red shop</p>"
+    hosts = ["redshop.com", "dailynews.com", "a.gardennews.net", "shop.org", "b.example.org", "redgarden.net"]
+    paths = ["/de/shop/12", "/fr/news", "/en/1/red", "/it/garden/7", "", "/de/red?q=1", "/fr/garden#x"]
+    rows = [(i, f"https://{hosts[i * 5 % 6]}{paths[i * 3 % 7]}", shown if i % 2 else None) for i in range(90)]
+    rows += [(100, None, shown), (101, "no scheme", None), (102, "https://" + "redgarden" * 8 + ".net/it/" + "x" * 90, None), (102, "https://redshop.com/de/", None)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, label int")
+
+    def parts(url):
+        if not url or "://" not in url:
+            return "", ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1]).groups()
+        return host.lower(), path
+
+    def rule(host, path):
+        fits = [(len(r), k) for r, k in url_filter.RULES for at, start in [r.split("/", 1)] if (host == at or host.endswith("." + at)) and path.startswith("/" + start)]
+        return max(fits)[1] if fits else None
+
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    counts = Counter()
+    for _, url, html in rows:
+        counts.update(w for w in words(re.sub(r"<[^>]*>", " ", html or "")) + words(parts(url)[1]) if len(w) <= url_filter.LONGEST_WORD)
+    total = sum(counts.values())
+    split = {x: url_filter.viterbi(x, {(a, b): float(counts[x[a:b]]) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if x[a:b] in counts}, total) for _, u, _ in rows for x in parts(u)[0].split(".") if x}
+
+    def tokens(host, path):
+        return [f"h:{w}" for x in host.split(".") if x for w in split[x]] + [f"p:{w}" for w in words(path)] + [f"p#{len(d)}" for d in re.findall("[0-9]+", path)]
+
+    seen, kinds = {"block": Counter(), "allow": Counter()}, Counter()
+    for _, url, _ in rows:
+        if verdict := rule(*parts(url)):
+            seen[verdict].update(tokens(*parts(url)))
+            kinds[verdict] += 1
+    size = len(seen["block"].keys() | seen["allow"].keys())
+    chance = lambda k, t: (seen[k][t] + 1) / (sum(seen[k].values()) + size + 1)
+    want = []
+    for i, url, _ in rows:
+        verdict, score = rule(*parts(url)), None
+        if verdict is None:
+            score = math.log((kinds["block"] + 1) / (kinds["allow"] + 1)) + sum(math.log(chance("block", t) / chance("allow", t)) for t in tokens(*parts(url)))
+            verdict = "block" if score > 0 else "allow"
+        want.append((i, *parts(url), verdict, score))
+    got = sorted((r.page_id, r.host, r.path, r.verdict, r.score) for r in url_filter.verdicts(pages).collect())
+    want.sort()
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert all(g[4] == pytest.approx(w[4], abs=1e-6) for g, w in zip(got, want, strict=True) if w[4] is not None)
+    assert {"block", "allow"} <= {g[3] for g in got if g[4] is not None}
