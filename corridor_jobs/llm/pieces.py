@@ -15,7 +15,7 @@ import heapq
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
@@ -105,15 +105,15 @@ class Model:
         self.seen: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
-    def normalise(self, text: str, prefix: bool) -> tuple[str, list[int], list[int]]:
+    def normalise(self, text: str, prefix: bool) -> tuple[str, Sequence[int], Sequence[int]]:
         """The normalised text, and for each of its characters the source bytes [start, end)."""
         if not self.map.units:
             if text.isascii():
                 edge = range(len(text) + 1)
             else:
                 edge = [0, *accumulate(map(_width, text))]
-            first = [0] if prefix and text else []
-            return SPACE * len(first) + text.replace(" ", SPACE), [*first, *edge[:-1]], [*first, *edge[1:]]
+            norm, starts, ends = text.replace(" ", SPACE), edge[:-1], edge[1:]
+            return (SPACE + norm, [0, *starts], [0, *ends]) if prefix and text else (norm, starts, ends)
         out, starts, ends, data, at = [], [], [], text.encode(), 0
         if prefix and text:
             out, starts, ends = [SPACE], [0], [0]
@@ -139,7 +139,7 @@ class Model:
             pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]  # noqa: B905
             while pairs and (best := max(pairs)) != none:
                 i = pairs.index(best)
-                parts[i : i + 2] = [both := parts[i] + parts[i + 1]]
+                both = parts[i] = parts[i] + parts.pop(i + 1)
                 del pairs[i]
                 if i:
                     pairs[i - 1] = get(parts[i - 1] + both, none)
@@ -169,19 +169,14 @@ class Model:
         first, all packed as 32-bit integers, and the number of source bytes. The bytes that a character falls back to
         share its span."""
         norm, starts, ends = self.normalise(text, prefix)
-        out, begin, end, at, get = [], [], [], 0, self.ids.get
-        for piece in self.merge(norm):
-            last, i = at + len(piece) - 1, get(piece)
-            if i is not None:
-                out.append(i)
-                begin.append(starts[at])
-                end.append(ends[last])
-            else:
-                found = [self.byte_ids[b] for b in piece.encode()]
-                out += found
-                begin += [starts[at]] * len(found)
-                end += [ends[last]] * len(found)
-            at = last + 1
+        merged = self.merge(norm)
+        out = list(map(self.ids.get, merged))
+        edge = list(accumulate(map(len, merged), initial=0))
+        begin, end = [starts[k] for k in edge[:-1]], [ends[k - 1] for k in edge[1:]]
+        if None in out:  # pieces that are no pieces of the model fall back to bytes
+            size = [1 if i is not None else len(p.encode()) for i, p in zip(out, merged, strict=True)]
+            out = [x for i, p in zip(out, merged, strict=True) for x in ([i] if i is not None else [self.byte_ids[b] for b in p.encode()])]
+            begin, end = ([x for x, n in zip(xs, size, strict=True) for _ in range(n)] for xs in (begin, end))
         return array("i", out).tobytes(), array("i", begin).tobytes(), array("i", end).tobytes(), ends[-1]
 
     def parts(self, text: str) -> list[str]:
@@ -200,9 +195,7 @@ class Model:
         for p in parts[1:]:
             e = get(p)
             if e is None:
-                e = older.get(p)
-                if e is None:
-                    e = self.chunk(p, False)
+                e = older.get(p) or self.chunk(p, False)
                 if len(p) <= 64:
                     seen[p] = e
             out.append(e)
@@ -230,8 +223,8 @@ def ids_of(chunks: list[tuple]) -> np.ndarray:
 def spans_of(chunks: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Spans of all pieces: those of each chunk, moved to its place."""
     size = np.array([e[3] for e in chunks], dtype=np.int64)
-    moved = np.repeat(np.cumsum(size) - size, [len(e[0]) // 4 for e in chunks])
-    return tuple((np.frombuffer(b"".join([e[k] for e in chunks]), dtype=np.int32) + moved).astype(np.int32) for k in (1, 2))
+    moved = np.repeat((np.cumsum(size) - size).astype(np.int32), np.array([len(e[0]) for e in chunks], dtype=np.int64) // 4)
+    return tuple(np.frombuffer(b"".join([e[k] for e in chunks]), dtype=np.int32) + moved for k in (1, 2))
 
 
 @lru_cache(maxsize=2)
