@@ -183,12 +183,12 @@ class Model:
         """The text in chunks that no merge crosses; whole where the map may look across them."""
         return self.cut.findall(text) if not self.map.units else [text] if text else []
 
-    def chunks(self, text: str) -> list[tuple]:
+    def chunks(self, text: str, remembered: int = REMEMBERED) -> list[tuple]:
         """What chunk() gives for each part of the text."""
         parts = self.parts(text)
         if not parts:
             return []
-        if len(self.seen) > REMEMBERED:
+        if len(self.seen) > remembered:
             self.seen, self.older = {}, self.seen
         seen, get, older = self.seen, self.seen.get, self.older
         out = [self.chunk(parts[0], self.dummy)]
@@ -254,14 +254,15 @@ KINDS = {
 ROWS = 64
 
 
-def encode(docs: DataFrame, outputs: list[str], path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, outputs: list[str], path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """The kept columns of every document, then the outputs asked for: pieces (ids), starts and ends (source bytes of
     each), decoded (the text that the ids decode to), n_tokens, and digests of ids (in decimals, with commas), decoded
     text, and spans (starts, then ends, each in four bytes, the lowest first).
 
     Narrow: no shuffle, one pass over the text. Null or empty text has no pieces and decodes to the empty text. Very
     long texts are encoded whole. Columns not in keep are ignored. An output with the name of a kept column is an error.
-    Repeated rows are encoded each; an empty table gives no rows.
+    Repeated rows are encoded each; an empty table gives no rows. remembered bounds the chunks that a worker keeps (about
+    0.7 kB each, both generations); it changes the time alone.
     """
     if clash := {*outputs} & {*keep}:
         raise ValueError(f"outputs and kept columns share names: {sorted(clash)}")
@@ -275,15 +276,15 @@ def encode(docs: DataFrame, outputs: list[str], path: str | None = None, keep: t
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                made = [_document(model, text.as_py(), outputs) for text in part.column(len(keep))]
+                made = [_document(model, text.as_py(), outputs, remembered) for text in part.column(len(keep))]
                 columns = [pa.array([m[k] for m in made], type=KINDS[k][1]) for k in outputs]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *columns], names=[*keep, *outputs])
 
     return src.mapInArrow(run, schema)
 
 
-def _document(model: Model, text: str, outputs: list[str]) -> dict:
-    chunks = model.chunks(text)
+def _document(model: Model, text: str, outputs: list[str], remembered: int = REMEMBERED) -> dict:
+    chunks = model.chunks(text, remembered)
     ids = ids_of(chunks)
     made: dict = {"pieces": ids, "n_tokens": len(ids)}
     if {"starts", "ends", "spans_sha256"} & {*outputs}:
@@ -298,4 +299,4 @@ def _document(model: Model, text: str, outputs: list[str]) -> dict:
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), ["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+    return encode(table(spark, sf_dir, "documents"), ["n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"], remembered=400_000)
