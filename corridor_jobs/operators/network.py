@@ -47,15 +47,20 @@ def clip_to_study_area(nodes: DataFrame, edges: DataFrame, ring: Sequence[tuple[
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label: the least node reachable over undirected edges (u, v)."""
+    """node, label: the least node reachable over undirected edges (u, v).
+
+    Each round a node takes the least label among its neighbours, all nodes of a label take the least that one of them
+    found, and every label jumps to its own label, so that long chains take about as many rounds as their length has bits.
+    """
     both = checkpointed(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("label")))
     for _ in range(rounds):
-        told = both.join(label.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "label")
-        least = label.unionByName(told).groupBy("node").agg(F.min("label").alias("near"))
-        jump = label.select(F.col("node").alias("near"), F.col("label").alias("root"))
-        step = least.join(jump, "near", "left").join(label, "node")
-        step = checkpointed(step.select("node", F.least("near", F.coalesce("root", "near")).alias("new"), "label"))
+        told = both.join(label.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), F.col("label").alias("near"))
+        heard = told.groupBy("node").agg(F.min("near").alias("near")).join(label, "node")
+        hook = heard.groupBy("label").agg(F.min("near").alias("hook"))
+        near = heard.join(hook, "label").select("node", "label", F.least("label", "hook").alias("near"))
+        root = label.join(hook, "label", "left").select(F.col("node").alias("near"), F.least("label", "hook").alias("root"))
+        step = checkpointed(near.join(root, "near", "left").select("node", F.least("near", "root").alias("new"), "label"))
         if step.filter("new <> label").isEmpty():
             return step.select("node", "label")
         label = step.select("node", F.col("new").alias("label"))

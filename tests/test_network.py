@@ -98,6 +98,14 @@ def test_components_equal_union_find(spark):
     assert got == {n: find(n) for n in up}
 
 
+def test_components_of_long_chains_take_few_rounds(spark):
+    rng = random.Random(6)
+    mixed = rng.sample(range(1000, 3000), 2000)
+    edges = [*zip(mixed, mixed[1:]), *((i, i + 1) for i in range(500)), *((10_000 - i, 9_999 - i) for i in range(500))]
+    got = {r.node: r.label for r in network.components(spark.createDataFrame(edges, "u long, v long"), rounds=16).collect()}
+    assert got == dict.fromkeys(mixed, 1000) | dict.fromkeys(range(501), 0) | dict.fromkeys(range(9_500, 10_001), 9_500)
+
+
 def test_junctions_merge_and_dead_ends_go(spark):
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 15.0, 0.0), (3, 30.0, 0.0), (4, 500.0, 0.0), (5, 900.0, 0.0)], "osmid long, x double, y double")
     nodes = nodes.withColumns({"lon": F.col("x"), "lat": F.col("y")})
