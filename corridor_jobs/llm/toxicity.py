@@ -5,8 +5,10 @@ learns from such windows of tokens what the forms look like (the form itself, it
 tokens follow one another. Forward-backward marginals over whole texts give the expected number of toxic tokens and the
 largest marginal of each document; a logistic fit on training documents turns these into a score.
 
-The fit uses at most TRAIN_DOCS labelled documents for the forms, WINDOWS windows of WINDOW tokens and FORMS forms for
-the field, and SCORED_DOCS documents for the logistic (parameters), so what the driver gathers is bounded. Scoring covers every document and the whole of its text.
+The fit uses at most TRAIN_DOCS labelled documents for the forms, WINDOWS windows of WINDOW tokens of these for the
+field, and SCORED_DOCS documents for the logistic (parameters), so what the driver gathers is bounded. All forms of these
+documents that keep to toxic ones count: in MIN_DOCS of them or more, with a lift of LIFT or more. Scoring covers every
+document and the whole of its text.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ from .common import table, text_batches, whole, without_rows, written
 TRAIN_DOCS = 20_000
 SCORED_DOCS = 5_000
 WINDOWS, WINDOW = 2_000, 64
-FORMS = 5_000
 #: Documents tagged at a time, and forms whose emissions a worker remembers.
 ROWS, REMEMBERED = 512, 200_000
-MIN_DOCS = 3
+MIN_DOCS, LIFT = 3, 2.5
 FOLDS, HELD_OUT = 5, 0
 SPACE_BITS = 16
 BLOCK = 64
@@ -299,8 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     rate = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1.0)
     base = train.agg(F.avg("toxic")).first()[0] or 0.0
     lift = F.log(rate / (1 - rate)) - float(np.log((base + 1e-6) / (1 - base + 1e-6)))
-    top = counted(train, MIN_DOCS).withColumn("lift", lift).orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "form").limit(FORMS)
-    forms = {r.form: int(r.lift) if r.lift >= 2.5 else min(0, int(r.lift)) for r in top.select("form", "lift").collect()}
+    telling = counted(train, MIN_DOCS).withColumn("lift", lift).filter(F.col("lift") >= LIFT)
+    forms = {r.form: int(r.lift) for r in telling.select("form", "lift").collect()}
     toxic, clean = (windows(train.filter(F.col("toxic") == y), forms).orderBy("at", "tokens").limit(WINDOWS // 2).collect() for y in (1, 0))
     return fit_field(forms, [(list(r.tokens), list(r.marks)) for r in sorted([*toxic, *clean])])
 

@@ -34,6 +34,53 @@ def test_long_chains_equal_the_logarithmic_form():
     assert toxicity.chain_marginals(e, size, 0.3, step) == pytest.approx(want)
 
 
+def test_field_is_at_the_top_of_its_likelihood():
+    """At the end of a long fit the slope of the likelihood, summed over all paths, is flat in every chain weight."""
+    sample = [(["a", "b", "c"], [0, 1, 1]), (["c", "a"], [1, 0]), (["b", "b", "a", "c"], [0, 1, 0, 0]), (["c"], [0])]
+    decay = 0.02
+    crf = toxicity.fit_field({"c": 3}, sample, rounds=1500, rate=0.02, decay=decay)
+
+    def objective(start, step, shift):
+        total = 0.0
+        for tokens, marks in sample:
+            e = [crf.emission(t) + shift * (t == "b") for t in tokens]
+            def score(path):
+                return start * path[0] + sum(x * y for x, y in zip(e, path, strict=True)) + sum(step[i, j] for i, j in itertools.pairwise(path))
+            total += score(marks) - np.logaddexp.reduce([score(p) for p in itertools.product((0, 1), repeat=len(tokens))])
+        return total / len(sample) - decay / 2 * (start**2 + (step**2).sum())
+
+    def slope(f):
+        return (f(1e-5) - f(-1e-5)) / 2e-5
+
+    assert slope(lambda d: objective(crf.start + d, crf.step, 0)) == pytest.approx(0, abs=2e-3)
+    for i, j in itertools.product((0, 1), repeat=2):
+        one = np.zeros((2, 2))
+        one[i, j] = 1
+        assert slope(lambda d, one=one: objective(crf.start, crf.step + d * one, 0)) == pytest.approx(0, abs=2e-3)
+    own = crf.weights[crf.features("b")[0]]  # the feature of the form "b" alone
+    assert slope(lambda d: objective(crf.start, crf.step, d)) == pytest.approx(decay * own, abs=2e-3)
+
+
+def test_logistic_is_at_the_top_of_its_likelihood():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 3))
+    y = (rng.random(200) < 1 / (1 + np.exp(-(x @ [2.0, -1.0, 0.5] + 0.3)))).astype(float)
+    w = toxicity.fit_logistic(x, y, decay=1e-3)
+    wide = np.column_stack([x, np.ones(200)])
+    assert wide.T @ (y - 1 / (1 + np.exp(-wide @ w))) == pytest.approx(1e-3 * 200**0.5 * w, abs=1e-6)
+
+
+def test_unseen_documents_are_told_apart(spark):
+    """Held-out documents of sf0.1 (sf0.01 has six toxic ones): the share put right, and of pairs that the score orders."""
+    here = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{here}/labels.parquet").select("doc_id", "toxic")
+    got = labels.join(toxicity.op2_toxicity(spark, here), "doc_id").filter("held_out").toPandas()
+    toxic, clean = (got[got.toxic == y].score.to_numpy() for y in (1, 0))
+    above = (toxic[:, None] > clean[None, :]).mean() + (toxic[:, None] == clean[None, :]).mean() / 2
+    assert len(toxic) > 50 and above > 0.92
+    assert (got.predicted == got.toxic).mean() > 0.97
+
+
 def test_toxic_words_are_learnt_and_found(spark):
     rows = [(i, f"plain words number {i} and " + ("you awful wretch there" if i % 4 == 0 else "a fine day it is")) for i in range(400)]
     docs = spark.createDataFrame(rows + [(400, None), (401, ""), (None, "awful wretch"), (400, None)], "doc_id long, text string")
