@@ -15,8 +15,8 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
 
     Each round a node hears the least label among its neighbours, all nodes of a label take the least that one of them
     heard (roots hook onto roots), and every label jumps to its own label: long chains take about as many rounds as their
-    length has bits. All three are aggregations with map-side combine and joins that adaptive execution can split. Labels
-    are checkpointed each round.
+    length has bits. All three are aggregations with map-side combine and joins that adaptive execution can split. What
+    was heard and the labels are checkpointed each round, which keeps plans short.
     A node without edges is not in the result; no edges give no rows.
     """
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
@@ -24,11 +24,11 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     labels = checkpointed(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     for _ in range(MAX_ROUNDS):
         told = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), F.col("label").alias("near"))
-        heard = told.groupBy("node").agg(F.min("near").alias("near")).join(labels, "node")
+        heard = checkpointed(told.groupBy("node").agg(F.min("near").alias("near")).join(labels, "node"))
         hook = heard.groupBy("label").agg(F.min("near").alias("hook"))
         near = heard.join(hook, "label").select("node", F.col("label").alias("was"), F.least("label", "hook").alias("near"))
-        root = labels.join(hook, "label", "left").select(F.col("node").alias("near"), F.least("label", "hook").alias("root"))
-        step = near.join(root, "near", "left").select("node", F.least("near", "root").alias("label"), "was")
+        root = near.select(F.col("node").alias("near"), F.col("near").alias("root"))
+        step = near.join(root, "near").select("node", F.col("root").alias("label"), "was")
         step = checkpointed(step)
         changed = step.filter("label <> was").limit(1).count()
         labels = step.select("node", "label")

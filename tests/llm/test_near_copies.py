@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from corridor_jobs.llm import near_copies, simhash
+from corridor_jobs.llm.components import components
 
 
 def slow_set(text):
@@ -53,3 +54,11 @@ def test_rows_that_share_an_id_are_judged_by_their_text(spark):
     rows = [(1, text), (2, text + " more"), (2, "another text of its own"), (None, text)]
     got = near_copies.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
+def test_components_of_long_chains(spark):
+    """A chain in mixed order, one that falls and a star: every node has the least one it reaches, well within the rounds."""
+    mixed = random.Random(6).sample(range(10_000, 12_000), 600)
+    edges = [*zip(mixed, mixed[1:]), *((1_000 - i, 999 - i) for i in range(300)), *((5_000, 5_001 + i) for i in range(200)), (7, 7)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys(mixed, min(mixed)) | dict.fromkeys(range(700, 1_001), 700) | dict.fromkeys(range(5_000, 5_201), 5_000)
