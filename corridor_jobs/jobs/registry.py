@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import avl, checks, network, segments, service, stop_times, validation
 from ..sources.adapters import adapted, oracle
-from .workloads import DATES, PLACE, Pings, Service, Streets
+from .workloads import DATES, PLACE, Pings, Service, Streets, StudyArea
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +131,34 @@ STEPS = {
     "corrected": " UNION ALL ".join(f"SELECT TspAssetID, osmid, Name, x, y, '{d}' AS direction, {d}_min AS bearing_lower_bound, {d}_max AS bearing_upper_bound FROM ranges WHERE {d}_min IS NOT NULL AND {d}_max IS NOT NULL" for d in _DIRS),
 }
 
+#: Corners of the study area, longitude and latitude.
+CORNERS = ((-118.44, 34.005), (-118.41, 34.003), (-118.405, 34.02), (-118.43, 34.03))
+_ALONG = "greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))))"
+_OFF = f"sqrt((x1 + {_ALONG} * (x2 - x1) - x) * (x1 + {_ALONG} * (x2 - x1) - x) + (y1 + {_ALONG} * (y2 - y1) - y) * (y1 + {_ALONG} * (y2 - y1) - y))"
+STEPS |= {
+    "corners": " UNION ALL ".join(f"SELECT {i} AS i, CAST({lon} AS DOUBLE) AS lon, CAST({lat} AS DOUBLE) AS lat" for i, (lon, lat) in enumerate(CORNERS)),
+    "xycorners": f"SELECT i, {_X} AS x, {_Y} AS y FROM corners",
+    "walls": f"SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM xycorners a JOIN xycorners b ON b.i = (a.i + 1) % {len(CORNERS)}",
+    "within": f"SELECT osmid FROM xynodes, walls GROUP BY osmid HAVING count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1 OR min({_OFF}) <= 1000",
+    "clipped": "SELECT DISTINCT u, v, key, name FROM edges WHERE u IN (SELECT osmid FROM within) OR v IN (SELECT osmid FROM within)",
+    "clippednodes": "SELECT * FROM xynodes WHERE osmid IN (SELECT u FROM clipped UNION SELECT v FROM clipped)",
+}
+
+
+def _again(names: tuple[str, ...], over: dict[str, str]) -> dict[str, str]:
+    """These steps once more, their names ending in _s, over other tables."""
+    to = over | {n: f"{n}_s" for n in names}
+    return {to[n]: re.sub(r"\b\w+\b", lambda m: to.get(m[0], m[0]), STEPS[n]) for n in names}
+
+
+STEPS |= _again(("sides", "alive", "links", "walk", "labels"), {"edges": "clipped", "xynodes": "clippednodes"})
+STEPS |= {
+    "nodes_s": "SELECT label AS osmid, avg(lon) AS lon, avg(lat) AS lat, avg(x) AS x, avg(y) AS y FROM labels_s JOIN alive_s ON node = osmid GROUP BY label",
+    "edges_s": "SELECT u, v, row_number() OVER (PARTITION BY u, v ORDER BY u0, v0, key0) - 1 AS key, name FROM (SELECT a.label AS u, b.label AS v, e.u AS u0, e.v AS v0, key AS key0, name FROM clipped e JOIN labels_s a ON e.u = a.node JOIN labels_s b ON e.v = b.node) z WHERE u <> v",
+}
+_CHAIN = ("bearings", "oriented", "reach", "nearest", "ends", "halves", "bounds", "propagated", "canon", "ranked", "directed", "noderanges", "signalranges")
+STEPS |= _again(_CHAIN, {"nodes": "nodes_s", "xynodes": "nodes_s", "edges": "edges_s"})
+
 
 def query(sql: str | None = None, name: str | None = None):
     """Registers a query under its name, with the select of its oracle."""
@@ -308,15 +337,13 @@ def bearing_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ring(spark: SparkSession) -> list[tuple[float, float]]:
-    corners = [(-118.44, 34.005), (-118.41, 34.003), (-118.405, 34.02), (-118.43, 34.03)]
     x, y = C.albers(F.col("lon"), F.col("lat"))
-    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(corners)], "i int, lon double, lat double").select("i", x.alias("x"), y.alias("y"))
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(CORNERS)], "i int, lon double, lat double").select("i", x.alias("x"), y.alias("y"))
     return [(r.x, r.y) for r in rows.orderBy("i").collect()]
 
 
-@query()
+@query("SELECT u, v, key, name FROM clipped")
 def clip_to_study_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a brute-force version in the tests."""
     return network.clip_to_study_area(Streets(spark, sf_dir).nodes, adapted(spark, sf_dir, "edges"), _ring(spark))
 
 
@@ -376,7 +403,13 @@ query("SELECT w.feed_key, count(e.feed_key) AS n_rows FROM (SELECT DISTINCT feed
 
 # Workloads
 _step(Service, "report", "SELECT * FROM report", "w1_segment_variability")
-QUERIES["w2_signal_ranges"], ORACLES["w2_signal_ranges"] = QUERIES["signals_with_ranges"], ORACLES["signals_with_ranges"]
+
+
+@query("SELECT TspAssetID, Name, round(x, 3) AS x, round(y, 3) AS y, osmid, " + ", ".join(validation.RANGE_COLUMNS) + " FROM signalranges_s")
+def w2_signal_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the network as it is: clip, merge junctions, bearings, bounds, directions, ranges at signals."""
+    w = StudyArea(spark, sf_dir, tuple(_ring(spark)))
+    return w.signal_ranges.withColumns({"x": F.round("x", 3), "y": F.round("y", 3)})
 
 
 @query(

@@ -256,3 +256,26 @@ class Streets:
     @cached_property
     def flags(self) -> DataFrame:
         return validation.heading_flags(self.matched)
+
+
+@dataclass
+class StudyArea(Streets):
+    """W2 from the raw network on: clipped to the study area (a ring in metres), its junctions merged, then as Streets."""
+
+    ring: tuple[tuple[float, float], ...] = ()
+
+    @cached_property
+    def merged(self) -> tuple[DataFrame, DataFrame]:
+        every = Streets(self.spark, self.sf_dir).nodes
+        edges = checkpointed(network.clip_to_study_area(every, self._t("edges"), self.ring))
+        ends = edges.select(F.explode(F.array("u", "v")).alias("osmid")).distinct()
+        nodes, edges = network.consolidate_intersections(every.join(ends, "osmid", "left_semi"), edges)
+        return checkpointed(nodes), checkpointed(edges)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self.merged[0]
+
+    @cached_property
+    def bearings(self) -> DataFrame:
+        return network.drop_loops(network.edge_bearings(self.nodes, self.merged[1]))

@@ -56,11 +56,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("label")))
     for _ in range(rounds):
         told = both.join(label.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), F.col("label").alias("near"))
-        heard = told.groupBy("node").agg(F.min("near").alias("near")).join(label, "node")
+        heard = checkpointed(told.groupBy("node").agg(F.min("near").alias("near")).join(label, "node"))
         hook = heard.groupBy("label").agg(F.min("near").alias("hook"))
         near = heard.join(hook, "label").select("node", "label", F.least("label", "hook").alias("near"))
-        root = label.join(hook, "label", "left").select(F.col("node").alias("near"), F.least("label", "hook").alias("root"))
-        step = checkpointed(near.join(root, "near", "left").select("node", F.least("near", "root").alias("new"), "label"))
+        root = near.select(F.col("node").alias("near"), F.col("near").alias("root"))
+        step = checkpointed(near.join(root, "near").select("node", F.col("root").alias("new"), "label"))
         if step.filter("new <> label").isEmpty():
             return step.select("node", "label")
         label = step.select("node", F.col("new").alias("label"))

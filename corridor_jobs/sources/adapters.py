@@ -137,4 +137,4 @@ def oracle(sql: dict[str, str], select: str) -> str:
     ctes = ", ".join(f"{n} AS ({every[n]})" for n in every if n in used)
     for t in BASE:
         ctes = ctes.replace("{" + t + "}", t)
-    return f"WITH {'RECURSIVE ' * ('walk' in used)}{ctes} {select}"
+    return f"WITH {'RECURSIVE ' * any(n.startswith('walk') for n in used)}{ctes} {select}"
