@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, pieces, simhash, suffix_levels, token_counts, toxicity, url_filter, weighted_sampling
+from . import exact_dedup, line_dedup, mixing, pieces, simhash, suffix_levels, token_counts, toxicity, url_filter, weighted_sampling, windows
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_suffix_levels": suffix_levels.op9_suffix_levels,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_word_windows": windows.op11_word_windows,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_token_counts": token_counts.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op11_word_windows": windows.SQL,
 }
