@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, merkle, mixing, pieces, simhash, suffix_levels, token_counts, toxicity, url_filter, weighted_sampling, windows
+from . import collocations, exact_dedup, line_dedup, merkle, mixing, pieces, simhash, suffix_levels, token_counts, toxicity, url_filter, weighted_sampling, windows
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_levels": suffix_levels.op9_suffix_levels,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_word_windows": windows.op11_word_windows,
+    "op12_collocations": collocations.op12_collocations,
     "op13_merkle": merkle.op13_merkle,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op6_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op11_word_windows": windows.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_merkle": merkle.SQL,
 }
