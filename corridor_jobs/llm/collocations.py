@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import UPPER, discard, released, table, text_batches, whole, written
+from .common import ROWS_SENT, UPPER, discard, released, rows_sent, table, whole, written
 from .rolling import mixed
 from .word_arrays import codes, table_of, words
 
@@ -28,6 +28,8 @@ WITHIN = 800
 BLANKS, BREAKS = b" \t", b".,;:!?\n\v\f\r"
 SEPARATORS, BREAK = table_of(BLANKS + BREAKS), table_of(BREAKS)
 BLOCK_BYTES = 4 << 20
+#: Blocks that are sent to a Python worker together.
+BLOCKS_SENT = 4
 #: Bits of the map, 8 MB.
 BITS = 1 << 26
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -169,13 +171,15 @@ def counted(every: DataFrame, maps: list[np.ndarray]) -> DataFrame:
 def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """lang, words (their number), phrase, f of every phrase with f >= least; and lang, n (all occurrences of words)."""
     spark = docs.sparkSession
-    every = written(lists(docs))
+    with rows_sent(spark, ROWS_SENT):
+        every = written(lists(docs))
     parts, maps = [], []
     single = every.select("lang", F.inline(F.arrays_zip("words", "sizes"))).select("lang", F.col("words").alias("phrase"), F.col("sizes").cast("long").alias("n"))
     totals = written(single.groupBy("lang").agg(F.sum("n").alias("n")))
     for k in range(longest):
         rows = counted(every, maps) if k else single
-        found = written(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
+        with rows_sent(spark, BLOCKS_SENT):
+            found = written(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
         parts.append(found.select("lang", F.lit(k + 1).alias("words"), "phrase", "f"))
         released(spark)
         if k + 1 < longest:
@@ -195,7 +199,6 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     A null lang is "und", a null text empty. Very long texts are inverted in one block. Words are told apart by 64 bits
     within a block. Rows that repeat count each. Extra columns are ignored; an empty table gives no rows.
     """
-    text_batches(docs.sparkSession)
     every, totals = frequencies(docs.select(F.coalesce(lang_col, F.lit(UNKNOWN)).alias("_lang"), whole(text_col).alias("_text")), least, longest)
     known = every.select("lang", "phrase", "f")
     long = every.filter("words > 1")

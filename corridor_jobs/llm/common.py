@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,6 +71,17 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(ROWS_KEY, str(ROWS_SENT))
 
 
+@contextmanager
+def rows_sent(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Has rows go to Python workers so many at a time, for jobs that run within; then the session is as it was."""
+    before = spark.conf.get(ROWS_KEY)
+    spark.conf.set(ROWS_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_KEY, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
