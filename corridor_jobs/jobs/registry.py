@@ -91,6 +91,15 @@ STEPS = {
     "validity": "SELECT shape_id, feed_key, min(service_date) AS first_service_date, max(service_date) AS last_service_date, count(DISTINCT service_date) AS n_service_dates, string_agg(DISTINCT CAST(service_date AS VARCHAR), ', ' ORDER BY CAST(service_date AS VARCHAR)) AS service_dates FROM timed GROUP BY shape_id, feed_key",
     "tripcounts": "SELECT shape_id, count(*) AS n_rt_trips FROM (SELECT DISTINCT shape_id, feed_key, service_date, trip_id FROM timed) GROUP BY shape_id",
     "tplist": "SELECT DISTINCT shape_id, feed_key, stop_sequence, stop_id, pt_geom FROM matched",
+    "vertices": "SELECT shape_id, feed_key, i, CAST(regexp_extract(pt_array[i], '\\(([-0-9.]+) ', 1) AS DOUBLE) AS x, CAST(regexp_extract(pt_array[i], ' ([-0-9.]+)\\)', 1) AS DOUBLE) AS y FROM (SELECT *, unnest(range(1, len(pt_array) + 1)) AS i FROM drawn WHERE len(pt_array) > 1)",
+    "legs": "SELECT *, sum(size) OVER (PARTITION BY shape_id, feed_key ORDER BY i) - size AS m FROM (SELECT *, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS size FROM (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM vertices WINDOW w AS (PARTITION BY shape_id, feed_key ORDER BY i)) a WHERE x2 IS NOT NULL) b",
+    "tppoints": "SELECT *, CAST(regexp_extract(pt_geom, '\\(([-0-9.]+) ', 1) AS DOUBLE) AS px, CAST(regexp_extract(pt_geom, ' ([-0-9.]+)\\)', 1) AS DOUBLE) AS py FROM tplist WHERE pt_geom IS NOT NULL",
+    "feet": "SELECT *, m + t * size AS d, sqrt((x + t * (x2 - x) - px) * (x + t * (x2 - x) - px) + (y + t * (y2 - y) - py) * (y + t * (y2 - y) - py)) AS off FROM (SELECT p.*, i, x, y, x2, y2, size, m, CASE WHEN size > 0 THEN greatest(0, least(1, ((px - x) * (x2 - x) + (py - y) * (y2 - y)) / (size * size))) ELSE 0 END AS t FROM tppoints p JOIN legs l ON p.shape_id = l.shape_id AND p.feed_key = l.feed_key) z",
+    "nearfeet": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shape_id, feed_key, stop_sequence, stop_id, pt_geom ORDER BY off, i) AS n FROM feet) WHERE n = 1",
+    "onlines": "SELECT t.*, f.d AS distance, lag(f.d) OVER (PARTITION BY t.shape_id, t.feed_key ORDER BY t.stop_sequence, t.stop_id, t.pt_geom NULLS FIRST) AS prior_distance FROM tplist t LEFT JOIN nearfeet f ON t.shape_id = f.shape_id AND t.feed_key = f.feed_key AND t.stop_sequence = f.stop_sequence AND t.stop_id = f.stop_id AND t.pt_geom = f.pt_geom",
+    "cutends": "SELECT shape_id, feed_key, stop_sequence, stop_id, pt_geom, least(distance, prior_distance) AS lo, greatest(distance, prior_distance) AS hi, distance > prior_distance AS back FROM onlines WHERE distance IS NOT NULL AND prior_distance IS NOT NULL",
+    "cutpoints": "SELECT c.shape_id, c.feed_key, stop_sequence, stop_id, pt_geom, back, lo AS d, 0 AS part FROM cutends c UNION ALL SELECT c.shape_id, c.feed_key, stop_sequence, stop_id, pt_geom, back, m, 1 FROM cutends c JOIN legs l ON c.shape_id = l.shape_id AND c.feed_key = l.feed_key AND m > lo AND m < hi UNION ALL SELECT shape_id, feed_key, stop_sequence, stop_id, pt_geom, back, hi, 2 FROM cutends WHERE hi > lo",
+    "cutvertices": "SELECT c.shape_id, c.feed_key, stop_sequence, stop_id, pt_geom, row_number() OVER (PARTITION BY c.shape_id, c.feed_key, stop_sequence, stop_id, pt_geom ORDER BY CASE WHEN back THEN -d ELSE d END, CASE WHEN back THEN -part ELSE part END) AS vertex, x + (d - m) / size * (x2 - x) AS x, y + (d - m) / size * (y2 - y) AS y FROM cutpoints c ASOF JOIN legs l ON c.shape_id = l.shape_id AND c.feed_key = l.feed_key AND c.d >= l.m",
     # pings
     "parsed": "SELECT *, try_strptime(lpad(CAST(CAST(EVENT_TIME AS BIGINT) AS VARCHAR), 12, '0'), '%y%m%d%H%M%S') AS event_at FROM pings",
     "gaps": "SELECT *, CASE WHEN TRIP_KEY IS NOT NULL THEN epoch_us(event_at) / 1e6 - epoch_us(lag(event_at) OVER (PARTITION BY TRIP_KEY ORDER BY event_at NULLS LAST, event_id)) / 1e6 END AS gap_seconds FROM parsed",
@@ -241,10 +250,28 @@ query("SELECT * FROM validity", "shape_date_validity")(lambda s, d: segments.sha
 query("SELECT * FROM tripcounts", "rt_trip_counts")(lambda s, d: segments.rt_trip_counts(Service(s, d).timed))
 _step(Service, "validity", "SELECT v.*, n_rt_trips, n_service_dates = 5 AS covers_all_target_dates FROM validity v LEFT JOIN tripcounts t ON v.shape_id = t.shape_id", "covers_all_target_dates")
 _step(Service, "timepoint_list", "SELECT * FROM tplist", "timepoint_list", "shape_id", "feed_key", "stop_sequence", "stop_id", "pt_geom")
-_step(Service, "projected", None, "project_on_line", "shape_id", "feed_key", "stop_sequence", "stop_id", _r("distance", 9))
-_step(Service, "projected", None, "prior_distance", "shape_id", "feed_key", "stop_sequence", "stop_id", _r("distance", 9), _r("prior_distance", 9))
-query(None, "segment_geometry")(lambda s, d: segments.segment_lines(Service(s, d).projected).select("shape_id", "feed_key", "stop_sequence", "stop_id", C.line_text(F.col("segment")).alias("segment")))
-query(None, "segment_map_rows")(lambda s, d: Service(s, d).map_rows.withColumn("segment", C.line_text(F.col("segment"))).drop("line", "point"))
+_AT = "shape_id, feed_key, stop_sequence, stop_id"
+_ONLINE = ["shape_id", "feed_key", "stop_sequence", "stop_id", _r("distance", 9)]
+_step(Service, "projected", f"SELECT {_AT}, round(distance, 9) AS distance FROM onlines", "project_on_line", *_ONLINE)
+_step(Service, "projected", f"SELECT {_AT}, round(distance, 9) AS distance, round(prior_distance, 9) AS prior_distance FROM onlines", "prior_distance", *_ONLINE, _r("prior_distance", 9))
+
+
+@query(f"SELECT {_AT}, pt_geom, vertex, round(x, 7) AS x, round(y, 7) AS y FROM cutvertices")
+def segment_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = segments.segment_lines(Service(spark, sf_dir).projected).select("shape_id", "feed_key", "stop_sequence", "stop_id", "pt_geom", F.posexplode("segment").alias("i", "p"))
+    return parts.select("shape_id", "feed_key", "stop_sequence", "stop_id", "pt_geom", (F.col("i") + 1).cast("long").alias("vertex"), F.round("p.x", 7).alias("x"), F.round("p.y", 7).alias("y"))
+
+
+@query(
+    "SELECT t.shape_id, t.feed_key, t.stop_sequence, t.stop_id, t.pt_geom, round(distance, 9) AS distance, round(prior_distance, 9) AS prior_distance, n_vertices, round(x1, 7) AS x1, round(y1, 7) AS y1, travel_time_variability, p80_travel_time_seconds, p20_travel_time_seconds, n_rt_trips, n_service_dates FROM onlines t"
+    " LEFT JOIN (SELECT shape_id, feed_key, stop_sequence, stop_id, pt_geom, count(*) AS n_vertices, arg_min(x, vertex) AS x1, arg_min(y, vertex) AS y1 FROM cutvertices GROUP BY ALL) g ON t.shape_id = g.shape_id AND t.feed_key = g.feed_key AND t.stop_sequence = g.stop_sequence AND t.stop_id = g.stop_id AND t.pt_geom = g.pt_geom"
+    " LEFT JOIN report r ON t.shape_id = r.shape_id AND t.feed_key = r.feed_key AND t.stop_sequence = r.stop_sequence WHERE t.stop_sequence <> 2"
+)
+def segment_map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Service(spark, sf_dir).map_rows
+    first = {c: F.round(F.col("segment")[0][c[0]], 7) for c in ("x1", "y1")}
+    rows = rows.withColumns(first | {"n_vertices": F.when(F.col("segment").isNotNull(), F.size("segment")).cast("long"), "distance": F.round("distance", 9), "prior_distance": F.round("prior_distance", 9)})
+    return rows.drop("line", "point", "segment")
 
 
 @query("SELECT shape_id, feed_key, CAST(p80 AS DOUBLE) AS p80_travel_time_seconds, CAST(p20 AS DOUBLE) AS p20_travel_time_seconds, " + _RATIO + " AS travel_time_variability FROM (SELECT shape_id, feed_key, quantile_cont(secs, 0.8) AS p80, quantile_cont(secs, 0.2) AS p20 FROM (SELECT shape_id, feed_key, CASE WHEN b >= a THEN (b - a) // 1000000 % 86400 END AS secs FROM (SELECT service_date, shape_id, feed_key, trip_id, max(CASE WHEN up = 1 THEN epoch_us(actual_departure_pacific) END) AS a, max(CASE WHEN down = 1 THEN epoch_us(actual_arrival_pacific) END) AS b FROM (SELECT *, row_number() OVER (PARTITION BY service_date, shape_id, feed_key, trip_id ORDER BY stop_sequence, stop_id, pt_geom NULLS FIRST) AS up, row_number() OVER (PARTITION BY service_date, shape_id, feed_key, trip_id ORDER BY stop_sequence DESC, stop_id DESC, pt_geom DESC NULLS LAST) AS down FROM matched) GROUP BY service_date, shape_id, feed_key, trip_id)) GROUP BY shape_id, feed_key)")

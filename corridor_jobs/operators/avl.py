@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .network import grid_pairs
+from .percentiles import weighted_percentiles
+from .shared import checkpointed, with_previous
 
 DOORS = ("STOP_BACK_DOOR_ENTRY", "STOP_FRONT_DOOR_ENTRY", "STOP_FRONT_DOOR_EXIT", "STOP_BACK_DOOR_EXIT")
 
@@ -29,48 +31,63 @@ def pings_per_route_trip(df: DataFrame) -> DataFrame:
     return df.select(label).dropna().groupBy("route_trip").agg(F.count(F.lit(1)).alias("n_pings")).orderBy("route_trip")
 
 
-def ping_gaps(df: DataFrame, keys: Sequence[str] = ("TRIP_KEY",), tie: str | None = None) -> DataFrame:
+def _seconds(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp")) / 1e6
+
+
+def ping_gaps(df: DataFrame, keys: Sequence[str] = ("TRIP_KEY",), tie: str | None = None, bucket_seconds: int = 3600) -> DataFrame:
     """Adds gap_seconds since the ping before of the same keys. Pings without a time come last; a null key has no gap.
 
-    Trip keys recur every day: give the date and vehicle as further keys where they are known.
+    Trip keys recur every day: give the date and vehicle as further keys where they are known. A key's pings are put in
+    order within bucket_seconds at a time, so that a key with most of the pings is spread over many tasks.
     """
-    order = [F.asc_nulls_last("event_at"), *([tie] if tie else [])]
-    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    before = F.lag("event_at").over(Window.partitionBy(*keys).orderBy(*order))
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    return df.withColumn("gap_seconds", F.when(known, seconds(F.col("event_at")) - seconds(before)))
+    bucket = F.floor(_seconds(F.col("event_at")) / bucket_seconds)
+    rows = with_previous(df, keys, [bucket], ["event_at", *([tie] if tie else [])], "event_at", "_prior")
+    return rows.withColumn("gap_seconds", _seconds(F.col("event_at")) - _seconds(F.col("_prior"))).drop("_prior")
 
 
-def gap_summary(df: DataFrame, column: str = "gap_seconds") -> DataFrame:
-    """One row: count, mean, sample standard deviation, least, quartiles (exact), largest.
+def value_counts(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """v (and by): how many rows, n, have each value; nulls left out. Written once: summaries and histograms follow from it
+    without the rows. Tables of parts of the rows may be added up."""
+    keys = [by] if by else []
+    return checkpointed(df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n")))
 
-    Quartiles come from the counts of distinct values, which are far fewer than pings, as gaps are mostly whole seconds.
-    """
-    v = F.col(column)
-    q = F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    each = df.filter(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    plain = df.agg(F.count(v).alias("n_gaps"), F.avg(v).alias("mean_gap"), F.stddev_samp(v).alias("std_gap"), F.min(v).alias("min_gap"), F.max(v).alias("max_gap"))
-    quart = each.agg(q.alias("q")).select(F.col("q")[0].alias("p25_gap"), F.col("q")[1].alias("p50_gap"), F.col("q")[2].alias("p75_gap"))
-    return plain.join(F.broadcast(quart))  # one row each
+
+def gap_summary(df: DataFrame, column: str = "gap_seconds") -> DataFrame:
+    """One row: count, mean, sample standard deviation, least, quartiles (exact), largest; from the counts of distinct
+    values, which are far fewer than pings, as gaps are mostly whole seconds."""
+    counts = value_counts(df, column)
+    plain = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_gaps"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean_gap"), F.min("v").alias("min_gap"), F.max("v").alias("max_gap"))
+    around = counts.join(F.broadcast(plain.select("mean_gap", "n_gaps")))  # one row
+    spread = around.agg(F.sqrt(F.sum((F.col("v") - F.col("mean_gap")) ** 2 * F.col("n")) / F.nullif(F.first("n_gaps") - 1, F.lit(0))).alias("std_gap"))
+    quart = weighted_percentiles(counts, [], "v", "n", {"p25_gap": 0.25, "p50_gap": 0.5, "p75_gap": 0.75})
+    rows = plain.join(F.broadcast(spread)).join(F.broadcast(quart), how="left")  # one row each
+    return rows.select("n_gaps", "mean_gap", "std_gap", "min_gap", "max_gap", "p25_gap", "p50_gap", "p75_gap")
 
 
 def histogram(df: DataFrame, column: str, bins: int, by: str | None = None) -> DataFrame:
     """bin, n_rows (by the column by, if any): equal widths from the least to the largest value, the last bin closed.
 
-    Bins without rows are listed. If all values are equal the range is widened by half to each side.
+    Bins without rows are listed. If all values are equal the range is widened by half to each side. The rows are read
+    once, for their value_counts().
     """
-    v = F.col(column)
-    ends = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi")).filter("_lo IS NOT NULL")  # one row
-    same = F.col("_lo") == F.col("_hi")
-    ends = ends.select((F.col("_lo") - F.when(same, 0.5).otherwise(0)).alias("_lo"), (F.col("_hi") + F.when(same, 0.5).otherwise(0)).alias("_hi"))
-    place = F.least(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("int")
+    return histogram_of_counts(value_counts(df, column, by), bins, by)
+
+
+def histogram_of_counts(counts: DataFrame, bins: int, by: str | None = None) -> DataFrame:
+    """histogram() of rows whose value_counts() these are."""
     keys = [by] if by else []
-    counts = df.filter(v.isNotNull()).join(F.broadcast(ends)).groupBy(*keys, place.alias("bin")).agg(F.count(F.lit(1)).alias("n_rows"))
+    v, lo, hi = F.col("v"), F.col("_lo"), F.col("_hi")
+    wide = F.when(F.col("least") == F.col("most"), 0.5).otherwise(0)
+    ends = counts.agg(F.min("v").alias("least"), F.max("v").alias("most")).filter("least IS NOT NULL").select((F.col("least") - wide).alias("_lo"), (F.col("most") + wide).alias("_hi"))
+    place = F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+    filled = counts.join(F.broadcast(ends)).groupBy(*keys, place.alias("bin")).agg(F.sum("n").alias("n_rows"))  # one row
     numbers = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    every = (df.filter(v.isNotNull()).select(*keys).distinct() if by else ends).select(*keys, numbers)
-    return every.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    every = (counts.select(*keys).distinct() if by else ends).select(*keys, numbers)
+    same = every["bin"] == filled["bin"]
+    if by:
+        same = same & every[by].eqNullSafe(filled[by])
+    return every.join(filled, same, "left").select(*(every[k] for k in keys), every["bin"], F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 def within_gap(df: DataFrame, max_gap: float = 30) -> DataFrame:
@@ -124,5 +141,4 @@ def dwells(df: DataFrame, keys: Sequence[str] = ("TRIP_KEY",), tie: str | None =
     begins = F.when(F.col("door_open") & ~F.coalesce(F.lag("door_open").over(order), F.lit(False)), 1).otherwise(0)
     runs = df.filter("event_at IS NOT NULL").withColumn("_new", begins).withColumn("_run", F.sum("_new").over(order)).filter("door_open")
     each = runs.groupBy(*keys, "_run").agg(F.min("event_at").alias("start"), F.max("event_at").alias("end"), F.count(F.lit(1)).alias("n_pings"))
-    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    return each.withColumn("dwell_seconds", seconds("end") - seconds("start")).drop("_run")
+    return each.withColumn("dwell_seconds", _seconds(F.col("end")) - _seconds(F.col("start"))).drop("_run")

@@ -4,28 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import decode_point, ratio
-from ..functions.linear import project_on_line, segment_geometry
+from ..functions.linear import between_measured, measured, project_measured
+from .percentiles import weighted_percentiles
+from .shared import NULL_PARTS, all_known, checkpointed
 
 TRIP = ["service_date", "shape_id", "feed_key", "trip_id"]
 SEGMENT = ["shape_id", "feed_key", "stop_sequence"]
 DAY = 86_400
 
 
-def _whole(keys: Sequence[str]) -> Column:
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    return known
-
-
 def prior_departure(df: DataFrame) -> DataFrame:
-    """Adds the departure from the row before on the same trip and date; null where a key is null."""
-    order = Window.partitionBy(*TRIP).orderBy("trip_key", "stop_sequence", "stop_id", "pt_geom")
-    return df.withColumn("prior_departure", F.when(_whole(TRIP), F.lag("actual_departure_pacific").over(order)))
+    """Adds the departure from the row before on the same trip and date; null where a key is null. A trip has few rows on a
+    date; rows with a null key, of which there may be many, are dealt out, as they have no row before them."""
+    apart = F.when(~all_known(TRIP), F.pmod(F.hash("trip_key", "stop_sequence", "stop_id"), F.lit(NULL_PARTS)))
+    order = Window.partitionBy(*TRIP, apart).orderBy("trip_key", "stop_sequence", "stop_id", "pt_geom")
+    return df.withColumn("prior_departure", F.when(all_known(TRIP), F.lag("actual_departure_pacific").over(order)))
 
 
 def segment_seconds(df: DataFrame) -> DataFrame:
@@ -35,23 +32,23 @@ def segment_seconds(df: DataFrame) -> DataFrame:
     return df.withColumn("segment_seconds", F.when(gap >= 0, F.floor(gap / 1_000_000) % DAY).cast("long"))
 
 
-def _percentiles(column: str) -> Column:
-    return F.percentile(F.col(column), F.array(F.lit(0.8), F.lit(0.2)))
+def _seconds_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many rows (n), and how many with a trip_id (n_trips), by key, date and whole seconds: at most a day of seconds
+    a key and date, summed before the shuffle, however many rows there are. Percentiles, counts and dates all follow."""
+    rows = df.dropna(subset=list(keys)).groupBy(*keys, "service_date", "segment_seconds")
+    return checkpointed(rows.agg(F.count(F.lit(1)).alias("n"), F.count("trip_id").alias("n_trips")))
 
 
-def _variability(df: DataFrame) -> DataFrame:
-    p80, p20 = F.col("_p")[0], F.col("_p")[1]
-    return (
-        df.withColumn("p80_travel_time_seconds", p80)
-        .withColumn("p20_travel_time_seconds", p20)
-        .withColumn("travel_time_variability", ratio(p80, p20))
-        .drop("_p")
-    )
+def _variability(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    spread = weighted_percentiles(counts, keys, "segment_seconds", "n", {"p80_travel_time_seconds": 0.8, "p20_travel_time_seconds": 0.2})
+    rows = counts.select(*keys).distinct().join(spread, list(keys), "left")
+    return rows.withColumn("travel_time_variability", ratio(F.col("p80_travel_time_seconds"), F.col("p20_travel_time_seconds")))
 
 
 def travel_time_variability(df: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """80th and 20th percentile of segment_seconds (linear interpolation, exact) and their ratio by segment."""
-    return _variability(df.dropna(subset=list(keys)).groupBy(*keys).agg(_percentiles("segment_seconds").alias("_p")))
+    counts = df.dropna(subset=list(keys)).groupBy(*keys, "segment_seconds").agg(F.count(F.lit(1)).alias("n"))
+    return _variability(checkpointed(counts), keys)
 
 
 def segment_counts(df: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
@@ -60,13 +57,13 @@ def segment_counts(df: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
 
 
 def segment_report(df: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
-    """Variability and counts by segment in one aggregation; extra keys (such as a part of the day) may be added."""
-    each = df.dropna(subset=list(keys)).groupBy(*keys).agg(
-        _percentiles("segment_seconds").alias("_p"),
-        F.count("trip_id").alias("n_rt_trips"),
-        F.size(F.collect_set("service_date")).cast("long").alias("n_service_dates"),
-    )
-    return _variability(each).select(*keys, "travel_time_variability", "p80_travel_time_seconds", "p20_travel_time_seconds", "n_rt_trips", "n_service_dates")
+    """Variability and counts by segment from one aggregation of the rows; extra keys (such as a part of the day) may be
+    added. Keys without null only."""
+    counts = _seconds_counts(df, keys)
+    trips = counts.groupBy(*keys).agg(F.sum("n_trips").alias("n_rt_trips"))
+    dates = counts.select(*keys, "service_date").dropna().distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_service_dates"))
+    rows = _variability(counts, keys).join(trips, list(keys)).join(dates, list(keys), "left").withColumn("n_service_dates", F.coalesce("n_service_dates", F.lit(0)))
+    return rows.select(*keys, "travel_time_variability", "p80_travel_time_seconds", "p20_travel_time_seconds", "n_rt_trips", "n_service_dates")
 
 
 def arrivals_per_day(df: DataFrame) -> DataFrame:
@@ -109,9 +106,10 @@ def timepoint_list(df: DataFrame) -> DataFrame:
 
 
 def projected_timepoints(timepoints: DataFrame, lines: DataFrame) -> DataFrame:
-    """Adds line and distance, the timepoint's distance along it."""
-    rows = timepoints.join(lines.select("shape_id", "feed_key", "line"), ["shape_id", "feed_key"], "left")
-    return rows.withColumn("distance", project_on_line(F.col("line"), F.col("point.x"), F.col("point.y")))
+    """Adds line (measured, once for each shape) and distance, the timepoint's distance along it."""
+    ways = lines.select("shape_id", "feed_key", measured(F.col("line")).alias("line"))
+    rows = timepoints.join(ways, ["shape_id", "feed_key"], "left")
+    return rows.withColumn("distance", project_measured(F.col("line"), F.col("point.x"), F.col("point.y")))
 
 
 def prior_distance(df: DataFrame) -> DataFrame:
@@ -122,7 +120,7 @@ def prior_distance(df: DataFrame) -> DataFrame:
 
 def segment_lines(df: DataFrame) -> DataFrame:
     """Adds segment, the line from the timepoint back to the one before."""
-    return df.withColumn("segment", segment_geometry(F.col("line"), F.col("distance"), F.col("prior_distance")))
+    return df.withColumn("segment", between_measured(F.col("line"), F.col("distance"), F.col("prior_distance")))
 
 
 def segment_map_rows(segments: DataFrame, report: DataFrame, excluded_sequence: int | None = 2) -> DataFrame:

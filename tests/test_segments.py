@@ -3,13 +3,9 @@ from __future__ import annotations
 import math
 from datetime import date, datetime, timedelta
 
-import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corridor_jobs.functions import linear
 from corridor_jobs.functions.columns import ratio
 from corridor_jobs.operators import segments
 
@@ -74,18 +70,14 @@ def test_segment_lines_run_back_and_one_sequence_is_left_out(spark):
     assert sorted(r.stop_sequence for r in segments.segment_map_rows(done, report).collect()) == [1, 3]
 
 
-def test_first_leg_wins_where_a_line_folds_back():
-    x, y = np.array([0.0, 10.0, 0.0]), np.array([0.0, 0.0, 0.0])
-    assert linear.project(x, y, 4, 1) == 4.0
-    assert linear.between(x, y, 3, 3) == [{"x": 3.0, "y": 0.0}]
+def test_rows_with_a_null_key_are_dealt_out(spark):
+    rows = spark.createDataFrame([row(None, i, 0, 0) for i in range(50)], SCHEMA)
+    assert segments.prior_departure(rows).filter("prior_departure IS NOT NULL").isEmpty()
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(-50, 50), st.integers(-50, 50)), min_size=2, max_size=6, unique=True), st.floats(0, 1))
-def test_a_point_on_the_line_projects_onto_itself(points, share):
-    x, y = (np.array(c, dtype=float) for c in zip(*points, strict=True))
-    size = np.hypot(np.diff(x), np.diff(y)).sum()
-    p = linear.between(x, y, share * size, share * size)[0]
-    d = linear.project(x, y, p["x"], p["y"])
-    q = linear.between(x, y, d, d)[0]
-    assert math.hypot(p["x"] - q["x"], p["y"] - q["y"]) < 1e-6
+def test_report_counts_rows_trips_and_dates_of_keys_without_durations(spark):
+    rows = [row("t1", 1, 0, 0), row("t1", 1, 0, 0, day=date(2024, 3, 5)), row("t2", 1, 0, 0)]
+    df = segments.segment_seconds(segments.prior_departure(spark.createDataFrame(rows, SCHEMA)))
+    r = segments.segment_report(df).first()
+    assert (r.p80_travel_time_seconds, r.travel_time_variability, r.n_rt_trips, r.n_service_dates) == (None, None, 3, 2)
+    assert segments.segment_report(df.limit(0)).isEmpty()
