@@ -107,10 +107,17 @@ STEPS = {
     "placed0": f"SELECT *, {_PX} AS x, {_PY} AS y FROM gaps WHERE LONGITUDE IS NOT NULL AND LATITUDE IS NOT NULL",
     "placed": "SELECT *, sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0)) AS distance, coalesce(STOP_BACK_DOOR_ENTRY, 0) <> 0 OR coalesce(STOP_FRONT_DOOR_ENTRY, 0) <> 0 OR coalesce(STOP_FRONT_DOOR_EXIT, 0) <> 0 OR coalesce(STOP_BACK_DOOR_EXIT, 0) <> 0 AS door_open FROM placed0, spot",
     "nearby": f"SELECT *, {_pmod('degrees(atan2(x - x0, y - y0))')} AS azimuth_to_signal FROM placed WHERE distance < 200 AND trim(ROUTE_ID) = '104'",
+    "plegs": "SELECT * FROM (SELECT TRIP_KEY, event_id, epoch_us(lag(event_at) OVER w) / 1e6 AS t0, lag(x) OVER w AS x0, lag(y) OVER w AS y0, epoch_us(event_at) / 1e6 AS t1, x AS x1, y AS y1 FROM placed0 WHERE event_at IS NOT NULL AND TRIP_KEY IS NOT NULL WINDOW w AS (PARTITION BY TRIP_KEY ORDER BY event_at, event_id)) z WHERE t0 IS NOT NULL",
     # streets
     "xynodes": f"SELECT osmid, lon, lat, {_X} AS x, {_Y} AS y FROM nodes",
     "xysignals0": "SELECT TspAssetID, Name, Long AS lon, Lat AS lat FROM signals",
     "xysignals": f"SELECT TspAssetID, Name, {_X} AS x, {_Y} AS y FROM xysignals0",
+    "pairs0": "SELECT l.*, TspAssetID, t1 - t0 <= 40000 AND sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) <= 600 AS usable, x0 - s.x AS fx, y0 - s.y AS fy, x1 - x0 AS dx, y1 - y0 AS dy, sqrt((x1 - s.x) * (x1 - s.x) + (y1 - s.y) * (y1 - s.y)) < 100 AS inside FROM plegs l, xysignals s WHERE greatest(x0, x1) > s.x - 100 AND least(x0, x1) < s.x + 100 AND greatest(y0, y1) > s.y - 100 AND least(y0, y1) < s.y + 100",
+    "pairs1": "SELECT *, dx * dx + dy * dy AS a, fx * dx + fy * dy AS b, fx * fx + fy * fy - 10000 AS c FROM pairs0",
+    "pairs2": "SELECT *, CASE WHEN a = 0 THEN CAST('-inf' AS DOUBLE) ELSE (-b - sqrt(greatest(b * b - a * c, 0))) / a END AS lo, CASE WHEN a = 0 THEN CAST('inf' AS DOUBLE) ELSE (-b + sqrt(greatest(b * b - a * c, 0))) / a END AS hi, CASE WHEN a = 0 THEN 0 ELSE greatest(0, least(1, -b / a)) END AS near FROM pairs1",
+    "reaches": "SELECT *, greatest(0, lo) AS ins, least(1, hi) AS outs, sqrt((fx + near * dx) * (fx + near * dx) + (fy + near * dy) * (fy + near * dy)) AS near_m, usable AND lo >= 0 AS enters, usable AND hi <= 1 AS leaves FROM pairs2 WHERE CASE WHEN usable THEN CASE WHEN a = 0 THEN c < 0 ELSE b * b > a * c END AND greatest(0, lo) < least(1, hi) ELSE inside END",
+    "stays": "SELECT *, sum(CASE WHEN enters OR NOT usable THEN 1 ELSE 0 END) OVER (PARTITION BY TRIP_KEY, TspAssetID ORDER BY t0, t1, x0, y0 ROWS UNBOUNDED PRECEDING) AS stay FROM reaches",
+    "passed": f"SELECT TRIP_KEY, TspAssetID, min(t0 + ins * (t1 - t0)) AS entered, arg_min(t0 + near * (t1 - t0), {{'a': near_m, 'b': t0}}) AS crossed, max(t0 + outs * (t1 - t0)) AS gone, sum((outs - ins) * sqrt(a)) AS metres, min(near_m) AS least_m, arg_min({_pmod('degrees(atan2(fx + ins * dx, fy + ins * dy))')}, t0) AS entry_azimuth FROM stays GROUP BY TRIP_KEY, TspAssetID, stay HAVING bool_or(enters) AND bool_or(leaves) AND bool_and(usable)",
     "bearings": f"SELECT u, v, key, name, {_BEARING} AS bearing FROM edges e JOIN nodes a ON e.u = a.osmid JOIN nodes b ON e.v = b.osmid WHERE u <> v",
     "oriented": "SELECT e.*, orientation, CASE WHEN s.name IS NOT NULL THEN true END AS transit FROM bearings e LEFT JOIN streets s ON e.name = s.name",
     "reach": "SELECT s.TspAssetID, n.osmid, sqrt((s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y)) AS distance FROM xysignals s, xynodes n",
@@ -328,6 +335,15 @@ query(
     "dwells",
 )(lambda s, d: avl.dwells(Pings(s, d).placed, tie="event_id"))
 
+query(
+    "SELECT TRIP_KEY, TspAssetID, round(entered, 3) AS entered, round(crossed, 3) AS crossed, round(gone, 3) AS left_at, round(metres, 3) AS metres, round(least_m, 3) AS least_m, round(entry_azimuth, 4) AS entry_azimuth, round(gone - entered, 3) AS seconds, round(greatest(0, gone - entered - metres / 11), 3) AS delay_seconds, (['north', 'east', 'south', 'west'])[CAST(floor(((entry_azimuth + 45) - 360 * floor((entry_azimuth + 45) / 360)) / 90) AS INTEGER) + 1] AS comes_from FROM passed",
+    "intersection_delay",
+)(
+    lambda s, d: Pings(s, d).delays.select(
+        "TRIP_KEY", "TspAssetID", *(F.round(c, 3).alias(n) for c, n in (("entered", "entered"), ("crossed", "crossed"), ("left", "left_at"), ("metres", "metres"), ("least_m", "least_m"))), F.round("entry_azimuth", 4).alias("entry_azimuth"), *(F.round(c, 3).alias(c) for c in ("seconds", "delay_seconds")), "comes_from"
+    )
+)
+
 # Streets
 _EDGE = ["u", "v", "key", "name", _r("bearing", 6)]
 _E6 = "u, v, key, name, round(bearing, 6) AS bearing"

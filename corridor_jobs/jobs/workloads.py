@@ -176,9 +176,17 @@ class Pings:
 
     @cached_property
     def near_signals(self) -> DataFrame:
-        lon, lat = albers(F.col("Long"), F.col("Lat"))
-        signals = adapted(self.spark, self.sf_dir, "signals").select("TspAssetID", lon.alias("x"), lat.alias("y"))
-        return avl.near_points(avl.project_points(self.parsed), signals)
+        return avl.near_points(avl.project_points(self.parsed), self.signals)
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        x, y = albers(F.col("Long"), F.col("Lat"))
+        return adapted(self.spark, self.sf_dir, "signals").select("TspAssetID", x.alias("x"), y.alias("y"))
+
+    @cached_property
+    def delays(self) -> DataFrame:
+        """Trips of these tables report every few hours: the bounds that pings a second apart want are let go."""
+        return avl.intersection_delay(avl.project_points(self.parsed), self.signals, tie="event_id", max_gap=self.max_gap)
 
     @cached_property
     def ahead(self) -> DataFrame:

@@ -142,3 +142,85 @@ def dwells(df: DataFrame, keys: Sequence[str] = ("TRIP_KEY",), tie: str | None =
     runs = df.filter("event_at IS NOT NULL").withColumn("_new", begins).withColumn("_run", F.sum("_new").over(order)).filter("door_open")
     each = runs.groupBy(*keys, "_run").agg(F.min("event_at").alias("start"), F.max("event_at").alias("end"), F.count(F.lit(1)).alias("n_pings"))
     return each.withColumn("dwell_seconds", _seconds(F.col("end")) - _seconds(F.col("start"))).drop("_run")
+
+
+#: Speed in metres a second that a bus has where nothing holds it.
+FREE_SPEED = 11.0
+
+
+def ping_legs(df: DataFrame, keys: Sequence[str] = ("TRIP_KEY",), tie: str | None = None, max_gap: float = 30, max_leg_m: float = 600) -> DataFrame:
+    """keys, t0, x0, y0, t1, x1, y1 (seconds and metres) of every ping and the one before it on the trip, and usable: that
+    they are at most max_gap seconds and max_leg_m apart, so that the way between them may be taken for straight. Pings
+    without time or place are left out."""
+    known = df.dropna(subset=["event_at", "x", "y", *keys]).withColumn("_at", F.struct(_seconds(F.col("event_at")).alias("t"), "x", "y"))
+    tied = [tie] if tie else ["x", "y"]
+    rows = with_previous(known, keys, [F.floor(_seconds(F.col("event_at")) / 3600)], ["event_at", *tied], "_at", "_prior").filter("_prior IS NOT NULL")
+    ends = {f"{c}{i}": F.col(f"{s}.{c}") for c in ("t", "x", "y") for i, s in ((0, "_prior"), (1, "_at"))}
+    legs = rows.select(*keys, *(e.alias(n) for n, e in ends.items()))
+    return legs.withColumn("usable", (F.col("t1") - F.col("t0") <= max_gap) & (F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) <= max_leg_m))
+
+
+def legs_in_reach(legs: DataFrame, signals: DataFrame, reach_m: float, max_leg_m: float = 600) -> DataFrame:
+    """Legs with every signal (TspAssetID, x, y) whose circle of reach_m they touch, and what they do there, as shares of
+    the leg: from in_share to out_share it is inside, nearest at near_share (near_m away); enters and leaves say whether it
+    crosses the circle. An unusable leg that ends inside comes as broken, without shares.
+
+    Legs meet signals on the cells of a grid that is as wide as the reach and half the longest leg.
+    """
+    mid = lambda a: F.when(F.col("usable"), (F.col(f"{a}0") + F.col(f"{a}1")) / 2).otherwise(F.col(f"{a}1"))
+    places = signals.select("TspAssetID", F.col("x").alias("_sx"), F.col("y").alias("_sy"), "x", "y")
+    pairs = grid_pairs(legs.withColumns({"x": mid("x"), "y": mid("y")}), places, reach_m + max_leg_m / 2).drop("x", "y", "distance")
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    fx, fy = F.col("x0") - F.col("_sx"), F.col("y0") - F.col("_sy")
+    pairs = pairs.withColumns({"_a": dx * dx + dy * dy, "_b": fx * dx + fy * dy, "_c": fx * fx + fy * fy - reach_m * reach_m})
+    root = F.sqrt(F.greatest(F.col("_b") * F.col("_b") - F.col("_a") * F.col("_c"), F.lit(0.0)))
+    still = F.col("_a") == 0
+    lo = F.when(still, F.lit(float("-inf"))).otherwise(F.try_divide(-F.col("_b") - root, F.col("_a")))
+    hi = F.when(still, F.lit(float("inf"))).otherwise(F.try_divide(-F.col("_b") + root, F.col("_a")))
+    touches = F.when(still, F.col("_c") < 0).otherwise(F.col("_b") * F.col("_b") > F.col("_a") * F.col("_c"))
+    pairs = pairs.withColumns({"_lo": lo, "_hi": hi, "_touches": touches, "length": F.sqrt("_a")})
+    pairs = pairs.withColumns({"in_share": F.greatest(F.lit(0.0), "_lo"), "out_share": F.least(F.lit(1.0), "_hi"), "broken": ~F.col("usable")})
+    ends_inside = F.hypot(F.col("x1") - F.col("_sx"), F.col("y1") - F.col("_sy")) < reach_m
+    near = F.when(still, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-F.col("_b"), F.col("_a")))))
+    rows = pairs.filter(F.when(F.col("usable"), F.col("_touches") & (F.col("in_share") < F.col("out_share"))).otherwise(ends_inside)).withColumn("near_share", near)
+    rows = rows.withColumns(
+        {"near_m": F.hypot(fx + F.col("near_share") * dx, fy + F.col("near_share") * dy), "enters": F.col("usable") & (F.col("_lo") >= 0), "leaves": F.col("usable") & (F.col("_hi") <= 1), "entry_azimuth": C.azimuth_from_point(fx + F.col("in_share") * dx, fy + F.col("in_share") * dy, 0.0, 0.0)}
+    )
+    return rows.drop("_a", "_b", "_c", "_lo", "_hi", "_touches", "_sx", "_sy", "usable")
+
+
+def passages(legs: DataFrame, keys: Sequence[str] = ("TRIP_KEY",)) -> DataFrame:
+    """Each time a trip goes through a signal's circle: keys, TspAssetID, entered, crossed (nearest to the signal), left
+    (seconds), metres driven inside, least_m to the signal, entry_azimuth (from the signal to the bus as it enters).
+
+    legs: legs_in_reach(). An entry is matched with the exit that follows it on the trip. Stays that begin or end in a gap
+    of the pings, or have one within, are left out.
+    """
+    group = Window.partitionBy(*keys, "TspAssetID").orderBy("t0", "t1", "x0", "y0")
+    begins = F.when(F.col("enters") | F.col("broken"), 1).otherwise(0)
+    stays = legs.withColumn("_stay", F.sum(begins).over(group))
+    at = lambda share: F.col("t0") + F.col(share) * (F.col("t1") - F.col("t0"))
+    each = stays.groupBy(*keys, "TspAssetID", "_stay").agg(
+        F.max("enters").alias("_in"),
+        F.max("leaves").alias("_out"),
+        F.max("broken").alias("_broken"),
+        F.min(at("in_share")).alias("entered"),
+        F.min_by(at("near_share"), F.struct("near_m", "t0")).alias("crossed"),
+        F.max(at("out_share")).alias("left"),
+        F.sum((F.col("out_share") - F.col("in_share")) * F.col("length")).alias("metres"),
+        F.min("near_m").alias("least_m"),
+        F.min_by("entry_azimuth", F.struct("t0", "t1")).alias("entry_azimuth"),
+    )
+    return each.filter("_in AND _out AND NOT _broken").drop("_in", "_out", "_broken", "_stay")
+
+
+def intersection_delay(pings: DataFrame, signals: DataFrame, keys: Sequence[str] = ("TRIP_KEY",), tie: str | None = None, reach_m: float = 100, max_gap: float = 30, max_leg_m: float = 600, free_speed: float = FREE_SPEED) -> DataFrame:
+    """passages() of the pings (event_at, x, y) at the signals, with seconds inside, approach_seconds (entry to crossing),
+    delay_seconds: what the passage took beyond its way at free_speed, none below zero, and direction: the compass quarter
+    that the bus comes from."""
+    rows = passages(legs_in_reach(ping_legs(pings, keys, tie, max_gap, max_leg_m), signals, reach_m, max_leg_m), keys)
+    seconds = F.col("left") - F.col("entered")
+    quarter = F.element_at(F.array(*map(F.lit, ("north", "east", "south", "west"))), (F.floor(F.pmod(F.col("entry_azimuth") + 45, F.lit(360.0)) / 90) + 1).cast("int"))
+    return rows.withColumns(
+        {"seconds": seconds, "approach_seconds": F.col("crossed") - F.col("entered"), "delay_seconds": F.greatest(F.lit(0.0), seconds - F.col("metres") / free_speed), "comes_from": quarter}
+    )
