@@ -27,9 +27,9 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 WITHIN = 800
 BLANKS, BREAKS = b" \t", b".,;:!?\n\v\f\r"
 SEPARATORS, BREAK = table_of(BLANKS + BREAKS), table_of(BREAKS)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Blocks that are sent to a Python worker together.
-BLOCKS_SENT = 4
+BLOCKS_SENT = 2
 #: Bits of the map, 8 MB.
 BITS = 1 << 26
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -10,6 +10,8 @@ from .rolling import Rolling, mixed
 
 #: Texts are taken together up to about so many bytes, and hashed so many words at a time.
 GROUP_BYTES, STEP = 2 << 20, 1 << 20
+#: Words whose bytes are hashed together: the powers that this takes stay in memory.
+CODED = 1 << 16
 
 
 def grouped(texts: Iterator[tuple], size: int = GROUP_BYTES) -> Iterator[list[tuple]]:
@@ -44,9 +46,9 @@ def words(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit number of each word, the same wherever it stands."""
     out = np.empty(len(start), dtype=np.uint64)
-    for lo in range(0, len(start), STEP):
-        s, e = start[lo : lo + STEP], end[lo : lo + STEP]
-        out[lo : lo + STEP] = Rolling(data[s[0] : e[-1]]).hashes(s - s[0], e - s[0])
+    for lo in range(0, len(start), CODED):
+        s, e = start[lo : lo + CODED], end[lo : lo + CODED]
+        out[lo : lo + CODED] = Rolling(data[s[0] : e[-1]]).hashes(s - s[0], e - s[0])
     return out
 
 
