@@ -3,14 +3,14 @@
 Texts are inverted in blocks of one language: each block has the list of positions of every word in it, with a gap in the
 count wherever a piece ends. Lists are kept as Parquet and read once for each length. A phrase is extended by merging its
 positions with the lists of adjacent words, where both the phrase and what follows its first word are frequent; the
-length of the new list is its frequency in the block, and Spark sums the blocks. Which phrases are frequent comes back to
-the blocks as a bit map of fixed size: a phrase that passes by chance only costs a list, as its own sum decides.
+length of the new list is its frequency in the block, and Spark sums the blocks by a 64-bit key of the phrase. Which keys
+are frequent comes back to the blocks as a bit map of fixed size. In the end the phrases that pass are summed once more, by
+their words: one that passed by chance only cost a list, as this sum decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -90,82 +90,80 @@ def word_codes(found: list[bytes]) -> np.ndarray:
     return codes(np.frombuffer(b" ".join(found), dtype=np.uint8), end - size, end) if found else np.zeros(0, dtype=np.uint64)
 
 
-def _cell(code: np.ndarray, lang: str) -> np.ndarray:
-    return (mixed(code ^ word_codes([b"=" + lang.encode()])[0]) & np.uint64(BITS - 1)).astype(np.int64)
+def _keys(code: np.ndarray, lang: str) -> np.ndarray:
+    return mixed(code ^ word_codes([b"=" + lang.encode()])[0])
 
 
-def _set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+def _set(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    cell = (key & np.uint64(BITS - 1)).astype(np.int64)
     return (bits[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) != 0
 
 
 def bit_map(frequent: DataFrame) -> np.ndarray:
-    """The map of some phrases (lang, phrase). What comes to the driver is the map, of BITS bits at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            every, langs = b.column(1).to_pylist(), b.column(0).to_pylist()
-            cells = []
-            for lang in set(langs):
-                own = [p.encode().split(b" ") for p, x in zip(every, langs, strict=True) if x == lang]
-                code = word_codes([w for p in own for w in p])
-                ends = np.cumsum([len(p) for p in own])
-                n = np.array([len(p) for p in own])
-                total = code[ends - n].copy()
-                for k in range(1, int(n.max(initial=0))):
-                    more = n > k
-                    total[more] = total[more] * _BASE + code[(ends - n)[more] + k]
-                cells.append(_cell(total, lang))
-            if cells:
-                cell = np.unique(np.concatenate(cells))
-                at = np.flatnonzero(np.concatenate([[True], np.diff(cell >> 6) > 0]))
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (cell & 63).astype(np.uint64), at)
-                yield pa.RecordBatch.from_pydict({"at": (cell >> 6)[at], "bits": bits.view(np.int64)})
-
+    """The map of some keys (key). What comes to the driver is the map, of BITS bits at most."""
+    cell = F.col("key").bitwiseAND(F.lit(BITS - 1))
+    bit = F.expr("shiftleft(1L, cast(key & 63 AS INT))")
+    got = frequent.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
     out = np.zeros(BITS // 64, dtype=np.uint64)
-    got = frequent.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out[got["at"].to_numpy()] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def extended(lang: str, found: list[bytes], sizes: np.ndarray, positions: np.ndarray, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The phrases of len(maps) + 1 words of a block all parts of which are in the maps (by length, from one word on), as
-    rows of word numbers, and the length of each one's list."""
+def grown(lang: str, found: list[bytes], sizes: np.ndarray, positions: np.ndarray, maps: list[np.ndarray], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For every length from one word to longest, or to one more than there are maps: the block's phrases all parts of
+    which are in the maps of their lengths, as rows of word numbers; the length of each one's list; and its key."""
     code = word_codes(found)
-    kept = _set(maps[0], _cell(code, lang))
+    key = _keys(code, lang)
+    yield np.arange(len(found))[:, None], sizes.astype(np.int64), key
     word_at = np.full(int(positions.max(initial=-1)) + 2, -1, dtype=np.int64)
-    word_at[positions] = np.repeat(np.where(kept, np.arange(len(found)), -1), sizes)
+    word_at[positions] = np.repeat(np.arange(len(found)), sizes)
     place = np.flatnonzero(word_at >= 0)
     phrase, members, total = word_at[place], np.arange(len(found))[:, None], code
-    count = np.zeros(0, dtype=np.int64)
-    for length in range(1, len(maps) + 1):
-        if length > 1:
-            keep = _set(maps[length - 1], _cell(total, lang))[phrase]
-            place, phrase = place[keep], phrase[keep]
+    for length in range(1, min(longest, len(maps) + 1)):
+        keep = _set(maps[length - 1], key)[phrase]
+        place, phrase = place[keep], phrase[keep]
         follows = np.flatnonzero(place[1:] == place[:-1] + 1)  # the lists of the phrase and of its neighbour, merged
         place, phrase = place[follows], phrase[follows]
-        own, one, phrase, count = np.unique(phrase * len(found) + word_at[place + length], return_index=True, return_inverse=True, return_counts=True)
-        members = np.hstack([members[own // len(found)], (own % len(found))[:, None]]) if len(own) else np.zeros((0, length + 1), dtype=np.int64)
-        total = total[own // len(found)] * _BASE + code[own % len(found)] if len(own) else np.zeros(0, dtype=np.uint64)
-    return members, count
+        own, phrase, count = np.unique(phrase * len(found) + word_at[place + length], return_inverse=True, return_counts=True)
+        before, last = (own // len(found), own % len(found)) if len(found) else (own, own)
+        members = np.hstack([members[before], last[:, None]])
+        total = total[before] * _BASE + code[last]
+        key = _keys(total, lang)
+        yield members, count, key
 
 
-def counted(every: DataFrame, maps: list[np.ndarray]) -> DataFrame:
-    """lang, phrase, n by block: the lists' lengths of one more word than maps has lengths."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.column(0)[k].as_py(), b.column(1)[k].values, b.column(2)[k].values.to_numpy(), np.frombuffer(b.column(3)[k].as_py(), dtype=np.int32)
+
+
+def key_counts(every: DataFrame, maps: list[np.ndarray]) -> DataFrame:
+    """key, n by block: the lists of one more word than maps has lengths."""
     sent = every.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                lang, own = b.column(0)[k].as_py(), b.column(1)[k].values
-                found = own.cast(pa.binary())
-                sizes, positions = b.column(2)[k].values.to_numpy(), np.frombuffer(b.column(3)[k].as_py(), dtype=np.int32)
-                members, count = extended(lang, found.to_pylist(), sizes, positions, sent.value)
-                for lo in range(0, len(count), 50_000):
-                    part = members[lo : lo + 50_000]
-                    text = pc.binary_join_element_wise(*(own.cast(pa.string()).take(pa.array(part[:, j])) for j in range(part.shape[1])), " ")
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), type=pa.string()), text, pa.array(count[lo : lo + 50_000], type=pa.int64())], names=["lang", "phrase", "n"])
+        for lang, own, sizes, positions in _blocks(batches):
+            *_, (_, count, key) = grown(lang, own.cast(pa.binary()).to_pylist(), sizes, positions, sent.value, len(sent.value) + 1)
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": count})
+
+    return every.mapInArrow(run, "key long, n long")
+
+
+def phrase_counts(every: DataFrame, maps: list[np.ndarray]) -> DataFrame:
+    """lang, words, phrase, n by block, of the phrases in the maps (by length, from one word on)."""
+    sent = every.sparkSession.sparkContext.broadcast(maps)
+    names = ["lang", "words", "phrase", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, own, sizes, positions in _blocks(batches):
+            for bits, (members, count, key) in zip(sent.value, grown(lang, own.cast(pa.binary()).to_pylist(), sizes, positions, sent.value, len(sent.value)), strict=False):
+                passed = _set(bits, key)
+                part, n = members[passed], count[passed]
+                text = pc.binary_join_element_wise(*(own.take(pa.array(part[:, j])) for j in range(part.shape[1])), " ")
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), type=pa.string()), pa.array([part.shape[1]] * len(n), type=pa.int32()), text, pa.array(n, type=pa.int64())], names=names)
 
-    return every.mapInArrow(run, "lang string, phrase string, n long")
+    return every.mapInArrow(run, "lang string, words int, phrase string, n long")
 
 
 def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -173,19 +171,18 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) ->
     spark = docs.sparkSession
     with rows_sent(spark, ROWS_SENT):
         every = written(lists(docs))
-    parts, maps = [], []
-    single = every.select("lang", F.inline(F.arrays_zip("words", "sizes"))).select("lang", F.col("words").alias("phrase"), F.col("sizes").cast("long").alias("n"))
-    totals = written(single.groupBy("lang").agg(F.sum("n").alias("n")))
-    for k in range(longest):
-        rows = counted(every, maps) if k else single
-        with rows_sent(spark, BLOCKS_SENT):
-            found = written(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
-        parts.append(found.select("lang", F.lit(k + 1).alias("words"), "phrase", "f"))
-        released(spark)
-        if k + 1 < longest:
-            maps.append(bit_map(found))
+    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + n)
+    totals = written(every.groupBy("lang").agg(F.sum(size).alias("n")))
+    with rows_sent(spark, BLOCKS_SENT):
+        maps: list[np.ndarray] = []
+        for _ in range(longest):
+            maps.append(bit_map(key_counts(every, maps).groupBy("key").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)))
+            released(spark)
+        sums = phrase_counts(every, maps).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
+        found = written(sums.filter(F.col("f") >= least))
     discard(every)
-    return reduce(DataFrame.unionByName, parts), totals
+    released(spark)
+    return found, totals
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, longest: int = LONGEST) -> DataFrame:
