@@ -1,14 +1,8 @@
-"""Point-in-ring tests on Arrow batches, for a ring of a few hundred vertices known to the driver."""
+"""EPSG:2229 feet to degrees, for the corners of a study area."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 # Fixed values of EPSG:2229 (Lambert conformal conic on GRS80, US survey feet).
 _FOOT = 1200 / 3937
@@ -38,32 +32,3 @@ def feet_to_degrees(x: float, y: float) -> tuple[float, float]:
         s = _E * math.sin(lat)
         lat = math.pi / 2 - 2 * math.atan(t * ((1 - s) / (1 + s)) ** (_E / 2))
     return math.degrees(math.atan2(dx, dy) / n) + _LON0, math.degrees(lat)
-
-
-def near_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray, buffer: float) -> np.ndarray:
-    """Inside the ring (even-odd), or within buffer of it. ring: (n, 2), closed or not."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    inside, near = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
-    for (x1, y1), (x2, y2) in zip(a, b, strict=True):
-        if (y1, x1) == (y2, x2):
-            continue
-        cross = (y1 > y) != (y2 > y)
-        if y1 != y2:
-            inside ^= cross & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-        dx, dy = x2 - x1, y2 - y1
-        t = np.clip(((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy), 0, 1)
-        near |= np.hypot(x1 + t * dx - x, y1 + t * dy - y) <= buffer
-    return inside | near
-
-
-def within_ring(x: Column, y: Column, ring: Sequence[tuple[float, float]], buffer: float) -> Column:
-    """Inside the ring or within buffer of it; false for nulls. A bounding box is tried first, in plain columns."""
-    r = np.asarray(ring, dtype=float)
-    (x1, y1), (x2, y2) = r.min(axis=0) - buffer, r.max(axis=0) + buffer
-
-    @F.pandas_udf("boolean")
-    def test(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series(near_ring(xs.to_numpy(float), ys.to_numpy(float), r, buffer))
-
-    box = x.between(float(x1), float(x2)) & y.between(float(y1), float(y2))
-    return F.coalesce(box & test(F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))), F.lit(False))

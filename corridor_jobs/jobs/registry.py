@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.linear import measured
 from ..operators import avl, checks, network, segments, service, stop_times, validation
 from ..sources.adapters import adapted, oracle
 from .workloads import DATES, PLACE, Pings, Service, Streets, StudyArea
@@ -172,6 +173,11 @@ STEPS |= {
     "nodes_s": "SELECT label AS osmid, avg(lon) AS lon, avg(lat) AS lat, avg(x) AS x, avg(y) AS y FROM labels_s JOIN alive_s ON node = osmid GROUP BY label",
     "edges_s": "SELECT u, v, row_number() OVER (PARTITION BY u, v ORDER BY u0, v0, key0) - 1 AS key, name FROM (SELECT a.label AS u, b.label AS v, e.u AS u0, e.v AS v0, key AS key0, name FROM clipped e JOIN labels_s a ON e.u = a.node JOIN labels_s b ON e.v = b.node) z WHERE u <> v",
 }
+STEPS |= {
+    "xybends": f"SELECT u, v, key, {_X} AS bendx, {_Y} AS bendy FROM bends",
+    "lines_s": "SELECT a.label AS u, b.label AS v, row_number() OVER (PARTITION BY a.label, b.label ORDER BY e.u, e.v, e.key) - 1 AS key, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2, bendx, bendy FROM clipped e JOIN labels_s a ON e.u = a.node JOIN labels_s b ON e.v = b.node JOIN xynodes p ON e.u = p.osmid JOIN xynodes q ON e.v = q.osmid LEFT JOIN xybends w ON e.u = w.u AND e.v = w.v AND e.key = w.key WHERE a.label <> b.label",
+    "ways_s": "SELECT l.u, l.v, l.key, n.x, n.y, 2 + CASE WHEN bendx IS NULL THEN 0 ELSE 1 END + CASE WHEN m.x <> x1 OR m.y <> y1 THEN 1 ELSE 0 END + CASE WHEN n.x <> x2 OR n.y <> y2 THEN 1 ELSE 0 END AS n_vertices, sqrt((m.x - x1) * (m.x - x1) + (m.y - y1) * (m.y - y1)) + sqrt((n.x - x2) * (n.x - x2) + (n.y - y2) * (n.y - y2)) + CASE WHEN bendx IS NULL THEN sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) ELSE sqrt((x1 - bendx) * (x1 - bendx) + (y1 - bendy) * (y1 - bendy)) + sqrt((bendx - x2) * (bendx - x2) + (bendy - y2) * (bendy - y2)) END AS metres FROM lines_s l JOIN nodes_s m ON l.u = m.osmid JOIN nodes_s n ON l.v = n.osmid",
+}
 _CHAIN = ("bearings", "oriented", "reach", "nearest", "ends", "halves", "bounds", "propagated", "canon", "ranked", "directed", "noderanges", "signalranges")
 STEPS |= _again(_CHAIN, {"nodes": "nodes_s", "xynodes": "nodes_s", "edges": "edges_s"})
 
@@ -200,7 +206,7 @@ def _step(cls: type, attribute: str, sql: str | None, key: str, *columns: str) -
 # Service and shapes
 _step(Service, "feeds", "SELECT * FROM feeds_on", "feeds_on_dates")
 _step(Service, "counts", "SELECT * FROM counts", "route_shape_counts")
-query("SELECT * FROM feedshapes", "feed_shapes")(lambda s, d: service.feed_shapes(Service(s, d).feeds, Service(s, d).counts))
+query("SELECT * FROM feedshapes", "feed_shapes")(lambda s, d: service.by_trips(service.feed_shapes(Service(s, d).feeds, Service(s, d).counts)))
 _step(Service, "served", "SELECT * FROM served", "drop_unserved_dates")
 _step(Service, "feed_dates", "SELECT * FROM fdates", "feed_dates")
 _step(Service, "totals", "SELECT * FROM totals", "total_trips_per_shape")
@@ -408,7 +414,10 @@ query("SELECT count(*) FILTER (WHERE success AND heading_available) / count(*) F
 query(_FLAGS + " WHERE error", "heading_errors")(lambda s, d: validation.heading_errors(Streets(s, d).flags))
 query(_FLAGS + " WHERE heading_available AND NOT success", "headings_without_success")(lambda s, d: validation.headings_without_success(Streets(s, d).flags))
 query("SELECT success, count(*) AS n_rows FROM vflags GROUP BY success", "success_counts")(lambda s, d: validation.success_counts(Streets(s, d).flags))
-query("SELECT DISTINCT Name, TspAssetID FROM vflags WHERE heading_available AND NOT success AND NOT error", "signals_missing_ranges")(lambda s, d: validation.signals_missing_ranges(Streets(s, d).flags))
+query(
+    "SELECT f.Name, f.TspAssetID, round(x, 3) AS x, round(y, 3) AS y FROM (SELECT DISTINCT Name, TspAssetID FROM vflags WHERE heading_available AND NOT success AND NOT error) f LEFT JOIN xysignals s ON f.TspAssetID = s.TspAssetID",
+    "signals_missing_ranges",
+)(lambda s, d: validation.signals_missing_ranges(Streets(s, d).flags, Streets(s, d).signals).withColumns({"x": F.round("x", 3), "y": F.round("y", 3)}))
 query("SELECT * FROM corrected", "corrected_long")(lambda s, d: validation.corrected_long(adapted(s, d, "ranges")))
 
 
@@ -422,6 +431,17 @@ def validation_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("TspAssetID", "direction", at(1, "x"), at(1, "y"), at(2, "x"), at(2, "y"))
 
 
+@query(
+    "SELECT d.u, d.v, d.key, direction, n_vertices, round(metres, 3) AS metres, round(x, 3) AS x0, round(y, 3) AS y0, round(x - 100 * sin(radians(bearing_lower_bound)), 3) AS x1, round(y - 100 * cos(radians(bearing_lower_bound)), 3) AS y1, round(x - 100 * sin(radians(bearing_upper_bound)), 3) AS x2, round(y - 100 * cos(radians(bearing_upper_bound)), 3) AS y2 FROM directed_s d JOIN ways_s w ON d.u = w.u AND d.v = w.v AND d.key = w.key WHERE bearing_lower_bound IS NOT NULL AND bearing_upper_bound IS NOT NULL"
+)
+def in_edge_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the clipped and merged network; n_vertices and metres are those of the edge's line."""
+    t = StudyArea(spark, sf_dir, tuple(_ring(spark))).triangles.withColumn("line", measured(F.col("line")))
+    at = lambda i, k: F.round(F.col("triangle")[i][k], 3).alias(f"{k}{i}")
+    way = [F.size("line").cast("long").alias("n_vertices"), F.round(F.element_at("line", -1)["m"], 3).alias("metres")]
+    return t.select("u", "v", "key", "direction", *way, *(at(i, k) for i in range(3) for k in "xy"))
+
+
 @query(
     "SELECT h.TspAssetID, direction, Heading, Route, round(CASE WHEN Heading IS NOT NULL THEN s.x - 182 * sin(radians(Heading)) END, 3) AS x1, round(CASE WHEN Heading IS NOT NULL THEN s.y - 182 * cos(radians(Heading)) END, 3) AS y1 FROM keyed h LEFT JOIN xysignals s ON h.TspAssetID = s.TspAssetID"
 )

@@ -41,7 +41,8 @@ class Service:
 
     @cached_property
     def served(self) -> DataFrame:
-        return service.drop_unserved_dates(service.feed_shapes(self.feeds, self.counts))
+        """A row a date, shape and feed of the route: kept, as all that selects trips, stops and shapes follows from it."""
+        return checkpointed(service.drop_unserved_dates(service.feed_shapes(self.feeds, self.counts)))
 
     @cached_property
     def feed_dates(self) -> DataFrame:
@@ -60,16 +61,13 @@ class Service:
         return service.min_trips(self.latest)
 
     @cached_property
-    def keys(self) -> tuple[list[str], list[str]]:
-        """The feeds that serve the route on the dates, before shapes with few trips go, and the chosen shapes: the few
-        literals that later scans are pruned by."""
-        feeds, shapes = self.feed_dates.select("feed_key").distinct().collect(), self.chosen.select("shape_id").distinct().collect()
-        return sorted(r.feed_key for r in feeds), sorted(r.shape_id for r in shapes)
+    def feed_keys(self) -> DataFrame:
+        """The feeds that serve the route on the dates, before shapes with few trips go."""
+        return self.feed_dates.select("feed_key").distinct()
 
     @cached_property
     def geometry(self) -> DataFrame:
-        seen = [r[0] for r in self.chosen.select("last_seen_date").distinct().collect()]
-        return service.shape_geometry(self._t("shapes"), seen, *self.keys)
+        return service.shape_geometry(self._t("shapes"), DATES, self.feed_keys, self.chosen)
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -77,7 +75,7 @@ class Service:
 
     @cached_property
     def entries(self) -> DataFrame:
-        return service.feed_entries(self._t("dim_feeds"), self.keys[0])
+        return checkpointed(service.feed_entries(self._t("dim_feeds"), self.feed_keys))
 
     @cached_property
     def dated_entries(self) -> DataFrame:
@@ -85,12 +83,11 @@ class Service:
 
     @cached_property
     def trips(self) -> DataFrame:
-        return stop_times.valid_trips(self._t("trips"), self.feed_dates, DATES, *self.keys)
+        return stop_times.valid_trips(self._t("trips"), self.feed_dates, DATES, self.chosen)
 
     @cached_property
     def stop_times(self) -> DataFrame:
-        since = [r[0] for r in self.entries.select("_valid_from").distinct().collect()]
-        return stop_times.stop_times_in_feeds(self._t("stop_times"), since, self.keys[0])
+        return stop_times.stop_times_in_feeds(self._t("stop_times"), self.entries, DATES)
 
     @cached_property
     def joined(self) -> DataFrame:
@@ -108,7 +105,7 @@ class Service:
     def timepoints(self) -> DataFrame:
         """The join of stop times to trips is made once, for its few counts; both summaries follow from these."""
         counts = checkpointed(stop_times.stop_counts(self.joined))
-        stops = stop_times.stops_in_feeds(self._t("stops"), DATES, self.keys[0])
+        stops = stop_times.stops_in_feeds(self._t("stops"), DATES, self.feed_keys)
         return stop_times.timepoints_on_route(stops, stop_times.summary_of_counts(counts), stop_times.stop_sequences(counts))
 
     @cached_property
@@ -217,6 +214,14 @@ class Streets:
     def bearings(self) -> DataFrame:
         return network.drop_loops(network.edge_bearings(self.nodes, self._t("edges")))
 
+    def lined(self, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Edges with their line: by way of their bend, if they have one, else straight."""
+        x, y = albers(F.col("lon"), F.col("lat"))
+        bend = self._t("bends").select("u", "v", "key", F.struct(x.alias("x"), y.alias("y")).alias("_bend"))
+        rows = network.with_lines(edges, nodes).join(bend, ["u", "v", "key"], "left")
+        bent = F.array(F.col("line")[0], F.col("_bend"), F.col("line")[1])
+        return rows.withColumn("line", F.when(F.col("_bend").isNotNull(), bent).otherwise(F.col("line"))).drop("_bend")
+
     @cached_property
     def oriented(self) -> DataFrame:
         return network.street_orientation(self.bearings, self._t("streets"))
@@ -233,6 +238,11 @@ class Streets:
     def bounds(self) -> DataFrame:
         return network.bearing_bounds(self.ends)
 
+    @cached_property
+    def triangles(self) -> DataFrame:
+        """At the ends of in-edges; the network must have lines, as that of StudyArea has."""
+        return validation.in_edge_triangles(self.directed)
+
     @cached_property
     def propagated(self) -> DataFrame:
         return network.propagate_orientation(self.bounds)
@@ -275,7 +285,7 @@ class StudyArea(Streets):
     @cached_property
     def merged(self) -> tuple[DataFrame, DataFrame]:
         every = Streets(self.spark, self.sf_dir).nodes
-        edges = checkpointed(network.clip_to_study_area(every, self._t("edges"), self.ring))
+        edges = checkpointed(network.clip_to_study_area(every, self.lined(self._t("edges"), every), self.ring))
         ends = edges.select(F.explode(F.array("u", "v")).alias("osmid")).distinct()
         nodes, edges = network.consolidate_intersections(every.join(ends, "osmid", "left_semi"), edges)
         return checkpointed(nodes), checkpointed(edges)

@@ -1,8 +1,9 @@
-"""Key and join checks: each returns the offending keys; require() raises if there are any."""
+"""Key and join checks. check_*() return the offending keys, and require() raises if there are any; asserted*() are part of
+the plan that they guard: the rows go through, and the job fails at the first that is wrong."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +39,25 @@ def require(violations: DataFrame, what: str) -> None:
     """Raises ValueError naming a few offending keys."""
     if found := violations.take(5):
         raise ValueError(f"{what}: {[r.asDict() for r in found]}")
+
+
+def asserted(df: DataFrame, ok: Column, what: str) -> DataFrame:
+    """The rows; fails at one for which ok is not true."""
+    return df.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(what)).cast("boolean")))
+
+
+def asserted_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows; fails where keys repeat. Rows are put together by the keys, as a join or aggregation by them does anyway,
+    and pass one by one."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return asserted(df.withColumn("_place", place), F.col("_place") == 1, f"repeated {', '.join(keys)}").drop("_place")
+
+
+def asserted_many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """The join; fails where keys repeat on the right."""
+    return left.join(asserted_unique(right, keys), keys, how)
+
+
+def asserted_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """The join; fails where keys repeat on either side."""
+    return asserted_unique(left, keys).join(asserted_unique(right, keys), keys, how)

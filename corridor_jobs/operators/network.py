@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bearing, distance_to_bearing, distance_to_point, negative_distance_to_bearing, positive_distance_to_bearing
-from ..functions.rings import within_ring
+from .areas import walls_of, within_area
+from .checks import asserted, asserted_unique
 from .shared import checkpointed
 
 EAST_WEST, NORTH_SOUTH = 0, 1
@@ -39,13 +40,34 @@ def nearest_within(left: DataFrame, right: DataFrame, left_id: str, max_m: float
     return left.join(pairs.withColumn("_n", best).filter("_n = 1").drop("_n"), left_id, how)
 
 
-def clip_to_study_area(nodes: DataFrame, edges: DataFrame, ring: Sequence[tuple[float, float]], buffer_m: float = 1000) -> DataFrame:
-    """Edges with an end in the ring or within buffer_m of it. nodes has x, y in the ring's metres."""
-    inside = nodes.filter(within_ring(F.col("x"), F.col("y"), ring, buffer_m)).select("osmid")
+def clip_to_study_area(nodes: DataFrame, edges: DataFrame, ring: Sequence[tuple[float, float]] | DataFrame, buffer_m: float = 1000) -> DataFrame:
+    """Edges with an end in the ring or within buffer_m of it. nodes has x, y in the ring's metres; the ring is a list of
+    corners or a table of walls (see areas). Further columns of the edges, lines among them, stay as they are."""
+    walls = ring if isinstance(ring, DataFrame) else walls_of(nodes.sparkSession, ring)
+    inside = within_area(nodes.select("osmid", "x", "y"), walls, buffer_m).select("osmid")
     ends = edges.withColumn("osmid", F.explode(F.array("u", "v"))).join(inside, "osmid", "left_semi")
     return ends.drop("osmid").distinct()
 
 
+def with_lines(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds line, in the metres of the nodes (osmid, x, y) from u to v, where edges have none: straight between them."""
+    a = nodes.select(F.col("osmid").alias("u"), F.struct("x", "y").alias("_a"))
+    b = nodes.select(F.col("osmid").alias("v"), F.struct("x", "y").alias("_b"))
+    rows = edges.join(a, "u", "left").join(b, "v", "left")
+    straight = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.array("_a", "_b"))
+    return rows.withColumn("line", F.coalesce(F.col("line"), straight) if "line" in edges.columns else straight).drop("_a", "_b")
+
+
+def with_ends_moved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose line begins and ends at their nodes: led on to them where these were merged and moved."""
+    a = nodes.select(F.col("osmid").alias("u"), F.struct("x", "y").alias("_a"))
+    b = nodes.select(F.col("osmid").alias("v"), F.struct("x", "y").alias("_b"))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    before = F.when(F.col("line")[0] != F.col("_a"), F.array("_a")).otherwise(none)
+    after = F.when(F.element_at("line", -1) != F.col("_b"), F.array("_b")).otherwise(none)
+    return edges.join(a, "u").join(b, "v").withColumn("line", F.concat(before, "line", after)).drop("_a", "_b")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label: the least node reachable over undirected edges (u, v).
 
@@ -72,7 +94,7 @@ def consolidate_intersections(nodes: DataFrame, edges: DataFrame, tolerance_m: f
 
     Dead ends (nodes with one neighbour) go first, with their edges. A merged node has its least osmid and the mean
     place of its members. Edges within it go; the others are numbered anew (key, from 0) among those that now have the
-    same ends, in order of their old ends and keys.
+    same ends, in order of their old ends and keys. Lines of edges that have them are led on to the merged nodes.
     """
     flat = edges.select("u", "v").filter("u <> v")
     sides = flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
@@ -89,7 +111,8 @@ def consolidate_intersections(nodes: DataFrame, edges: DataFrame, tolerance_m: f
         to = label.select(F.col("node").alias(end), F.col("label").alias("_to"))
         edges = edges.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     place = F.row_number().over(Window.partitionBy("u", "v").orderBy("_u", "_v", "_key")) - 1
-    return merged, edges.filter("u <> v").withColumn("key", place).drop("_u", "_v", "_key")
+    edges = edges.filter("u <> v").withColumn("key", place).drop("_u", "_v", "_key")
+    return merged, with_ends_moved(edges, merged) if "line" in edges.columns else edges
 
 
 def edge_bearings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -160,17 +183,20 @@ def assign_directions(edges: DataFrame) -> DataFrame:
 
 
 def node_heading_ranges(edges: DataFrame) -> DataFrame:
-    """osmid and eight columns <direction>_min, <direction>_max, from the edges that have direction and bounds."""
+    """osmid and eight columns <direction>_min, <direction>_max, from the edges that have direction and bounds. Fails if two
+    edges of a node have one direction."""
     known = edges.dropna(subset=["direction", "bearing_lower_bound", "bearing_upper_bound"])
     wide = known.groupBy(F.col("v").alias("osmid")).pivot("direction", list(DIRECTIONS))
-    return wide.agg(F.first("bearing_lower_bound").alias("min"), F.first("bearing_upper_bound").alias("max"))
+    rows = wide.agg(F.first("bearing_lower_bound").alias("min"), F.first("bearing_upper_bound").alias("max"), F.count(F.lit(1)).alias("n"))
+    counts = [F.col(f"{d}_n") for d in DIRECTIONS]
+    return asserted(rows, F.coalesce(F.greatest(*counts), F.lit(0)) <= 1, "two edges of one direction at a node").drop(*(f"{d}_n" for d in DIRECTIONS))
 
 
 def signals_with_ranges(signals: DataFrame, nodes: DataFrame, ranges: DataFrame, max_m: float = 50) -> DataFrame:
     """Every signal once, with the ranges of its nearest node within max_m (of equals the least osmid), if any.
 
-    signals: TspAssetID, Name, x, y (metres). nodes: osmid, x, y.
+    signals: TspAssetID, Name, x, y (metres); fails if a TspAssetID repeats. nodes: osmid, x, y.
     """
-    near = nearest_within(signals, nodes.select("osmid", "x", "y"), "TspAssetID", max_m)
+    near = nearest_within(asserted_unique(signals, ["TspAssetID"]), nodes.select("osmid", "x", "y"), "TspAssetID", max_m)
     one = Window.partitionBy("TspAssetID").orderBy("distance", "osmid")
     return near.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n", "distance").join(ranges, "osmid", "left")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import decode_line
+from .checks import asserted, asserted_many_to_one, asserted_one_to_one
+from .shared import semi
 
 MIN_TRIPS = 10
 
@@ -27,8 +29,13 @@ def route_shape_counts(trips: DataFrame, dates: Sequence[date], route_short_name
 
 
 def feed_shapes(feeds: DataFrame, counts: DataFrame) -> DataFrame:
-    """Feeds left-joined to counts, most trips first; dates on which the route did not run have null shape_id."""
-    return feeds.join(counts, ["feed_key", "service_date"], "left").orderBy(F.desc_nulls_last("ct"))
+    """Feeds left-joined to counts; dates on which the route did not run have null shape_id. See by_trips() for the order."""
+    return feeds.join(counts, ["feed_key", "service_date"], "left")
+
+
+def by_trips(df: DataFrame) -> DataFrame:
+    """Most trips first, for a last step: in mid-plan the order would be lost again."""
+    return df.orderBy(F.desc_nulls_last("ct"))
 
 
 def drop_unserved_dates(df: DataFrame) -> DataFrame:
@@ -56,17 +63,19 @@ def min_trips(df: DataFrame, n: int = MIN_TRIPS) -> DataFrame:
     return df.filter(F.col("ct") >= n)
 
 
-def shape_geometry(shapes: DataFrame, dates: Sequence[date], feed_keys: Sequence[str], shape_ids: Sequence[str]) -> DataFrame:
-    """One point array per (shape_id, feed_key), of the latest of the dates."""
-    on = F.col("service_date").isin(list(dates)) & F.col("feed_key").isin(list(feed_keys)) & F.col("shape_id").isin(list(shape_ids))
+def shape_geometry(shapes: DataFrame, dates: Sequence[date], feed_keys: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One point array per (shape_id, feed_key), of the latest of the last-seen dates of the chosen shapes (shape_id,
+    last_seen_date), all of them among dates. Keys stay on the executors; the last-seen dates prune the scan's partitions."""
+    seen = chosen.filter(F.col("last_seen_date").isin(list(dates)))
+    rows = semi(shapes.filter(F.col("service_date").isin(list(dates))), seen, {"service_date": "last_seen_date"})
+    rows = semi(semi(rows, feed_keys, {"feed_key": "feed_key"}), chosen, {"shape_id": "shape_id"})
     latest = Window.partitionBy("shape_id", "feed_key").orderBy(F.desc("service_date"))
-    rows = shapes.filter(on).withColumn("_n", F.row_number().over(latest)).filter("_n = 1")
-    return rows.select("shape_id", "feed_key", "pt_array")
+    return rows.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").select("shape_id", "feed_key", "pt_array")
 
 
 def attach_geometry(shapes: DataFrame, geometry: DataFrame) -> DataFrame:
-    """Shapes that have points. The geometry has one row per (shape_id, feed_key); see checks.check_one_to_one."""
-    return shapes.join(geometry, ["shape_id", "feed_key"], "left").dropna(subset=["pt_array"])
+    """Shapes that have points. Fails if a (shape_id, feed_key) repeats on either side."""
+    return asserted_one_to_one(shapes, geometry, ["shape_id", "feed_key"]).dropna(subset=["pt_array"])
 
 
 def with_lines(shapes: DataFrame) -> DataFrame:
@@ -74,11 +83,13 @@ def with_lines(shapes: DataFrame) -> DataFrame:
     return shapes.withColumn("line", decode_line(F.col("pt_array")))
 
 
-def feed_entries(dim_feeds: DataFrame, feed_keys: Sequence[str]) -> DataFrame:
-    """feed_key, base64_url, _valid_from; exactly one each, see checks.check_count."""
-    return dim_feeds.filter(F.col("key").isin(list(feed_keys))).select(F.col("key").alias("feed_key"), "base64_url", "_valid_from")
+def feed_entries(dim_feeds: DataFrame, feed_keys: DataFrame) -> DataFrame:
+    """feed_key, base64_url, _valid_from of each feed; fails if one has no entry, or more than one."""
+    found = semi(dim_feeds, feed_keys, {"key": "feed_key"}).select(F.col("key").alias("feed_key"), "base64_url", "_valid_from")
+    every = asserted_many_to_one(feed_keys.select("feed_key").distinct(), found.withColumn("_found", F.lit(True)), ["feed_key"])
+    return asserted(every, F.col("_found"), "a feed without entry").drop("_found")
 
 
 def attach_feed_entry(dates: DataFrame, entries: DataFrame) -> DataFrame:
-    """Inner join on feed_key. Entries are few (one a feed); Spark broadcasts them by their size."""
-    return dates.join(entries, "feed_key")
+    """Inner join on feed_key; fails if an entry repeats. Entries are few (one a feed); Spark broadcasts them by their size."""
+    return asserted_many_to_one(dates, entries, ["feed_key"], "inner")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +28,19 @@ def all_known(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys), F.lit(True))
 
 
+#: Up to so many rows of a few short columns are broadcast, after they are counted; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def semi(df: DataFrame, keys: DataFrame, on: Mapping[str, str]) -> DataFrame:
+    """The rows of df whose columns (the keys of on) are among the key columns (its values). keys is counted, so should be
+    cheap: a small set is broadcast, and then prunes df's partitions while it is scanned; a larger one is shuffled."""
+    few = keys.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(on.values()))).distinct()
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        few = F.broadcast(few)
+    return df.join(few, reduce(lambda a, b: a & b, (df[c] == few[f"_k{i}"] for i, c in enumerate(on))), "left_semi")
+
+
 #: Parts that rows with a null key are dealt to, as they have no row before them and need not meet.
 NULL_PARTS = 1024
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, datetime
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import semi
+
 RESULT = [
     "service_date",
     "trip_id",
@@ -23,17 +25,18 @@ RESULT = [
 ]
 
 
-def stop_times_in_feeds(stop_times: DataFrame, valid_froms: Sequence[datetime], feed_keys: Sequence[str]) -> DataFrame:
-    """The five columns used of the stop times of some feeds, pruned by the partition column _feed_valid_from."""
-    on = F.col("_feed_valid_from").isin(list(valid_froms)) & F.col("feed_key").isin(list(feed_keys))
-    return stop_times.filter(on).select("feed_key", "stop_id", "trip_id", "timepoint", "stop_sequence")
+def stop_times_in_feeds(stop_times: DataFrame, entries: DataFrame, dates: Sequence[date]) -> DataFrame:
+    """The five columns used of the stop times of some feeds (entries: feed_key, _valid_from), pruned by the partition
+    column _feed_valid_from while they are scanned. Feeds that begin after the last of the dates are in effect on none."""
+    begun = entries.filter(F.col("_valid_from") < F.lit(max(dates) + timedelta(days=1)))
+    rows = semi(semi(stop_times, begun, {"_feed_valid_from": "_valid_from"}), begun, {"feed_key": "feed_key"})
+    return rows.select("feed_key", "stop_id", "trip_id", "timepoint", "stop_sequence")
 
 
-def valid_trips(trips: DataFrame, feed_dates: DataFrame, dates: Sequence[date], feed_keys: Sequence[str], shape_ids: Sequence[str]) -> DataFrame:
-    """Trips of the shapes on each date, only with the feed in effect on it."""
-    on = F.col("service_date").isin(list(dates)) & F.col("feed_key").isin(list(feed_keys)) & F.col("shape_id").isin(list(shape_ids))
-    pairs = feed_dates.select("service_date", "feed_key").distinct()
-    return trips.filter(on).join(pairs, ["service_date", "feed_key"]).select("service_date", "feed_key", "trip_id", "shape_id", "direction_id")
+def valid_trips(trips: DataFrame, feed_dates: DataFrame, dates: Sequence[date], chosen: DataFrame) -> DataFrame:
+    """Trips of the chosen shapes (shape_id) on each date, only with the feed in effect on it (feed_dates)."""
+    rows = semi(trips.filter(F.col("service_date").isin(list(dates))), feed_dates, {"service_date": "service_date", "feed_key": "feed_key"})
+    return semi(rows, chosen, {"shape_id": "shape_id"}).select("service_date", "feed_key", "trip_id", "shape_id", "direction_id")
 
 
 def trip_stop_times(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
@@ -51,9 +54,9 @@ def summary_of_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("stop_id", "shape_id").agg(F.sum("n_timepoint").alias("n_timepoint"), F.sum("n_stop_times").alias("n_stop_times"))
 
 
-def stops_in_feeds(stops: DataFrame, dates: Sequence[date], feed_keys: Sequence[str]) -> DataFrame:
+def stops_in_feeds(stops: DataFrame, dates: Sequence[date], feed_keys: DataFrame) -> DataFrame:
     """Stops of these dates and feeds."""
-    return stops.filter(F.col("service_date").isin(list(dates)) & F.col("feed_key").isin(list(feed_keys)))
+    return semi(stops.filter(F.col("service_date").isin(list(dates))), feed_keys, {"feed_key": "feed_key"})
 
 
 def timepoint_summary(joined: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .checks import asserted_many_to_one, asserted_unique
 from .network import DIRECTIONS
 
 RANGE_COLUMNS = [f"{d}_{t}" for d in DIRECTIONS for t in ("min", "max")]
@@ -23,9 +24,9 @@ def ranges_by_direction(long: DataFrame) -> DataFrame:
 
 
 def match_headings(ranges: DataFrame, headings: DataFrame) -> DataFrame:
-    """Full outer join of ranges and distinct headings on signal and direction."""
+    """Full outer join of ranges and distinct headings on signal and direction. Fails if a range repeats."""
     sent = headings.select("TspAssetID", "Heading", "direction", "Route", "Intersection", "Name").distinct()
-    return ranges.join(sent, ["TspAssetID", "direction"], "full")
+    return asserted_unique(ranges, ["TspAssetID", "direction"]).join(sent, ["TspAssetID", "direction"], "full")
 
 
 def _wrapped(h: Column, low: Column, high: Column) -> Column:
@@ -64,9 +65,10 @@ def success_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("success").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def signals_missing_ranges(df: DataFrame) -> DataFrame:
-    """Distinct signals with a heading, no success and no error."""
-    return df.filter("heading_available AND NOT success AND NOT error").select("Name", "TspAssetID").distinct()
+def signals_missing_ranges(df: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """Distinct signals with a heading, no success and no error; with x and y where places (TspAssetID, x, y) has them."""
+    rows = df.filter("heading_available AND NOT success AND NOT error").select("Name", "TspAssetID").distinct()
+    return rows if places is None else asserted_many_to_one(rows, places.select("TspAssetID", "x", "y"), ["TspAssetID"])
 
 
 def signal_rows(df: DataFrame, signal: int) -> DataFrame:
@@ -97,9 +99,18 @@ def validation_triangles(df: DataFrame, draw_m: float = 100) -> DataFrame:
     return df.withColumn("triangle", F.array(*corners))
 
 
+def in_edge_triangles(edges: DataFrame, draw_m: float = 100) -> DataFrame:
+    """validation_triangles() of edges that have both bounds, the origin (x, y) being where the edge arrives: the last point
+    of its line from u to v. Edges without a line have none."""
+    known = edges.dropna(subset=["bearing_lower_bound", "bearing_upper_bound", "line"])
+    end = F.element_at("line", -1)
+    return validation_triangles(known.withColumns({"x": end["x"], "y": end["y"]}), draw_m)
+
+
 def request_lines(headings: DataFrame, signals: DataFrame, request_m: float = 182) -> DataFrame:
-    """Headings with the line from their signal to the point request_m back along the heading; null without a signal."""
-    rows = headings.join(signals.select("TspAssetID", "x", "y"), "TspAssetID", "left")
+    """Headings with the line from their signal to the point request_m back along the heading; null without a signal. Fails
+    if a signal repeats."""
+    rows = asserted_many_to_one(headings, signals.select("TspAssetID", "x", "y"), ["TspAssetID"])
     here = F.struct(F.col("x").alias("x"), F.col("y").alias("y"))
     line = F.array(here, _back(F.col("x"), F.col("y"), F.col("Heading"), request_m))
     return rows.withColumn("line", F.when(F.col("x").isNotNull() & F.col("Heading").isNotNull(), line))

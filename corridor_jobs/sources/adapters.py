@@ -93,6 +93,8 @@ def tables(d: Dialect) -> dict[str, str]:
             UNION ALL SELECT a.p_partkey, b.p_partkey, 0, {along} FROM {{part}} a JOIN {{part}} b ON b.p_partkey = a.p_partkey + 50
             UNION ALL SELECT b.p_partkey, a.p_partkey, 0, {along} FROM {{part}} a JOIN {{part}} b ON b.p_partkey = a.p_partkey + 50
             UNION ALL SELECT a.p_partkey, a.p_partkey, 1, 'H1' FROM {{part}} a WHERE a.p_partkey % 83 = 0""",
+        "bends": """SELECT u, v, key, (a.lon + b.lon) / 2 + CAST(u % 5 AS DOUBLE) / 50000 AS lon, (a.lat + b.lat) / 2 + CAST(v % 3 AS DOUBLE) / 50000 AS lat
+            FROM edges JOIN nodes a ON u = a.osmid JOIN nodes b ON v = b.osmid WHERE u <> v AND (u + v) % 4 <> 0""",
         "streets": "SELECT DISTINCT name, CASE WHEN name IN ('Main Blvd', 'H2') THEN 0 ELSE 1 END AS orientation FROM edges WHERE name IN ('Main Blvd', 'H2', 'Cross Ave')",
         "signals": """SELECT CAST(s_suppkey AS INT) AS TspAssetID, 'Signal ' || CAST(s_suppkey AS STRING) AS Name,
             lat + CAST(s_suppkey % 5 * 100 + CASE WHEN s_suppkey % 11 = 0 THEN 500 ELSE 0 END AS DOUBLE) / 1000000 AS Lat, lon AS Long, 'none' AS IPHostAddress

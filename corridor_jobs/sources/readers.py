@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rings import feet_to_degrees
@@ -38,14 +38,27 @@ def read_signals(spark: SparkSession, path: str) -> DataFrame:
 def read_avl(spark: SparkSession, path: str) -> DataFrame:
     """Pings. A line that is no ping (the second of each file: units or a rule) has an EVENT_TIME that is no number and
     is dropped; pings without EVENT_TIME stay."""
+    return _avl(spark, path, None)
+
+
+def read_avl_counted(spark: SparkSession, path: str) -> tuple[DataFrame, Observation]:
+    """read_avl(), and what it drops: once a job has read the pings to their end, get of the observation has n_lines,
+    n_blank and n_rejected (EVENT_TIME that is no number). The lines are read once, for both."""
+    counts = Observation("avl")
+    return _avl(spark, path, counts), counts
+
+
+def _avl(spark: SparkSession, path: str, counts: Observation | None) -> DataFrame:
     df = _csv(spark, path)
     time = F.col("EVENT_TIME").try_cast("double")
     blank = F.lit(True)
     for c in df.columns:
         blank = blank & (F.coalesce(F.trim(F.col(c)), F.lit("")) == "")
-    df = df.filter((F.col("EVENT_TIME").isNull() | time.isNotNull()) & ~blank)
+    no_time = F.col("EVENT_TIME").isNotNull() & time.isNull()
+    if counts is not None:
+        df = df.observe(counts, F.count(F.lit(1)).alias("n_lines"), F.count_if(blank).alias("n_blank"), F.count_if(no_time & ~blank).alias("n_rejected"))
     number = lambda c: F.col(c).try_cast("double").alias(c)
-    return df.select("ROUTE_ID", F.col("TRIP_KEY").try_cast("int").alias("TRIP_KEY"), time.alias("EVENT_TIME"), number("LONGITUDE"), number("LATITUDE"), *map(number, DOORS))
+    return df.filter(~no_time & ~blank).select("ROUTE_ID", F.col("TRIP_KEY").try_cast("int").alias("TRIP_KEY"), time.alias("EVENT_TIME"), number("LONGITUDE"), number("LATITUDE"), *map(number, DOORS))
 
 
 def with_heading_keys(df: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corridor_jobs.functions import columns as C
-from corridor_jobs.functions.rings import feet_to_degrees, near_ring
-from corridor_jobs.operators import network, validation
+from corridor_jobs.functions.rings import feet_to_degrees
+from corridor_jobs.operators import areas, network, validation
 
 EDGE = "u long, v long, key int, bearing double, orientation int"
 
@@ -125,10 +126,87 @@ def test_edges_that_meet_after_a_merge_keep_keys_apart(spark):
     assert sorted((r.u, r.v, r.key, r.name) for r in left.collect()) == [(1, 4, 0, "a"), (1, 4, 1, "b"), (1, 4, 2, "c"), (1, 6, 0, "g"), (4, 6, 0, "d"), (6, 1, 0, "e"), (6, 4, 0, "f")]
 
 
+def near_ring(points, rings, buffer):
+    """Inside the rings (even-odd) or within buffer of them, wall by wall."""
+    x, y = (np.array(c, dtype=float) for c in zip(*points, strict=True))
+    odd, near = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True):
+            if y1 != y2:
+                odd ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+            dx, dy = x2 - x1, y2 - y1
+            t = np.clip(((x - x1) * dx + (y - y1) * dy) / max(dx * dx + dy * dy, 1e-300), 0, 1)
+            near |= np.hypot(x1 + t * dx - x, y1 + t * dy - y) <= buffer
+    return (odd | near).tolist()
+
+
+def inside(spark, points, ring, buffer, **more):
+    walls = ring if not isinstance(ring, list) else areas.walls_of(spark, ring)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "osmid int, x double, y double")
+    got = {r.osmid for r in areas.within_area(df, walls, buffer, **more).collect()}
+    return [i in got for i in range(len(points))]
+
+
+def test_an_area_with_thousands_of_corners_and_a_hole(spark):
+    rng = np.random.default_rng(8)
+    turn = np.linspace(0, 2 * np.pi, 5000, endpoint=False)
+    far = 3000 + 900 * np.sin(9 * turn) + rng.normal(0, 8, 5000)
+    outer = [(float(a), float(b)) for a, b in zip(far * np.cos(turn), far * np.sin(turn), strict=True)]
+    hole = [(-600.0, -600.0), (600.0, -600.0), (600.0, 900.0), (-600.0, 900.0)]
+    points = rng.uniform(-4500, 4500, (3000, 2)).tolist() + outer[:50] + [(0.0, 0.0), (600.0, 0.0), (650.0, 100.0)]
+    corners = spark.createDataFrame([(i, *p) for i, p in enumerate(outer)], "i int, x double, y double")
+    walls = areas.ring_walls(corners).select(areas.WALL).unionByName(areas.walls_of(spark, hole))
+    for buffer, cell in ((0.0, 250.0), (120.0, None), (120.0, 37.0)):
+        got = inside(spark, points, walls, buffer, cell=cell)
+        want = near_ring(points, [outer, hole], buffer)
+        edge = 50 if buffer == 0 else 0  # corners themselves are neither in nor out
+        assert got[:3000] == want[:3000] and got[3000 + edge :] == want[3000 + edge :]
+    plan = areas.within_area(corners, areas.walls_of(spark, outer), 100.0)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_no_walls_no_places(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, 1.0, 2.0)], "osmid int, x double, y double")
+    assert areas.within_area(df, areas.walls_of(spark, [(0.0, 0.0), (5.0, 0.0), (5.0, 5.0)]).limit(0), 3.0).isEmpty()
+    assert [r.osmid for r in areas.within_area(df, areas.walls_of(spark, [(0.0, 0.0), (5.0, 0.0), (5.0, 5.0)]), 3.0).collect()] == [2]
+
+
+def test_lines_survive_clip_and_merge(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 15.0, 0.0), (3, 7.0, 400.0), (4, 500.0, 0.0), (5, 9000.0, 0.0)], "osmid long, x double, y double")
+    nodes = nodes.withColumns({"lon": F.col("x"), "lat": F.col("y")})
+    rows = [(2, 4, 0, [(15.0, 0.0), (300.0, 90.0), (500.0, 0.0)]), (4, 1, 0, None), (1, 3, 0, None), (3, 4, 0, [(7.0, 400.0), (480.0, 9.0)]), (4, 3, 0, None), (2, 3, 0, None), (5, 3, 0, None), (5, 9, 0, None)]
+    edges = spark.createDataFrame(rows, "u long, v long, key int, line array<struct<x:double,y:double>>")
+    clipped = network.clip_to_study_area(nodes, network.with_lines(edges, nodes), [(-50.0, -50.0), (600.0, -50.0), (600.0, 600.0), (-50.0, 600.0)], 10)
+    _, left = network.consolidate_intersections(nodes, clipped)
+    got = {(r.u, r.v, r.key): [tuple(p) for p in r.line] for r in left.collect()}
+    assert got == {
+        (1, 4, 0): [(7.5, 0.0), (15.0, 0.0), (300.0, 90.0), (500.0, 0.0)],  # 1 and 2 are one node now
+        (4, 1, 0): [(500.0, 0.0), (0.0, 0.0), (7.5, 0.0)],
+        (1, 3, 0): [(7.5, 0.0), (0.0, 0.0), (7.0, 400.0)],
+        (1, 3, 1): [(7.5, 0.0), (15.0, 0.0), (7.0, 400.0)],
+        (3, 4, 0): [(7.0, 400.0), (480.0, 9.0), (500.0, 0.0)],  # led on to its node
+        (4, 3, 0): [(500.0, 0.0), (7.0, 400.0)],
+    }
+    triangles = validation.in_edge_triangles(left.withColumns({"bearing_lower_bound": F.when(F.col("v") == 4, 0.0), "bearing_upper_bound": F.lit(90.0)}), 10)
+    assert {(r.u, r.v): [tuple(round(c, 6) for c in p) for p in r.triangle] for r in triangles.collect()} == dict.fromkeys([(1, 4), (3, 4)], [(500.0, 0.0), (500.0, -10.0), (490.0, 0.0)])
+
+
+def test_a_doubled_direction_or_signal_is_an_error(spark):
+    rows = [(9, "north", 300.0, 20.0), (9, "north", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "v long, direction string, bearing_lower_bound double, bearing_upper_bound double")
+    with pytest.raises(PySparkException, match="two edges of one direction"):
+        network.node_heading_ranges(df).collect()
+    assert network.node_heading_ranges(df.filter("bearing_lower_bound > 99")).count() == 1
+    signals = spark.createDataFrame([(7, "s", 0.0, 0.0), (7, "t", 1.0, 1.0)], "TspAssetID int, Name string, x double, y double")
+    nodes, ranges = spark.createDataFrame([(2, 3.0, 0.0)], "osmid long, x double, y double"), spark.createDataFrame([(2, 5.0)], "osmid long, north_min double")
+    with pytest.raises(PySparkException, match="repeated TspAssetID"):
+        network.signals_with_ranges(signals, nodes, ranges).collect()
+
+
 def test_study_area(spark):
     ring = [(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)]
-    x, y = np.array([50, 105, 120, -5, 50.0]), np.array([50, 50, 50, -5, 111.0])
-    assert near_ring(x, y, np.array(ring), 10).tolist() == [True, True, False, True, False]
+    points = [(50.0, 50.0), (105.0, 50.0), (120.0, 50.0), (-5.0, -5.0), (50.0, 111.0)]
+    assert inside(spark, points, ring, 10) == [True, True, False, True, False]
     nodes = spark.createDataFrame([(1, 50.0, 50.0), (2, 120.0, 50.0), (3, 500.0, 0.0), (4, None, 0.0)], "osmid long, x double, y double")
     edges = spark.createDataFrame([(1, 2, 0, "a"), (2, 3, 0, "b"), (3, 1, 0, None)], "u long, v long, key int, name string")
     assert sorted((r.u, r.v) for r in network.clip_to_study_area(nodes, edges, ring, 10).collect()) == [(1, 2), (3, 1)]

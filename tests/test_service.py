@@ -3,8 +3,9 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pytest
+from pyspark.errors import PySparkException
 
-from corridor_jobs.operators import checks, service, stop_times
+from corridor_jobs.operators import checks, service, shared, stop_times
 
 D1, D2, D3 = (date(2024, 3, d) for d in (4, 5, 6))
 
@@ -38,7 +39,8 @@ def test_dates_without_the_route_are_dropped_and_shapes_summed_over_feeds(feeds,
 def test_geometry_of_the_latest_date(spark):
     rows = [(D1, "a", "f0", ["POINT(0 0)"]), (D2, "a", "f0", ["POINT(0 0)", "POINT(1 -2.5)"]), (D2, "b", "f0", None)]
     shapes = spark.createDataFrame(rows, "service_date date, shape_id string, feed_key string, pt_array array<string>")
-    g = service.shape_geometry(shapes, [D1, D2], ["f0"], ["a", "b"])
+    chosen = spark.createDataFrame([("a", "f0", D2), ("b", "f0", D2)], "shape_id string, feed_key string, last_seen_date date")
+    g = service.shape_geometry(shapes, [D1, D2], chosen.select("feed_key"), chosen)
     kept = service.with_lines(service.attach_geometry(g.select("shape_id", "feed_key"), g)).collect()
     assert [(r.shape_id, [tuple(p) for p in r.line]) for r in kept] == [("a", [(0.0, 0.0), (1.0, -2.5)])]
 
@@ -81,6 +83,47 @@ def test_timepoints_on_every_trip_and_the_fan_out_by_stop(spark):
 
 def test_trips_only_with_the_feed_of_their_date(spark, trips):
     pairs = spark.createDataFrame([(D1, "f0"), (D2, "f1")], "service_date date, feed_key string")
-    got = stop_times.valid_trips(trips, pairs, [D1, D2], ["f0", "f1"], ["a", "b"])
+    got = stop_times.valid_trips(trips, pairs, [D1, D2], spark.createDataFrame([("a",), ("b",)], "shape_id string"))
     assert got.filter("trip_id = 't7'").isEmpty()  # its feed is not in effect
     assert got.count() == 13
+
+
+def fails(df, what):
+    with pytest.raises(PySparkException, match=what):
+        df.collect()
+
+
+def test_jobs_fail_on_doubled_keys(spark):
+    """Within the plan: no second pass over the rows."""
+    once, twice = [("a", "f0", ["POINT(0 0)"])], [("a", "f0", ["POINT(0 0)"]), ("a", "f0", ["POINT(1 1)"])]
+    shape = "shape_id string, feed_key string, pt_array array<string>"
+    one, two = spark.createDataFrame(once, shape), spark.createDataFrame(twice, shape)
+    assert service.attach_geometry(one.drop("pt_array"), one).count() == 1
+    fails(service.attach_geometry(one.drop("pt_array"), two), "repeated shape_id, feed_key")
+    fails(service.attach_geometry(two.drop("pt_array"), one), "repeated shape_id, feed_key")
+    feeds = spark.createDataFrame([("f0",), ("f1",)], "feed_key string")
+    dim = lambda *keys: spark.createDataFrame([(k, "u", datetime(2024, 1, 1)) for k in keys], "key string, base64_url string, _valid_from timestamp_ntz")
+    assert service.feed_entries(dim("f0", "f1", "f9"), feeds).count() == 2
+    fails(service.feed_entries(dim("f0", "f9"), feeds), "a feed without entry")
+    fails(service.feed_entries(dim("f0", "f1", "f1"), feeds), "repeated feed_key")
+    dates = spark.createDataFrame([(D1, "f0"), (D2, "f0")], "service_date date, feed_key string")
+    entries = dim("f0").withColumnRenamed("key", "feed_key")
+    assert service.attach_feed_entry(dates, entries).count() == 2
+    fails(service.attach_feed_entry(dates, entries.unionByName(entries)), "repeated feed_key")
+    assert checks.asserted_unique(one, ["shape_id"]).collect() == one.collect()
+
+
+def test_keys_prune_partitions_without_the_driver(spark, tmp_path, monkeypatch):
+    days = [date(2024, 3, d) for d in range(1, 29)]
+    spark.createDataFrame([(d, "a", "f0", ["POINT(0 0)", f"POINT(1 {d.day})"]) for d in days], "service_date date, shape_id string, feed_key string, pt_array array<string>").write.partitionBy("service_date").parquet(f"{tmp_path}/shapes")
+    spark.createDataFrame([("f0", "p", "t", 1, 1, datetime(2024, 1, d)) for d in range(1, 20)], "feed_key string, stop_id string, trip_id string, timepoint int, stop_sequence int, _feed_valid_from timestamp_ntz").write.partitionBy("_feed_valid_from").parquet(f"{tmp_path}/stop_times")
+    shapes, times = spark.read.parquet(f"{tmp_path}/shapes"), spark.read.schema("feed_key string, stop_id string, trip_id string, timepoint int, stop_sequence int, _feed_valid_from timestamp_ntz").parquet(f"{tmp_path}/stop_times")
+    chosen = spark.createDataFrame([("a", D2)], "shape_id string, last_seen_date date").repartition(1)
+    entries = spark.createDataFrame([("f0", "u", datetime(2024, 1, 7))], "feed_key string, base64_url string, _valid_from timestamp_ntz").repartition(1)
+    feeds = entries.select("feed_key")
+    for rows, want in ((service.shape_geometry(shapes, days, feeds, chosen), 1), (stop_times.stop_times_in_feeds(times, entries, days), 1)):
+        assert len(rows.collect()) == want
+        assert "dynamicpruning" in rows._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)  # as for larger sets
+    spread = service.shape_geometry(shapes, days, feeds, chosen)
+    assert [r.pt_array[1] for r in spread.collect()] == ["POINT(1 5)"]

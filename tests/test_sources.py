@@ -23,6 +23,14 @@ def test_avl_drops_the_second_line_only(spark, tmp_path):
     assert len(got) == 4 and sum(r.EVENT_TIME is None for r in got) == 2
 
 
+def test_dropped_lines_are_counted_in_the_same_pass(spark, tmp_path):
+    names = "ROUTE_ID,TRIP_KEY,EVENT_TIME,LONGITUDE,LATITUDE,STOP_BACK_DOOR_ENTRY,STOP_FRONT_DOOR_ENTRY,STOP_FRONT_DOOR_EXIT,STOP_BACK_DOOR_EXIT"
+    for k in (1, 2):
+        (tmp_path / f"{k}.csv").write_text(f"{names}\n---,---,---,---,---,,,,\n 104 ,{k},240301080910.0,-118.1,34.0,1,,,\n104,{k},,-118.1,34.0,,,,\n , ,  , , ,,,,\n1,2,x,,,,,,\n")
+    df, counts = readers.read_avl_counted(spark, str(tmp_path))
+    assert len(df.collect()) == 4 and counts.get == {"n_lines": 10, "n_blank": 2, "n_rejected": 4}
+
+
 def test_headings(spark, tmp_path):
     p = tmp_path / "h.csv"
     p.write_text("Intersection,Route Direction,Heading,Route,Name\nIntersection 27,North Bound,310,1,X\n")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import PySparkException
 
 from corridor_jobs.operators import validation
 from corridor_jobs.operators.network import DIRECTIONS
@@ -44,6 +45,12 @@ def test_match_and_rate(spark):
     assert done.count() == 3
     assert validation.success_rate(done).first().success_rate == 0.5
     assert [tuple(r) for r in validation.signals_missing_ranges(done).collect()] == [("t", 3)]
+    places = spark.createDataFrame([(3, 1.5, 2.5), (1, 0.0, 0.0)], "TspAssetID int, x double, y double")
+    assert [tuple(r) for r in validation.signals_missing_ranges(done, places).select("Name", "TspAssetID", "x", "y").collect()] == [("t", 3, 1.5, 2.5)]
+    with pytest.raises(PySparkException, match="repeated TspAssetID"):
+        validation.signals_missing_ranges(done, places.unionByName(places)).collect()
+    with pytest.raises(PySparkException, match="repeated TspAssetID, direction"):
+        validation.match_headings(ranges.unionByName(ranges), headings).collect()
     assert validation.success_rate(done.filter("Heading IS NULL")).first().success_rate is None
 
 
