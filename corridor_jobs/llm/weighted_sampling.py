@@ -6,7 +6,8 @@ tables of 2 ** DRAW_BITS rows at places that different bits of the term's hash n
 common once in 2 ** (2 DRAW_BITS) pairs, however many terms a text has. A term of weight w has
 t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r; the sample of a document is its term of least a, with t. Two
 documents agree in a sample with a probability equal to their generalised Jaccard similarity, the sum of the smaller
-weights over the sum of the larger. As a depends on the term and t alone, its least value stands for both.
+weights over the sum of the larger. A sample is named by a hash of its term and t; of terms with one a the least by hash
+counts. a is worked out by one formula for all weights, so that equal terms and t have it equal to the last bit.
 """
 
 from __future__ import annotations
@@ -38,15 +39,18 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 @lru_cache(maxsize=1)
-def _random() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, b and r (b - 1) by one place, and ln c by another, each (places, samples)."""
+def _random() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r and b by one place, and ln c by another, each (places, samples)."""
     rng = np.random.Generator(np.random.PCG64(SEED))
     shape = (1 << DRAW_BITS, SAMPLES)
     draw = lambda: rng.random(shape, dtype=np.float32)
     r = -np.log((1 - draw()) * (1 - draw()))
     c = np.log(-np.log((1 - draw()) * (1 - draw()) * np.float32(1 - 1e-7)))
-    b = draw()
-    return r, b, r * b - r, c
+    return r, draw(), c
+
+
+def _t(weight: np.ndarray, r: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(weight.astype(np.float64)).astype(np.float32) / r + b)
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
@@ -107,22 +111,32 @@ def signatures(texts: list[str]) -> np.ndarray:
     doc = (key >> np.uint64(TERM_BITS)).astype(np.int64)
     place = np.uint64((1 << DRAW_BITS) - 1)
     first_place, second_place = (key & place).astype(np.int64), (key >> np.uint64(DRAW_BITS) & place).astype(np.int64)
-    r, b, one, c = _random()
+    r, b, c = _random()
     least = np.full((len(texts), SAMPLES), np.inf, dtype=np.float32)
+    name = np.zeros((len(texts), SAMPLES), dtype=np.uint64)
     for lo in range(0, len(key), ROWS_AT_ONCE):
-        s, z, w, d = (x[lo : lo + ROWS_AT_ONCE] for x in (first_place, second_place, weight, doc))
-        a = one[s] + c[z]
+        s, z, w, d, k = (x[lo : lo + ROWS_AT_ONCE] for x in (first_place, second_place, weight, doc, key))
+        rs, bs = r[s], b[s]
+        t = np.zeros((len(s), 1), dtype=np.float32)  # of weight 1, whose logarithm is 0
         more = np.flatnonzero(w > 1)
+        a = t - bs
         if len(more):
-            rm, bm = r[s[more]], b[s[more]]
-            t = np.floor(np.log(w[more].astype(np.float64)).astype(np.float32)[:, None] / rm + bm)
-            a[more] = c[z[more]] - rm * (t - bm) - rm
+            a[more] = _t(w[more, None], rs[more], bs[more]) - bs[more]
+        a *= rs
+        np.subtract(c[z], a, out=a)
+        a -= rs
         first = np.flatnonzero(np.diff(d, prepend=-1))
+        best = np.minimum.reduceat(a, first, axis=0)
         own = d[first]
-        least[own] = np.minimum(least[own], np.minimum.reduceat(a, first, axis=0))
+        row, sample = np.nonzero(a == np.repeat(best, np.diff(np.append(first, len(d))), axis=0))
+        row, sample = row[::-1], sample[::-1]  # so that of equals the first is set last
+        better = a[row, sample] < least[d[row], sample]
+        row, sample = row[better], sample[better]
+        at = _t(w[row], rs[row, sample], bs[row, sample]).astype(np.int64).view(np.uint64)
+        name[d[row], sample] = mixed((k[row] & np.uint64((1 << TERM_BITS) - 1)) ^ mixed(at + np.uint64(1)))
+        least[own] = np.minimum(least[own], best)
     known = np.flatnonzero(np.isfinite(least[:, 0]))
-    bits = mixed(least[known].view(np.uint32).astype(np.uint64))
-    out[known] = (bits % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+    out[known] = (name[known] % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
     return out
 
 

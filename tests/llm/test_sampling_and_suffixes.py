@@ -35,6 +35,31 @@ def test_collision_rate_is_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.09
 
 
+def rate(pairs):
+    """Share of equal samples less the likeness, over all pairs, in standard errors."""
+    sig = weighted_sampling.signatures([t for p in pairs for t in p])
+    errors = np.array([(sig[2 * i] == sig[2 * i + 1]).mean() - jaccard(*p) for i, p in enumerate(pairs)])
+    return errors.mean() / (errors.std(ddof=1) / len(errors) ** 0.5), errors.mean()
+
+
+def test_equal_samples_of_other_weights_are_equal():
+    """A text against itself written twice, and mixed weights: within three standard errors of the likeness."""
+    rng = np.random.default_rng(12)
+    doubled = []
+    for k in range(250):
+        text = " ".join(f"v{x}" for x in rng.permutation(4000)[:200])
+        doubled.append((text, f"{text} {text}"))
+    assert abs(jaccard(*doubled[0]) - 0.5) < 0.001
+    off, mean = rate(doubled)
+    assert abs(off) < 3 and abs(mean) < 0.012
+    mixed = []
+    for k in range(250):
+        words = [f"u{x}" for x in rng.permutation(4000)[:60]]
+        mixed.append(tuple(" ".join(np.repeat(words, rng.integers(0, 6, 60))) for _ in range(2)))
+    off, mean = rate(mixed)
+    assert abs(off) < 3 and abs(mean) < 0.012
+
+
 def test_long_texts_without_a_common_word_are_unlike():
     a, b = (" ".join(f"{side}{i}" for i in range(100_000)) for side in "xy")
     sig = weighted_sampling.signatures([a, b, a + " " + b])
