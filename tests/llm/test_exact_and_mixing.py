@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from corridor_jobs.llm import exact_dedup, mixing
 from tests.llm.edge_cases import documents, plain
@@ -112,3 +113,38 @@ def test_draw_with_columns_of_any_name(spark):
     named = docs.selectExpr("*", "1 AS _copies", "2 AS _id", "3 AS _copy", "4 AS _row")
     got = mixing.draw(named)
     assert got.columns == named.columns and got.count() == mixing.draw(docs).count()
+
+
+def test_a_source_of_forty_words_among_millions_has_them(spark):
+    big = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), 20_000).alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    few = spark.createDataFrame([(1000 + i, "few " * 10, "c") for i in range(4)], "doc_id long, text string, source string")
+    docs = big.unionByName(few)
+    sums = {r.source: r for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.sum("size").alias("size")).collect()}
+    assert (sums["c"].size, sums["c"].target, sums["c"].taken) == (40, 120.0, 120)
+    assert all(r.taken == int(r.target + 0.5) for r in sums.values())  # to the word, at any size
+    assert mixing.draw(docs).filter("source = 'c'").count() == 12
+
+
+def test_every_block_has_one_slot(spark):
+    quotas = spark.createDataFrame([("a", False, 70_000, 0.0, 0.69), ("b", False, 1, 0.69, 0.69001), ("", True, 300, 0.69001, 0.6935), ("z", False, 31_111, 0.6935, 2.0)], "_src string, _no boolean, quota long, low double, high double")
+    got = mixing.schedule(spark, quotas, 100).collect()
+    blocks = {(s, i) for s, n in (("a", 700), ("b", 1), ("", 3), ("z", 312)) for i in range(n)}
+    assert {(r._src, r.block) for r in got} == blocks and sorted(r.slot for r in got) == list(range(len(blocks)))
+    first = [r.slot for r in got if r._src == "a" and r.block < 350]
+    assert max(first) < 0.55 * len(blocks)  # half of a source comes in half the schedule
+
+
+def test_rows_that_share_an_id_have_their_own_copies(spark):
+    rows = [(1, "w " * 1000, "a"), (1, "x " * 10, "b"), (1, None, "b"), (2, "y " * 90, "b"), (None, "z " * 50, "a"), (3, "q " * 30, "a"), (3, "q " * 30, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {(r.doc_id, r.size): r.taken for r in mixing.mix(docs).collect() if r.size != 30}
+    counts = {(r.doc_id, r.text): r["count"] for r in mixing.draw(docs).groupBy("doc_id", "text").count().collect()}
+    for i, text, _ in rows[:5]:
+        size = len((text or "").split())
+        assert counts.get((i, text), 0) == (int(taken[i, size] / size + 0.5) if size else 1)
+    assert len({mixed for mixed in counts.values()}) > 1
+
+
+def test_a_source_whose_documents_all_round_to_none_stays(spark):
+    docs = spark.createDataFrame([(1, "w " * 1000, "b"), *((10 + i, "x " * 9, "a") for i in range(3)), (2, "v " * 900, "c"), (3, "u " * 7000, "d")], "doc_id long, text string, source string")
+    assert {r.source for r in mixing.draw(docs).collect()} == {"a", "b", "c", "d"}
