@@ -103,7 +103,9 @@ def bit_map(frequent: DataFrame) -> np.ndarray:
     """The map of some keys (key). What comes to the driver is the map, of BITS bits at most."""
     cell = F.col("key").bitwiseAND(F.lit(BITS - 1))
     bit = F.expr("shiftleft(1L, cast(key & 63 AS INT))")
-    got = frequent.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    cells = written(frequent.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(bit).alias("bits")))
+    got = cells.toPandas()  # of a table: what made it need not be kept
+    discard(cells)
     out = np.zeros(BITS // 64, dtype=np.uint64)
     out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return out
