@@ -13,7 +13,7 @@ from ..functions import columns as C
 from ..functions.linear import measured
 from ..operators import avl, checks, network, segments, service, stop_times, validation
 from ..sources.adapters import adapted, oracle
-from .workloads import DATES, PLACE, Pings, Service, Streets, StudyArea
+from .workloads import DATES, PLACE, Corridor, PingReport, Pings, Service, Streets, StudyArea
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,6 +180,7 @@ STEPS |= {
 }
 _CHAIN = ("bearings", "oriented", "reach", "nearest", "ends", "halves", "bounds", "propagated", "canon", "ranked", "directed", "noderanges", "signalranges")
 STEPS |= _again(_CHAIN, {"nodes": "nodes_s", "xynodes": "nodes_s", "edges": "edges_s"})
+STEPS |= _again(("rlong", "rdirs", "vmatched", "vflags"), {"ranges": "signalranges_s"})
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -482,3 +483,33 @@ def w3_ping_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = (F.col("distance") < 200) & (F.trim("ROUTE_ID") == "104")
     return Pings(spark, sf_dir).placed.groupBy("TRIP_KEY").agg(F.count("gap_seconds").alias("n_gaps"), F.round(F.avg("gap_seconds"), 6).alias("mean_gap"), F.count_if(near).alias("n_near"))
 
+
+
+@query(
+    "SELECT t.shape_id, t.feed_key, t.stop_sequence, t.stop_id, t.pt_geom, round(distance, 9) AS distance, round(prior_distance, 9) AS prior_distance, travel_time_variability, p80_travel_time_seconds, p20_travel_time_seconds, r.n_rt_trips, r.n_service_dates, first_service_date, last_service_date, v.n_service_dates AS shape_service_dates, service_dates, c.n_rt_trips AS shape_rt_trips, v.n_service_dates = 5 AS covers_all_target_dates FROM onlines t"
+    " LEFT JOIN report r ON t.shape_id = r.shape_id AND t.feed_key = r.feed_key AND t.stop_sequence = r.stop_sequence LEFT JOIN validity v ON t.shape_id = v.shape_id AND t.feed_key = v.feed_key LEFT JOIN tripcounts c ON t.shape_id = c.shape_id WHERE t.stop_sequence <> 2"
+)
+def w1_corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From trips and stop times to the rows behind the map, with the audit of each shape."""
+    rows = Corridor(spark, sf_dir).rows
+    return rows.withColumns({"distance": F.round("distance", 9), "prior_distance": F.round("prior_distance", 9)}).drop("line", "point", "segment")
+
+
+@query('SELECT TspAssetID, direction, "min", "max", Heading, Route, Intersection, Name, error, success, heading_available FROM vflags_s')
+def w2_heading_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the network as it is to the submitted headings, held against the ranges worked out."""
+    return StudyArea(spark, sf_dir, tuple(_ring(spark))).flags
+
+
+@query(
+    "SELECT o.TRIP_KEY, n_gaps, round(mean_gap, 6) AS mean_gap, n_within, round(least_distance, 3) AS least_distance, coalesce(n_near, 0) AS n_near, coalesce(n_open, 0) AS n_open, coalesce(n_ahead, 0) AS n_ahead, coalesce(n_passages, 0) AS n_passages, round(mean_delay, 3) AS mean_delay, p50_gap, p75_gap, fullest_bin, fullest_rows FROM"
+    " (SELECT TRIP_KEY, count(gap_seconds) AS n_gaps, avg(gap_seconds) AS mean_gap, count(*) FILTER (WHERE gap_seconds < 40000) AS n_within, min(distance) AS least_distance FROM placed GROUP BY TRIP_KEY) o"
+    " LEFT JOIN (SELECT TRIP_KEY, count(*) AS n_near, count(*) FILTER (WHERE door_open) AS n_open, count(*) FILTER (WHERE azimuth_to_signal < 120) AS n_ahead FROM nearby GROUP BY TRIP_KEY) n ON o.TRIP_KEY IS NOT DISTINCT FROM n.TRIP_KEY"
+    " LEFT JOIN (SELECT TRIP_KEY, count(*) AS n_passages, avg(greatest(0, gone - entered - metres / 11)) AS mean_delay FROM passed GROUP BY TRIP_KEY) d ON o.TRIP_KEY = d.TRIP_KEY,"
+    " (SELECT quantile_cont(gap_seconds, 0.5) AS p50_gap, quantile_cont(gap_seconds, 0.75) AS p75_gap FROM gaps) q,"
+    f" (SELECT b AS fullest_bin, n AS fullest_rows FROM (SELECT {_BIN.format(n=50)} AS b, count(*) AS n FROM gaps, (SELECT min(gap_seconds) AS lo, max(gap_seconds) AS hi FROM gaps) e WHERE gap_seconds IS NOT NULL GROUP BY 1) z ORDER BY n DESC, b LIMIT 1) h"
+)
+def w3_approach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From pings to the figures of each trip: frequency, approach to the place, delay at signals."""
+    digits = {"mean_gap": 6, "least_distance": 3, "mean_delay": 3}
+    return PingReport(spark, sf_dir).rows.withColumns({c: F.round(c, n) for c, n in digits.items()})

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import albers
-from ..operators import avl, network, segments, service, stop_times, validation
+from ..operators import avl, checks, network, segments, service, stop_times, validation
 from ..operators.shared import checkpointed
 from ..sources.adapters import adapted
 from ..sources.readers import with_heading_keys
@@ -142,6 +142,30 @@ class Service:
         return segments.segment_map_rows(segments.segment_lines(self.projected), self.report)
 
 
+@dataclass
+class Corridor(Service):
+    """W1 to its end: the timed rows are kept, and report, audit and map rows all follow from them."""
+
+    @cached_property
+    def timed(self) -> DataFrame:
+        return checkpointed(segments.segment_seconds(segments.prior_departure(self.matched)))
+
+    @cached_property
+    def timepoint_list(self) -> DataFrame:
+        return segments.timepoint_list(self.timed)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return checkpointed(segments.segment_report(self.timed))
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """map_rows with the audit of their shape and feed."""
+        names = {"n_service_dates": "shape_service_dates", "n_rt_trips": "shape_rt_trips"}
+        audit = self.validity.withColumnsRenamed(names)
+        return checks.asserted_many_to_one(self.map_rows, audit, ["shape_id", "feed_key"])
+
+
 @dataclass
 class Pings:
     """W3: how often vehicles report, and pings near a stop or signal."""
@@ -190,6 +214,38 @@ class Pings:
         return avl.ahead_of_signal(self.near)
 
 
+@dataclass
+class PingReport(Pings):
+    """W3 to its end: gaps are worked out once, and summary, histogram, approach and delay follow from them."""
+
+    @cached_property
+    def gaps(self) -> DataFrame:
+        return checkpointed(avl.ping_gaps(self.parsed, tie="event_id"))
+
+    @cached_property
+    def delays(self) -> DataFrame:
+        return avl.intersection_delay(avl.project_points(self.gaps), self.signals, tie="event_id", max_gap=self.max_gap)
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        """One row: of all gaps the median and third quartile, and the fullest of 50 bins (of equals the first)."""
+        summary = avl.gap_summary(self.gaps).select("p50_gap", "p75_gap")
+        fullest = avl.histogram(self.gaps, "gap_seconds", 50).agg(F.max_by("bin", F.struct("n_rows", -F.col("bin"))).alias("fullest_bin"), F.max("n_rows").alias("fullest_rows"))
+        return summary.join(F.broadcast(fullest))  # one row each
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """A row a trip: gaps, those within max_gap, pings near the place and ahead of it, passages of signals and their
+        delay; and the overall figures."""
+        own = self.placed.groupBy("TRIP_KEY").agg(F.count("gap_seconds").alias("n_gaps"), F.avg("gap_seconds").alias("mean_gap"), F.count_if(F.col("gap_seconds") < self.max_gap).alias("n_within"), F.min("distance").alias("least_distance"))
+        near = avl.with_azimuth(avl.near_point(self.placed), *self.place)
+        seen = near.groupBy("TRIP_KEY").agg(F.count(F.lit(1)).alias("n_near"), F.count_if(F.col("door_open")).alias("n_open"), F.count_if(F.col("azimuth_to_signal") < 120).alias("n_ahead"))
+        held = self.delays.groupBy("TRIP_KEY").agg(F.count(F.lit(1)).alias("n_passages"), F.avg("delay_seconds").alias("mean_delay"))
+        rows = own.join(seen, own["TRIP_KEY"].eqNullSafe(seen["TRIP_KEY"]), "left").drop(seen["TRIP_KEY"]).join(held, "TRIP_KEY", "left")
+        counts = {c: F.coalesce(c, F.lit(0)) for c in ("n_near", "n_open", "n_ahead", "n_passages")}
+        return rows.withColumns(counts).join(F.broadcast(self.overall))  # one row
+
+
 @dataclass
 class Streets:
     """W2: heading ranges at signals, and their validation."""
@@ -290,6 +346,20 @@ class StudyArea(Streets):
         nodes, edges = network.consolidate_intersections(every.join(ends, "osmid", "left_semi"), edges)
         return checkpointed(nodes), checkpointed(edges)
 
+    @cached_property
+    def near(self) -> DataFrame:
+        """Kept, as small as the signals are; the in-edges, of which all else follows, too."""
+        return checkpointed(network.nearest_within(self.signals, self.nodes.select("osmid", "x", "y"), "TspAssetID"))
+
+    @cached_property
+    def ends(self) -> DataFrame:
+        return checkpointed(network.in_edges(self.oriented, self.near.filter("osmid IS NOT NULL").select("osmid")))
+
+    @cached_property
+    def long(self) -> DataFrame:
+        """Of the ranges worked out here, not of given ones."""
+        return validation.ranges_long(self.signal_ranges)
+
     @cached_property
     def nodes(self) -> DataFrame:
         return self.merged[0]
