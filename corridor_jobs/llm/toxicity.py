@@ -36,6 +36,8 @@ MIN_DOCS, LIFT = 3, 2.5
 FOLDS, HELD_OUT = 5, 0
 SPACE_BITS = 16
 BLOCK = 64
+#: Bounds within which chains are scaled and not taken in logarithms.
+SMALLEST, LARGEST = 1e-250, 250.0
 TOKEN = re.compile(r"[^\W_]+")
 ARROW = [pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 EMPTY_SCHEMA = "doc_id {id}, text_key long, expected double, largest double, n_tokens long, starts array<int>, ends array<int>"
@@ -169,8 +171,28 @@ def chain_marginals(e: np.ndarray, lengths: np.ndarray, start: float, step: np.n
 
     Chains are cut into blocks of BLOCK tokens. The forward ratio r = alpha(1) / alpha(0) moves by a fractional linear
     map per token: maps are multiplied over each block (all blocks at once), carried along the blocks of a chain, and
-    replayed inside the blocks; likewise backward.
+    replayed inside the blocks; likewise backward. Maps are scaled by their sum. Chains in whose maps a number falls below
+    SMALLEST of that, or whose emissions are beyond LARGEST, are gone through once more in logarithms.
     """
+    pieces = np.exp(step)
+    if not (np.abs(step) < LARGEST).all() or np.linalg.cond(pieces) > 1e6:
+        return _in_logarithms(e, lengths, start, step)
+    out, lost = _chain_ratios(e, lengths, start, step)
+    if lost.any():
+        rows = np.repeat(lost, lengths)
+        out[rows] = _in_logarithms(e[rows], lengths[lost], start, step)
+    return out
+
+
+def _in_logarithms(e: np.ndarray, lengths: np.ndarray, start: float, step: np.ndarray) -> np.ndarray:
+    """chain_marginals() chain by chain without scaling."""
+    at = np.cumsum(lengths) - lengths
+    found = [_marginals(e[None, a : a + n], np.ones((1, n)), start, step)[0][0] for a, n in zip(at, lengths, strict=True) if n]
+    return np.concatenate(found) if found else np.zeros(0)
+
+
+def _chain_ratios(e: np.ndarray, lengths: np.ndarray, start: float, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals, and which chains are not to be relied on."""
     blocks = -(-lengths // BLOCK)
     first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
     n = int(blocks.sum())
@@ -178,7 +200,9 @@ def chain_marginals(e: np.ndarray, lengths: np.ndarray, start: float, step: np.n
     at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     spot = (first[np.repeat(np.arange(len(lengths)), lengths)] * BLOCK) + np.arange(len(e)) - np.repeat(at, lengths)
     grid = np.zeros(n * BLOCK)
-    grid[spot] = np.exp(np.clip(e, -30, 30))
+    grid[spot] = np.exp(np.clip(e, -LARGEST, LARGEST))
+    lost = np.zeros(n, dtype=bool)
+    lost[spot[np.abs(e) > LARGEST] // BLOCK] = True
     here = np.zeros(n * BLOCK, dtype=bool)
     here[spot] = True
     grid, here = grid.reshape(n, BLOCK), here.reshape(n, BLOCK)
@@ -191,6 +215,7 @@ def chain_marginals(e: np.ndarray, lengths: np.ndarray, start: float, step: np.n
         x, on = grid[:, t], here[:, t]
         na, nb, nc, nd = x * (t11 * ma + t01 * mc), x * (t11 * mb + t01 * md), t10 * ma + t00 * mc, t10 * mb + t00 * md
         size = na + nb + nc + nd
+        lost |= on & ~(np.minimum(np.minimum(na, nb), np.minimum(nc, nd)) > SMALLEST * size)
         size = np.where(on & (size > 0), size, 1)
         ma, mb, mc, md = (np.where(on, new / size, old) for new, old in ((na, ma), (nb, mb), (nc, mc), (nd, md)))
     enter = np.zeros((n, 2))  # (alpha0, alpha1) before each block
@@ -205,19 +230,20 @@ def chain_marginals(e: np.ndarray, lengths: np.ndarray, start: float, step: np.n
             zero = mc[prev] * enter[prev, 1] + md[prev] * enter[prev, 0]
             size = np.abs(one) + np.abs(zero)
             enter[rows, 0], enter[rows, 1] = zero / size, one / size
-    forward = np.zeros((n, BLOCK))
+    forward = np.zeros((2, n, BLOCK))
     zero, one = enter[:, 0].copy(), enter[:, 1].copy()
     for t in range(BLOCK):
         nz, no = t00 * zero + t10 * one, grid[:, t] * (t01 * zero + t11 * one)
         size = np.abs(nz) + np.abs(no)
         size = np.where(size > 0, size, 1)
         zero, one = nz / size, no / size
-        forward[:, t] = one / np.maximum(zero + one, 1e-300)
+        forward[0, :, t], forward[1, :, t] = zero, one
     # Backward: (beta0, beta1) before a token from those after it.
     ma, mb, mc, md = np.ones(n), np.zeros(n), np.zeros(n), np.ones(n)  # maps (zero, one) after the block to before it
     for t in range(BLOCK - 1, -1, -1):
         x, on = grid[:, t], here[:, t]
         na, nb, nc, nd = t00 * ma + t01 * x * mc, t00 * mb + t01 * x * md, t10 * ma + t11 * x * mc, t10 * mb + t11 * x * md
+        lost |= on & ~(np.minimum(np.minimum(na, nb), np.minimum(nc, nd)) > SMALLEST * (na + nb + nc + nd))
         size = np.where(on, na + nb + nc + nd, 1)
         ma, mb, mc, md = (np.where(on, new / size, old) for new, old in ((na, ma), (nb, mb), (nc, mc), (nd, md)))
     leave = np.full((n, 2), 0.5)  # (beta0, beta1) after each block
@@ -231,13 +257,13 @@ def chain_marginals(e: np.ndarray, lengths: np.ndarray, start: float, step: np.n
     out = np.zeros((n, BLOCK))
     zero, one = leave[:, 0].copy(), leave[:, 1].copy()
     for t in range(BLOCK - 1, -1, -1):
-        p = forward[:, t] * one
-        out[:, t] = p / np.maximum(p + (1 - forward[:, t]) * zero, 1e-300)
+        p, q = forward[1, :, t] * one, forward[0, :, t] * zero
+        out[:, t] = p / np.where(p + q > 0, p + q, 1)
         on, x = here[:, t], grid[:, t]
         nz, no = t00 * zero + t01 * x * one, t10 * zero + t11 * x * one
         size = np.where(on, nz + no, 1)
         zero, one = np.where(on, nz / size, zero), np.where(on, no / size, one)
-    return np.clip(out.ravel()[spot], 0, 1)
+    return np.clip(out.ravel()[spot], 0, 1), np.bincount(chain[lost], minlength=len(lengths)) > 0
 
 
 def text_key(text: Column) -> Column:

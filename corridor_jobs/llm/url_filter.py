@@ -26,6 +26,8 @@ RULES = (
 )
 #: No label of a host is longer (DNS), so no word of one is.
 LONGEST_WORD = 63
+#: Labels are cut into parts of so many letters, each with the start of the next, before their substrings are listed.
+PART = 512
 SMOOTHING = 1.0
 UNKNOWN = 1e-3  # the count of a word that no page has, times 10 ** -(letters beyond the first)
 
@@ -89,14 +91,18 @@ def viterbi(label: str, known: dict[tuple[int, int], float], total: float) -> li
 
 
 def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """label, words: every distinct label split. Substrings meet their counts by join; no model is sent to executors."""
+    """label, words: every distinct label split. Substrings meet their counts by join; no model is sent to executors.
+    Work and rows grow with a label's length, not with its square."""
     total = counts.agg(F.sum("n")).first()[0] or 1
-    spans = labels.select("label", F.explode(F.sequence(F.lit(0), F.length("label") - 1)).alias("start")).select(
-        "label", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.length("label"), F.col("start") + LONGEST_WORD))).alias("end")
-    )
-    spans = spans.select("label", "start", "end", F.expr("substring(label, start + 1, end - start)").alias("word"))
-    found = spans.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("start", "end", "n")).alias("known"))  # at most LONGEST_WORD x length
-    rows = labels.join(found, "label", "left")
+    labels = written(labels.select("label").distinct().withColumn("_id", F.monotonically_increasing_id()))
+    parts = F.transform(F.sequence(F.lit(0), F.length("label") - 1, F.lit(PART)), lambda c: F.struct(c.alias("c"), F.substring(F.col("label"), c + 1, F.lit(PART + LONGEST_WORD - 1)).alias("part")))
+    spans = labels.select("_id", F.inline(parts))  # from here on without the label, whose length would multiply with its rows
+    spans = spans.select("_id", "c", "part", F.explode(F.sequence(F.lit(0), F.least(F.length("part"), F.lit(PART)) - 1)).alias("s"))
+    spans = spans.select("_id", (F.col("c") + F.col("s")).alias("start"), F.substring(F.col("part"), F.col("s") + 1, F.lit(LONGEST_WORD)).alias("part"))
+    spans = spans.select("_id", "start", "part", F.explode(F.sequence(F.lit(1), F.length("part"))).alias("k"))
+    spans = spans.select("_id", "start", (F.col("start") + F.col("k")).alias("end"), F.substring(F.col("part"), F.lit(1), F.col("k")).alias("word"))
+    found = spans.join(counts, "word").groupBy("_id").agg(F.collect_list(F.struct("start", "end", "n")).alias("known"))  # at most LONGEST_WORD x length
+    rows = labels.join(found, "_id", "left").drop("_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -34,6 +34,27 @@ def test_long_chains_equal_the_logarithmic_form():
     assert toxicity.chain_marginals(e, size, 0.3, step) == pytest.approx(want)
 
 
+def test_chains_with_large_numbers_equal_all_paths():
+    """Nothing is clipped: emissions and steps that scaled products cannot hold are taken in logarithms."""
+
+    def slow(e, start, step):
+        score = np.array([sum(x * s for x, s in zip(e, p, strict=True)) + start * p[0] + sum(step[a][b] for a, b in itertools.pairwise(p)) for p in itertools.product((0, 1), repeat=len(e))])
+        on = np.array(list(itertools.product((0, 1), repeat=len(e))), dtype=bool)
+        return [np.exp(np.logaddexp.reduce(score[on[:, i]]) - np.logaddexp.reduce(score)) for i in range(len(e))]
+
+    rng = np.random.default_rng(9)
+    cases = [(np.array([45.0, -45.0, 2.0]), 0.0, [[0.0, -40.0], [-40.0, 0.0]]), (np.array([45.0, -45.0, 2.0]), 0.0, [[-40.0] * 2] * 2), (np.array([800.0, -900.0, 99.0, 3.0]), 1.0, [[0.0, -5.0], [-6.0, 1.0]])]
+    cases += [(rng.normal(size=10) * k, 0.2, (rng.normal(size=(2, 2)) * k).tolist()) for k in (3, 30, 200, 900)]
+    for e, start, step in cases:
+        both = np.concatenate([e, [0.3, -0.2]])  # with a chain that needs nothing
+        got = toxicity.chain_marginals(both, np.array([len(e), 2]), start, np.array(step))
+        assert got == pytest.approx([*slow(e, start, step), *slow([0.3, -0.2], start, step)], abs=1e-9)
+    there, back = np.full(70, 240.0), np.full(70, -240.0)  # scaled products vanish half way, and come back
+    e, step = np.concatenate([there, back, [1.0]]), np.array([[0.0, -250.0 + 1], [-250.0 + 1, 0.0]])
+    want = toxicity._marginals(e[None], np.ones((1, len(e))), 0.0, step)[0][0]
+    assert toxicity.chain_marginals(e, np.array([len(e)]), 0.0, step) == pytest.approx(want, abs=1e-9)
+
+
 def test_field_is_at_the_top_of_its_likelihood():
     """At the end of a long fit the slope of the likelihood, summed over all paths, is flat in every chain weight."""
     sample = [(["a", "b", "c"], [0, 1, 1]), (["c", "a"], [1, 0]), (["b", "b", "a", "c"], [0, 1, 0, 0]), (["c"], [0])]
@@ -157,6 +178,18 @@ def test_segmentation_is_the_most_likely_one(spark):
     assert got["theteahouse"] == ["the", "tea", "house"]
 
 
+def test_labels_of_any_length(spark):
+    """Rows and time grow with the length; substrings across the parts of a label are found."""
+    counts = {"open": 40, "source": 30, "news": 50, "so": 5}
+    table = spark.createDataFrame(list(counts.items()), "word string, n long")
+    long = "opensourcenews" * 7200
+    middle = "open" * 127 + "ope" + "source" * 90  # a word over the first cut
+    got = {r.label: r.words for r in url_filter.segmented(spark.createDataFrame([(long,), (middle,), ("news",)], "label string"), table).collect()}
+    assert len(long) > 100_000 and got[long] == ["open", "source", "news"] * 7200 and got["news"] == ["news"]
+    total = float(sum(counts.values()))
+    assert got[middle] == url_filter.viterbi(middle, {(a, a + len(w)): float(n) for w, n in counts.items() for a in range(len(middle)) if middle.startswith(w, a)}, total)
+
+
 def test_bayes_equals_counts_by_hand(spark):
     rows = [(i, f"https://x.org/good/{'nice' * (i % 2)}", None) for i in range(6)] + [(9, "https://y.com/de/bad", None), (10, "https://y.com/it/bad", None), (11, "https://y.com/it/good", None)]
     got = {r.page_id: (r.verdict, r.score) for r in url_filter.verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
