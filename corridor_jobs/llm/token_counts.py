@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, whole, written
+from .common import discard, shared_dir, table, whole, written
 
 #: What counts as a token, by tokenizer version.
 VERSIONS = {
@@ -41,49 +41,93 @@ def revised(counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Rollup:
-    """Totals as a folder of batches, each a small table of summed changes.
-
-    A batch is written beside the others under a name of its own and then renamed to batch=<id>, which either happens
-    or does not. A batch that is there already is left alone, whatever is offered under its id: a job may be run again
-    after any failure. Totals add up the batches.
+    """Totals as a table that each batch replaces.
+
+    A state is a folder of two tables, the totals and the ids of the batches in them, and a file state-<n> that names the
+    folder; the largest n counts. A commit adds its batch to the last state, writes a folder of its own, and puts its file
+    in place by a rename that fails if the file is there: either the totals and the list both have the batch, or neither.
+    Who loses that race starts again from the state that won. A batch in the list is left alone, whatever is offered under
+    its id: a job may be run again after any failure. Reading opens one table, however many batches there were; the folder
+    of the state before stays for those who still read it, older ones go.
     """
 
     spark: SparkSession
     root: str
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def _fs(self):
-        return self._path(".").getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _states(self) -> list[int]:
+        if not self._fs().exists(self._path()):
+            return []
+        names = (str(s.getPath().getName()) for s in self._fs().listStatus(self._path()))
+        return sorted(int(n[6:]) for n in names if n.startswith("state-"))
+
+    def _folder(self, state: int) -> str:
+        """The folder that a state names."""
+        file = self._fs().open(self._path(f"state-{state}"))
+        try:
+            return str(self.spark._jvm.java.io.BufferedReader(self.spark._jvm.java.io.InputStreamReader(file)).readLine())
+        finally:
+            file.close()
+
+    def _tables(self, states: list[int]) -> tuple[DataFrame, DataFrame]:
+        """Totals (KEYS, docs, tokens) and batches (batch) of the last state."""
+        schema = "source string, lang string, version string, docs long, tokens long"
+        if not states:
+            return self.spark.createDataFrame([], schema), self.spark.createDataFrame([], "batch string")
+        at = f"{self.root}/{self._folder(states[-1])}"
+        return self.spark.read.schema(schema).parquet(f"{at}/totals"), self.spark.read.schema("batch string").parquet(f"{at}/batches")
+
+    def _put(self, folder: str, state: int) -> bool:
+        """The file of a state, which names its folder; False if there is one."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        written_to = self._path(f"{folder}/name")
+        out = self._fs().create(written_to)
+        out.write(bytearray(folder.encode()))
+        out.close()
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), conf)
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(written_to, self._path(f"state-{state}"), none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception.getClass().getName()):
+                raise
+            return False
+        return True
 
     def committed(self, batch: str) -> bool:
-        return self._fs().exists(self._path(f"batch={batch}"))
+        return not self._tables(self._states())[1].filter(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of changes; False if it was there."""
-        if self.committed(batch):
-            return False
-        part = f"_{uuid.uuid4().hex}"
-        sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.parquet(f"{self.root}/{part}")
-        if self.committed(batch) or not self._fs().rename(self._path(part), self._path(f"batch={batch}")):
-            self._fs().delete(self._path(part), True)
-            return False
-        return True
+        sums = None
+        while True:
+            states = self._states()
+            totals, batches = self._tables(states)
+            if not batches.filter(F.col("batch") == batch).isEmpty():
+                return False
+            if sums is None:  # once, however often the race is lost
+                sums = written(changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
+            folder = f"folder-{uuid.uuid4().hex}"
+            both = totals.unionByName(sums).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+            both.filter("docs <> 0 OR tokens <> 0").write.parquet(f"{self.root}/{folder}/totals")
+            batches.unionByName(self.spark.createDataFrame([(batch,)], "batch string")).coalesce(1).write.parquet(f"{self.root}/{folder}/batches")
+            if self._put(folder, (states[-1] if states else 0) + 1):
+                discard(sums)
+                for old in states[:-1]:
+                    self._fs().delete(self._path(self._folder(old)), True)
+                    self._fs().delete(self._path(f"state-{old}"), True)
+                return True
+            self._fs().delete(self._path(folder), True)
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens; keys whose documents are all taken back are left out. No rows before
         the first batch."""
-        schema = "source string, lang string, version string, docs long, tokens long, batch string"
-        try:
-            every = self.spark.read.schema(schema).parquet(self.root)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            every = self.spark.createDataFrame([], schema)
-        sums = every.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-        return sums.filter("n_docs <> 0 OR n_tokens <> 0")
+        return self._tables(self._states())[0].select(*KEYS, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
 
 
 def counted(docs: DataFrame) -> DataFrame:
