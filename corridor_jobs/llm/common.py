@@ -34,10 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str | None = None) -> DataFrame:
     """The frame written once as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
