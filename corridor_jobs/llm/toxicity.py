@@ -5,14 +5,17 @@ learns from such windows of tokens what the forms look like (the form itself, it
 tokens follow one another. Forward-backward marginals over whole texts give the expected number of toxic tokens and the
 largest marginal of each document; a logistic fit on training documents turns these into a score.
 
-The fit uses at most TRAIN_DOCS labelled documents for the forms, WINDOWS windows of WINDOW tokens of these for the
-field, and SCORED_DOCS documents for the logistic (parameters), so what the driver gathers is bounded. All forms of these
-documents that keep to toxic ones count: in MIN_DOCS of them or more, with a lift of LIFT or more. Scoring covers every
-document and the whole of its text.
+The fit uses at most TRAIN_DOCS labelled documents for the forms, WINDOWS windows of these for the field, and SCORED_DOCS
+documents for the logistic (parameters), so what the driver gathers is bounded. Windows of WINDOW tokens cover the whole
+of each training text; half of those taken are of toxic texts and have a toxic token, half are of clean texts, each the
+ones of least hash. All forms of the training documents that keep to toxic ones count: in MIN_DOCS of them or more, with a lift of LIFT or more. Features
+have their own names, so none share a weight; one that no window shows has weight 0. Scoring covers every document and
+the whole of its text.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, whole, without_rows, written
+from .common import discard, table, text_batches, whole, without_rows, written
 
 TRAIN_DOCS = 20_000
 SCORED_DOCS = 5_000
@@ -34,7 +37,8 @@ WINDOWS, WINDOW = 2_000, 64
 ROWS, REMEMBERED = 512, 200_000
 MIN_DOCS, LIFT = 3, 2.5
 FOLDS, HELD_OUT = 5, 0
-SPACE_BITS = 16
+#: Features of a token at most.
+MOST_FEATURES = 9
 BLOCK = 64
 #: Bounds within which chains are scaled and not taken in logarithms.
 SMALLEST, LARGEST = 1e-250, 250.0
@@ -50,21 +54,19 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Field:
-    """Two states. Weights say how much a feature favours toxic; the rest are log potentials."""
+    """Two states. Weights say how much a feature, by its name, favours toxic; the rest are log potentials."""
 
     forms: dict[str, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << SPACE_BITS))
+    weights: dict[str, float] = field(default_factory=dict)
     start: float = 0.0
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
-    def features(self, form: str) -> list[int]:
+    def features(self, form: str) -> list[str]:
         names = [f"={form}", f"~{self.forms.get(form, -1)}", "*"]
-        names += [f"^{form[:k]}" for k in (3, 4, 5, 6) if len(form) > k] + [f"${form[-k:]}" for k in (2, 4) if len(form) > k]
-        hashed = [zlib.crc32(x.encode()) & ((1 << SPACE_BITS) - 1) for x in names]
-        return hashed + [-1] * (9 - len(hashed))
+        return names + [f"^{form[:k]}" for k in (3, 4, 5, 6) if len(form) > k] + [f"${form[-k:]}" for k in (2, 4) if len(form) > k]
 
     def emission(self, form: str) -> float:
-        return float(sum(self.weights[f] for f in self.features(form) if f >= 0))
+        return float(sum(self.weights.get(f, 0.0) for f in self.features(form)))
 
 
 def counted(train: DataFrame, min_docs: int = 1) -> DataFrame:
@@ -82,43 +84,47 @@ def counted(train: DataFrame, min_docs: int = 1) -> DataFrame:
     return each.groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= min_docs)
 
 
-def windows(train: DataFrame, forms: dict[str, int]) -> DataFrame:
-    """tokens, marks, at: windows of training documents, those of toxic ones around their most telling token."""
+def windows(train: DataFrame, forms: dict[str, int], most: int = WINDOWS // 2) -> DataFrame:
+    """at, tokens, marks, marked: at least the `most` windows of least at among those of toxic texts with a marked token,
+    and among those of clean texts. Windows lie end to end over the whole of each text of train (_text, toxic, _at)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least: tuple[list, list] = ([], [])
         for pdf in batches:
-            out: dict[str, list] = {"tokens": [], "marks": [], "at": []}
             for text, toxic, at in zip(pdf["_text"], pdf["toxic"], pdf["_at"], strict=True):
                 words = [t.lower() for t in TOKEN.findall(text)]
-                if not words:
-                    continue
-                told = [i for i, w in enumerate(words) if forms.get(w, -1) > 0] if toxic else []
-                mid = told[at % len(told)] if told else at % len(words)
-                lo = max(0, mid - at // 7 % WINDOW)
-                part = words[lo : lo + WINDOW]
-                out["tokens"].append(part)
-                out["at"].append(at)
-                out["marks"].append([int(bool(toxic) and forms.get(w, -1) > 0) for w in part])
-            yield pd.DataFrame(out)
-
-    return train.select("_text", "toxic", "_at").mapInPandas(run, "tokens array<string>, marks array<int>, at int")
-
-
-def fit_field(forms: dict[str, int], sample: list[tuple[list[str], list[int]]], rounds: int = 80, rate: float = 0.1, decay: float = 1e-4) -> Field:
-    """Maximum likelihood by Adam on all windows at once."""
+                for lo in range(0, len(words), WINDOW):
+                    part = words[lo : lo + WINDOW]
+                    marks = [int(bool(toxic) and forms.get(w, -1) > 0) for w in part]
+                    if any(marks) or not toxic:
+                        least[any(marks)].append((zlib.crc32(f"{at} {lo}".encode()), part, marks))
+                for found in least:
+                    if len(found) > 4 * most:
+                        found[:] = heapq.nsmallest(most, found)
+        for marked, found in enumerate(least):
+            if found:
+                found = heapq.nsmallest(most, found)
+                yield pd.DataFrame({"at": [w[0] for w in found], "tokens": [w[1] for w in found], "marks": [w[2] for w in found], "marked": bool(marked)})
+
+    return train.select("_text", "toxic", "_at").mapInPandas(run, "at long, tokens array<string>, marks array<int>, marked boolean")
+
+
+def fit_field(forms: dict[str, int], sample: list[tuple[list[str], list[int]]], rounds: int = 80, rate: float = 0.1, decay: float = 1e-4, chain: bool = True) -> Field:
+    """Maximum likelihood by Adam on all windows at once; without chain, tokens do not depend on their neighbours."""
     crf = Field(forms)
-    n, known = len(sample), {}
+    n, known, names = len(sample), {}, {}
     if not n:
         return crf
-    x = np.full((n, WINDOW, 9), -1, dtype=np.int32)
+    x = np.full((n, WINDOW, MOST_FEATURES), -1, dtype=np.int32)
     y = np.zeros((n, WINDOW))
     mask = np.zeros((n, WINDOW))
     for i, (tokens, marks) in enumerate(sample):
         for j, t in enumerate(tokens):
             if t not in known:
-                known[t] = crf.features(t)
+                own = [names.setdefault(f, len(names)) for f in crf.features(t)]
+                known[t] = own + [-1] * (MOST_FEATURES - len(own))
             x[i, j], y[i, j], mask[i, j] = known[t], marks[j], 1
-    size = (1 << SPACE_BITS) + 1
+    size = len(names) + 1
     x %= size  # no feature reads the last weight, which stays 0
     flat = x.reshape(-1)
     theta = np.zeros(size + 5)
@@ -127,7 +133,7 @@ def fit_field(forms: dict[str, int], sample: list[tuple[list[str], list[int]]],
         e = theta[:size][x].sum(axis=2)
         p, pairs = _marginals(e, mask, theta[size], theta[size + 1 :].reshape(2, 2))
         g = np.zeros_like(theta)
-        g[:size] = np.bincount(flat, weights=np.repeat(((y - p) * mask).ravel(), 9), minlength=size)
+        g[:size] = np.bincount(flat, weights=np.repeat(((y - p) * mask).ravel(), MOST_FEATURES), minlength=size)
         g[size - 1] = 0
         g[size] = (y[:, 0] - p[:, 0]).sum()
         both = mask[:, 1:] * mask[:, :-1]
@@ -136,9 +142,11 @@ def fit_field(forms: dict[str, int], sample: list[tuple[list[str], list[int]]],
                 seen = (np.where(y[:, :-1] == a, 1, 0) * np.where(y[:, 1:] == b, 1, 0) * both).sum()
                 g[size + 1 + 2 * a + b] = seen - pairs[a, b]
         g = g / n - decay * theta
+        g[size:] *= chain
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta += rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
-    crf.weights, crf.start, crf.step = theta[: size - 1], float(theta[size]), theta[size + 1 :].reshape(2, 2)
+    crf.weights = dict(zip(names, theta[: size - 1].tolist(), strict=True))
+    crf.start, crf.step = float(theta[size]), theta[size + 1 :].reshape(2, 2)
     return crf
 
 
@@ -328,8 +336,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     lift = F.log(rate / (1 - rate)) - float(np.log((base + 1e-6) / (1 - base + 1e-6)))
     telling = counted(train, MIN_DOCS).withColumn("lift", lift).filter(F.col("lift") >= LIFT)
     forms = {r.form: int(r.lift) for r in telling.select("form", "lift").collect()}
-    toxic, clean = (windows(train.filter(F.col("toxic") == y), forms).orderBy("at", "tokens").limit(WINDOWS // 2).collect() for y in (1, 0))
-    return fit_field(forms, [(list(r.tokens), list(r.marks)) for r in sorted([*toxic, *clean])])
+    found = written(windows(train, forms))
+    sample = [r for marked in (True, False) for r in found.filter(F.col("marked") == marked).orderBy("at", "tokens", "marks").limit(WINDOWS // 2).collect()]
+    discard(found)
+    return fit_field(forms, [(list(r.tokens), list(r.marks)) for r in sorted(sample)])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, decay: float = 1e-3) -> np.ndarray:

@@ -121,6 +121,17 @@ def test_toxic_words_are_learnt_and_found(spark):
     assert kept.columns == docs.columns and kept.count() == 303  # the toxic row without an id goes too
 
 
+def test_training_windows_cover_whole_texts(spark):
+    told = " ".join(f"w{i}" for i in range(200)) + " Awful"
+    train = spark.createDataFrame([(told, 1, 5), ("fine day awful so " * 50, 0, 6), ("", 0, 7), ("no mark here", 1, 8)], "_text string, toxic int, _at int")
+    got = toxicity.windows(train, {"awful": 3}).collect()
+    (marked,) = [r for r in got if r.marked]
+    assert marked.tokens == [f"w{i}" for i in range(192, 200)] + ["awful"] and marked.marks == [0] * 8 + [1]
+    clean = [r for r in got if not r.marked]
+    assert sorted(len(r.tokens) for r in clean) == [8, 64, 64, 64] and not any(any(r.marks) for r in clean)
+    assert len(toxicity.windows(train.repartition(1), {"awful": 3}, most=2).filter("not marked").collect()) == 2
+
+
 def test_no_labels_and_no_documents(spark):
     docs = documents(spark, 10)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
