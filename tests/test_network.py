@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from corridor_jobs.functions import columns as C
 from corridor_jobs.functions.rings import feet_to_degrees
+from corridor_jobs.jobs import workloads
 from corridor_jobs.operators import areas, network, validation
+from corridor_jobs.sources import adapters
 
 EDGE = "u long, v long, key int, bearing double, orientation int"
 
@@ -214,3 +216,14 @@ def test_study_area(spark):
 
 def test_feet_to_degrees_at_the_origin():
     assert feet_to_degrees(6561666.66666667, 1640416.66666667) == pytest.approx((-118.0, 33.5), abs=1e-6)
+
+
+def test_no_table_of_the_network_is_broadcast(spark, tmp_path):
+    """A node listed in nine cells was broadcast, as were the nodes and the keys that edges are made of."""
+    spark.range(4000).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(190).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    streets = workloads.Streets(spark, str(tmp_path))
+    for df in (streets.near, streets.bearings, adapters.adapted(spark, str(tmp_path), "bends")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert streets.near.filter("osmid IS NOT NULL").count() > 100
