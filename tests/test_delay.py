@@ -91,12 +91,15 @@ def test_no_pings_or_signals(spark):
 
 def test_legs_around_one_signal_are_no_single_task(spark):
     """All legs lie in one cell of the grid; their rows come from several tasks, and none is lost."""
-    legs = spark.range(4000).selectExpr("CAST(id AS INT) AS TRIP_KEY", "CAST(id AS DOUBLE) AS t0", "-50.0D AS x0", "0.0D AS y0", "id + 5.0D AS t1", "50.0D AS x1", "0.0D AS y1", "true AS usable")
+    legs = spark.range(4000).selectExpr("CAST(id AS INT) AS TRIP_KEY", "CAST(id AS DOUBLE) AS t0", "-50.0D + id * 0.0D AS x0", "id * 0.0D AS y0", "id + 5.0D AS t1", "50.0D + id * 0.0D AS x1", "id * 0.0D AS y1", "true AS usable")
     signals = spark.createDataFrame([(7, 0.0, 0.0), (8, 20.0, 0.0), (9, 90_000.0, 0.0)], SIGNALS)
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in off.items():
+        spark.conf.set(k, v)
     try:
         rows = avl.legs_in_reach(legs, signals, 100).withColumn("task", F.spark_partition_id())
         counts = [r["count"] for r in rows.groupBy("task").count().collect()]
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
+        for k in off:
+            spark.conf.unset(k)
     assert sum(counts) == 8000 and max(counts) < 6000

@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.errors import PySparkException
 
-from corridor_jobs.operators import checks, service, shared, stop_times
+from corridor_jobs.operators import checks, segments, service, shared, stop_times
 
 D1, D2, D3 = (date(2024, 3, d) for d in (4, 5, 6))
 
@@ -127,3 +127,21 @@ def test_keys_prune_partitions_without_the_driver(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)  # as for larger sets
     spread = service.shape_geometry(shapes, days, feeds, chosen)
     assert [r.pt_array[1] for r in spread.collect()] == ["POINT(1 5)"]
+
+
+def test_realtime_rows_meet_timepoints_in_place(spark):
+    """The rows that meet several stops are not shuffled for it, nor by their few dates and feeds, nor again by trip."""
+    day = date(2024, 3, 4)
+    metrics = spark.range(500).selectExpr("DATE '2024-03-04' AS service_date", "CAST(id % 50 AS STRING) AS trip_id", "'k' AS trip_key", "'p' AS stop_id", "CAST(id % 7 AS INT) AS stop_sequence", "TIMESTAMP_NTZ '2024-03-04 07:00:00' AS actual_arrival_pacific", "TIMESTAMP_NTZ '2024-03-04 07:00:00' AS actual_departure_pacific", "1 AS n_predictions", "'u' AS schedule_base64_url")
+    dated = spark.createDataFrame([(day, "u")], "service_date date, base64_url string")
+    trips = spark.range(50).selectExpr("DATE '2024-03-04' AS service_date", "CAST(id AS STRING) AS trip_id", "'f' AS feed_key", "'s' AS shape_id")
+    points = spark.createDataFrame([(i % 7, "s", f"POINT({i} 0)") for i in range(14)], "stop_sequence int, shape_id string, pt_geom string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = segments.prior_departure(stop_times.schedule_rt_stop_times(stop_times.rt_stop_times(metrics, dated), trips, points))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning(trip_id") == 2
+    assert "hashpartitioning(stop_sequence" not in plan and "SinglePartition" not in plan
