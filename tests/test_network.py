@@ -227,3 +227,13 @@ def test_no_table_of_the_network_is_broadcast(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert streets.near.filter("osmid IS NOT NULL").count() > 100
+
+
+def test_in_edges_are_worked_out_once_and_streets_meet_in_place(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(workloads, "checkpointed", lambda df: kept.append(df) or workloads.network.checkpointed(df))
+    streets = workloads.Streets(spark, "/root/testdata/sf0.001")
+    plan = streets.bounds._jdf.queryExecution().executedPlan().toString()
+    assert len(kept) == 2  # streets and in-edges
+    assert "part.parquet" not in plan and "Scan parquet" not in plan and "BroadcastHashJoin" not in plan
+    assert sum("BroadcastHashJoin [name" in line for line in streets.oriented._jdf.queryExecution().executedPlan().toString().splitlines()) == 1
