@@ -1,7 +1,8 @@
 """Near copies of whole texts: Jaccard similarity of five-word shingles, 0.8 or more.
 
-At that similarity SimHash fingerprints differ in about 10 of 64 bits, too many for exact keys. Candidates come from
-MinHash instead: 32 bands of 5 minima. A pair of similarity s meets in a band with probability s ** 5, so one of exactly
+Links of SimHash fingerprints (see simhash.close_pairs) come first, are verified on the sets, and settle the close copies.
+At 0.8 fingerprints differ in about 10 of 64 bits, too many for exact keys: candidates among texts that the fingerprints
+leave apart come from MinHash, 32 bands of 5 minima. A pair of similarity s meets in a band with probability s ** 5, so one of exactly
 0.8 is missed with probability (1 - 0.8 ** 5) ** 32 = 3e-6, a closer one less often. Every edge is verified on the sets
 themselves.
 
@@ -13,7 +14,7 @@ bounds are part of the join's condition, so the rows it makes do not grow with t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -111,18 +112,27 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(F.col("node").alias("u"), F.col("_node").alias("v")).distinct()
 
 
-def near_components(texts: DataFrame) -> DataFrame:
-    """node, label of every node with a near copy. texts: node, _text; equal texts have one node."""
+def near_components(texts: DataFrame, linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """node, label of every node with a near copy. texts: node, _text; equal texts have one node. linked gives pairs u, v
+    of nodes of texts that are verified first; what they tie together the bands need not verify again."""
     spark = texts.sparkSession
     text_batches(spark)
+    first = None
+    if linked:
+        first = _settled(texts, checkpointed(linked(texts)))
+        released(spark)
+        tied = components(first)
     bands = written(texts.select("node", "_text").mapInArrow(_bands, "key long, node long, n long"))
     centres = bands.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("_last"), F.min_by("n", "node").alias("_n"), F.count(F.lit(1)).alias("size"))
     met = written(bands.join(centres.filter("v <> _last").drop("_last"), "key"))
     discard(bands)
     star = met.filter("node <> v AND 5 * least(n, _n) >= 4 * greatest(n, _n)").select(F.col("node").alias("u"), "v").distinct()
-    star = checkpointed(star)
-    some = semi_texts(texts, star.select(F.col("u").alias("node")).union(star.select("v")))
-    edges = written(verified(star, some))
+    if first is not None:
+        for end in ("u", "v"):
+            star = star.join(tied.toDF(end, f"_{end}"), end, "left")
+        star = star.filter("coalesce(_u, u) <> coalesce(_v, v)").select("u", "v")
+    edges = _settled(texts, checkpointed(star))
+    edges = edges if first is None else first.unionByName(edges)
     released(spark)
     label = components(edges)
     # Buckets of two are settled. Of larger ones in several components, pairs across these are open.
@@ -132,12 +142,17 @@ def near_components(texts: DataFrame) -> DataFrame:
     if open_nodes.isEmpty():
         return label
     pairs = checkpointed(prefix_pairs(semi_texts(texts, open_nodes.select("node")), open_nodes))
-    more = written(verified(pairs, semi_texts(texts, pairs.select(F.col("u").alias("node")).union(pairs.select("v")))))
+    more = _settled(texts, pairs)
     discard(met)
     released(spark)
     return label if more.isEmpty() else components(edges.unionByName(more))
 
 
+def _settled(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs u, v that are near, as a table."""
+    return written(verified(pairs, semi_texts(texts, pairs.select(F.col("u").alias("node")).union(pairs.select("v")))))
+
+
 def semi_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, _text of these nodes, once each."""
     nodes = checkpointed(nodes.distinct())
@@ -145,14 +160,14 @@ def semi_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(nodes) if small else nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
+def drop_near(docs: DataFrame, linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The documents that stay: of each component of near copies the one with the least doc_id.
 
     Rows are named by doc_id and text, so that rows that share an id are judged each by its own text; of those with
     the least id one text stays. Rows with a null id stay. Texts without words are near copies of each other.
     """
     node = F.xxhash64(whole("text"))
-    label = near_components(docs.select(node.alias("node"), whole("text").alias("_text")))
+    label = near_components(docs.select(node.alias("node"), whole("text").alias("_text")), linked)
     rows = written(docs.select("doc_id", node.alias("node")).filter("doc_id IS NOT NULL").distinct())
     tagged = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = tagged.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")

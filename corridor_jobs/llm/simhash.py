@@ -193,9 +193,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return rows.join(mapped, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def close_pairs(texts: DataFrame) -> DataFrame:
+    """u, v: nodes of texts (node, _text) that their fingerprints tie together. Of equal fingerprints each node is paired
+    with the least one, and the least ones of two fingerprints are paired where these link."""
+    rows = written(fingerprints(texts, "node", "_text").withColumnRenamed("doc_id", "node"))
+    fps = checkpointed(rows.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = rows.join(fps, "fp").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    met = links(fps.select("fp")).join(fps.toDF("u", "_u"), "u").join(fps.toDF("v", "_v"), "v")
+    return equal.unionByName(met.select(F.col("_u").alias("u"), F.col("_v").alias("v"))).distinct()
+
+
 def drop_near(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component of near copies (see near_copies) the one with the least doc_id."""
-    return near_copies.drop_near(docs)
+    """The documents that stay: of each component of near copies (see near_copies) the one with the least doc_id. Links of
+    fingerprints come first, each verified on the texts' shingles."""
+    return near_copies.drop_near(docs, close_pairs)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,30 @@ def test_rows_that_share_an_id_are_judged_by_their_text(spark):
     assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
 
 
+def test_links_of_fingerprints_come_first(spark, monkeypatch):
+    """Without any candidate from the bands, copies whose fingerprints link are found."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(12):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join([*w, "more"])), (3 * k + 2, "  ".join(w))]
+    rows += [(100, "a b c d e"), (101, "a b c d e f")]  # short texts are near by neither
+    print_of = {i: simhash.fingerprint(t) for i, t in rows}
+    linked = {i for i in range(36) if any(i // 3 == j // 3 and j < i and (print_of[i] ^ print_of[j]).bit_count() <= 3 for j in range(36))}
+    assert len(linked) >= 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def none(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({k: pa.array([], pa.int64()) for k in ("key", "node", "n")})
+
+    monkeypatch.setattr(near_copies, "_bands", none)
+    got = {r.doc_id for r in simhash.drop_near(docs).collect()}
+    assert got == {i for i, _ in rows} - linked
+
+
 def test_components_of_long_chains(spark):
     """A chain in mixed order, one that falls and a star: every node has the least one it reaches, well within the rounds."""
     mixed = random.Random(6).sample(range(10_000, 12_000), 600)
