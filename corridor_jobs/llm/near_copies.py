@@ -132,9 +132,8 @@ def near_components(texts: DataFrame, linked: Callable[[DataFrame], DataFrame] |
             star = star.join(tied.toDF(end, f"_{end}"), end, "left")
         star = star.filter("coalesce(_u, u) <> coalesce(_v, v)").select("u", "v")
     edges = _settled(texts, checkpointed(star))
-    edges = edges if first is None else first.unionByName(edges)
     released(spark)
-    label = components(edges)
+    label = components(edges if first is None else ties(tied).unionByName(edges))
     # Buckets of two are settled. Of larger ones in several components, pairs across these are open.
     placed = met.filter("size > 2").select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
@@ -145,7 +144,12 @@ def near_components(texts: DataFrame, linked: Callable[[DataFrame], DataFrame] |
     more = _settled(texts, pairs)
     discard(met)
     released(spark)
-    return label if more.isEmpty() else components(edges.unionByName(more))
+    return label if more.isEmpty() else components(ties(label).unionByName(more))
+
+
+def ties(label: DataFrame) -> DataFrame:
+    """u, v: each node with its label, as edges that tie together what the edges behind the labels did, however many."""
+    return label.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
 
 
 def _settled(texts: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+from corridor_jobs.llm import components as components_module
 from corridor_jobs.llm import near_copies, simhash
 from corridor_jobs.llm.components import components
 
@@ -86,3 +87,41 @@ def test_components_of_long_chains(spark):
     edges = [*zip(mixed, mixed[1:]), *((1_000 - i, 999 - i) for i in range(300)), *((5_000, 5_001 + i) for i in range(200)), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == dict.fromkeys(mixed, min(mixed)) | dict.fromkeys(range(700, 1_001), 700) | dict.fromkeys(range(5_000, 5_201), 5_000)
+
+
+def test_edges_of_a_settled_group_are_not_read_again(spark, monkeypatch):
+    """All pairs of 60 nodes and a chain: only the first round looks at the pairs, later ones at the chain's edges."""
+    pairs = [(i, j) for i in range(60) for j in range(i)]
+    chain = [(1_000 + i, 1_001 + i) for i in range(40)]
+    seen, real = [], components_module.checkpointed
+
+    def counted(df):
+        out = real(df)
+        if out.columns[:2] == ["a", "b"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(components_module, "checkpointed", counted)
+    got = {r.node: r.label for r in components(spark.createDataFrame(pairs + chain, "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(60), 0) | dict.fromkeys(range(1_000, 1_041), 1_000)
+    assert seen[0] == 2 * len(pairs + chain) and len(seen) > 2
+    assert max(seen[1:]) <= 2 * len(chain) and seen[-1] == 0
+
+
+def test_links_of_a_group_are_not_handed_on_pair_by_pair(spark, monkeypatch):
+    """40 near copies, each linked with each: the second call for components hears of each copy once."""
+    rng = random.Random(12)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join([*w[:i], f"x{i}", *w[i + 1 :]])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "node long, _text string")
+    every = spark.createDataFrame([(i, j) for i in range(40) for j in range(i)], "u long, v long")
+    sizes, real = [], near_copies.components
+
+    def counted(edges):
+        sizes.append(edges.count())
+        return real(edges)
+
+    monkeypatch.setattr(near_copies, "components", counted)
+    got = {r.node: r.label for r in near_copies.near_components(docs, lambda _: every).collect()}
+    assert got == dict.fromkeys(range(40), 0)
+    assert sizes == [780, 39]
