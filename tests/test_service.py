@@ -145,3 +145,13 @@ def test_realtime_rows_meet_timepoints_in_place(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning(trip_id") == 2
     assert "hashpartitioning(stop_sequence" not in plan and "SinglePartition" not in plan
+
+
+def test_the_corridor_keeps_its_few_rows(spark):
+    """Audit and timepoint list are worked out once: what reads them scans kept rows and aggregates nothing again."""
+    from corridor_jobs.jobs.workloads import Corridor
+
+    w = Corridor(spark, "/root/testdata/sf0.001")
+    for kept in (w.timepoint_list, w.validity):
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" in plan and "Aggregate" not in plan
