@@ -173,7 +173,7 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) ->
     """lang, words (their number), phrase, f of every phrase with f >= least; and lang, n (all occurrences of words)."""
     spark = docs.sparkSession
     with rows_sent(spark, ROWS_SENT):
-        every = written(lists(docs), "zstd")
+        every = written(lists(docs), "zstd", group_rows=1)
     size = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + n)
     totals = written(every.groupBy("lang").agg(F.sum(size).alias("n")))
     with rows_sent(spark, BLOCKS_SENT):

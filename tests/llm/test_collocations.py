@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from corridor_jobs.llm import collocations
@@ -47,6 +49,22 @@ def test_equals_dictionaries_of_all_phrases(spark, monkeypatch):
     assert found(df, least=5, top=3) == brute([(r.lang, r.text) for r in df.collect()], 5, 3)
 
 
+def test_lists_are_read_one_block_at_a_time(spark, monkeypatch):
+    """Spark reads a row group of lists at once: all of a file's blocks where there is one group of them."""
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 3000)
+    groups, discard = [], collocations.discard
+
+    def seen(*frames):
+        for path in (p for f in frames if "positions" in f.columns for p in Path(f.written_path.removeprefix("file:")).glob("*.parquet")):
+            m = pq.read_metadata(path)
+            groups.extend(m.row_group(k).num_rows for k in range(m.num_row_groups))
+        discard(*frames)
+
+    monkeypatch.setattr(collocations, "discard", seen)
+    collocations.collocations(documents(spark, 80, ids=False))
+    assert len(groups) > 20 and set(groups) == {1}
+
+
 def test_overlaps_pieces_and_ties(spark):
     rng = random.Random(3)
     rows = [("en", "a a a a. a a"), ("en", "New\tYork, New York; new york\vYork"), (None, "ü ü\rü ü:ü"), ("und", "Ü ü ü"), ("fr", "")]
